@@ -1,0 +1,32 @@
+"""Joins against tables whose size is checked before they are broadcast.
+
+A table is broadcast only when its row count (always known to the caller:
+the levelwise loop counts every level anyway) is under
+``session.BROADCAST_ROW_LIMIT``.  Above it the join is shuffled on the key
+plus a salt: the small side is copied once per salt value, the big side takes
+one salt value per row from a hash of ``spread_col``, so one hot key (an
+itemset that occurs in a third of all baskets) is split over ``salts`` tasks
+instead of landing in one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from basketry import session
+
+
+def bounded_join(big: DataFrame, small: DataFrame, on: list[str], how: str,
+                 small_rows: int, spread_col: str, salts: int = 64,
+                 limit: int | None = None) -> DataFrame:
+    limit = session.BROADCAST_ROW_LIMIT if limit is None else limit
+    if small_rows <= limit:
+        return big.join(F.broadcast(small), on, how)
+    salted_small = small.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    salted_big = big.withColumn(
+        "_salt", F.pmod(F.xxhash64(F.col(spread_col)), F.lit(salts)).cast("int")
+    )
+    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")

@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The reference reads its input once as a complete file; it has no stream
+source, watermark, window or state (SURVEY §2.8), so nothing is built here.
+"""
