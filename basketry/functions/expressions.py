@@ -34,17 +34,17 @@ def tokens_single_space(line) -> Column:
 
 def tokens_whitespace(line) -> Column:
     """P-3: split on runs of whitespace, empty tokens skipped."""
-    return F.filter(F.split(_c(line), WS), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(_c(line), WS), "")
 
 
 def basket_canonical(tokens) -> Column:
     """P-4: distinct, sorted items."""
-    return F.array_sort(F.array_distinct(_c(tokens)))
+    return F.sort_array(F.array_distinct(_c(tokens)))
 
 
 def itemset_key(items) -> Column:
     """P-5: the itemset text: items sorted and joined by one space."""
-    return F.concat_ws(" ", F.array_sort(_c(items)))
+    return F.concat_ws(" ", F.sort_array(_c(items)))
 
 
 def itemset_prefix(items) -> Column:

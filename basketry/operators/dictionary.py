@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 
 from basketry.operators.joins import bounded_join
 from basketry.operators.positions import with_positions
+from basketry.session import materialize
 
 
 def item_dictionary(items: DataFrame) -> DataFrame:
-    """``items(item)`` (distinct) -> ``(item, code INT)``, code = rank - 1."""
-    ranked = with_positions(items.select("item"), ["item"], "code")
-    return ranked.select("item", F.col("code").cast("int").alias("code"))
+    """``items(item)`` (distinct) -> ``(item, code BIGINT)``, code = rank - 1
+    (dense, see operators/positions.py)."""
+    return with_positions(items.select("item"), ["item"], "code")
+
+
+def sorted_codes(items: DataFrame) -> DataFrame:
+    """``items(item)`` (distinct) -> ``(item, code BIGINT)`` with codes
+    unique and increasing in item order, but not dense: a range-partitioned
+    sort, then ``monotonically_increasing_id``.  One sort, no offset pass;
+    this is what the miner uses."""
+    return materialize(items.select("item").orderBy("item")
+                       .withColumn("code", F.monotonically_increasing_id()))
 
 
 def decode_itemsets(coded: DataFrame, dictionary: DataFrame, dict_rows: int,
@@ -33,7 +43,7 @@ def decode_itemsets(coded: DataFrame, dictionary: DataFrame, dict_rows: int,
     named = bounded_join(exploded, dictionary.select("code", "item"), ["code"], "inner",
                          dict_rows, spread_col="items")
     grouped = named.groupBy(*part_cols, "items", "freq").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_p"))
+        F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("_p"))
     return grouped.select(
         *part_cols,
         F.concat_ws(" ", F.transform("_p", lambda x: x["item"])).alias("itemset"),

@@ -1,15 +1,18 @@
 """The levelwise join machinery.
 
-Occurrences of level k are rows ``(*part, basket, _salt, items ARRAY<INT>,
-last INT)``: one per frequent k-itemset contained in a basket.  The next
+Occurrences of level k are rows ``(*part, basket, _salt, items ARRAY<BIGINT>,
+last BIGINT)``: one per frequent k-itemset contained in a basket.  The next
 level joins them with the basket's frequent items (``right``) on the basket
 key, keeping items greater than ``last`` -- JN-2 for k=1, JN-3/JN-5 above.
 
-Both sides are hash-partitioned and sorted on the basket key once, and every
-level's output keeps that layout (a broadcast semi join and a reliable
-checkpoint both preserve it), so each level is a merge join with **no
-shuffle of occurrences**; the only shuffle per level is the partial-
-aggregated count by itemset.
+Both sides are bucketed on the basket key, and every level's output keeps
+that layout (the merge join and the broadcast semi join preserve it, the
+bucketed write records it), so each level is a merge join with **no shuffle
+of occurrences**; the only shuffle per level is the partial-aggregated count
+by itemset.
+
+Occurrence tables are written as parquet tables bucketed on the basket key
+in the shared folder (``store_occurrences``).
 
 Hot baskets: a basket holds at most F frequent items (items are distinct per
 basket).  When F exceeds ``BASKET_SPLIT_ITEMS`` a basket with m frequent
@@ -28,43 +31,51 @@ from basketry.functions.expressions import itemset_last, itemset_prefix
 from basketry.session import materialize
 
 
-def basket_keys(part_cols=()) -> list[str]:
-    return [*part_cols, "basket", "_salt"]
+def basket_keys(part_cols=(), salted: bool = False) -> list[str]:
+    return [*part_cols, "basket", "_salt"] if salted else [*part_cols, "basket"]
+
+
+def store_occurrences(df: DataFrame, bk, nparts: int | None = None) -> DataFrame:
+    """Write an occurrence table bucketed on the basket key (see
+    ``session.write_bucketed``)."""
+    nparts = nparts or session.shuffle_partitions(df.sparkSession)
+    return session.write_bucketed(df, bk, nparts)
 
 
 def prepare_extension(occ1: DataFrame, part_cols=(), n_items: int = 0,
                       split_items: int | None = None, partitions: int | None = None):
     """From ``occ1(*part, basket, code)`` build the level-1 occurrences
-    (``left``) and the item side of every extension join (``right``)."""
+    (``left``), the item side of every extension join (``right``) and the
+    basket key list."""
     split_items = session.BASKET_SPLIT_ITEMS if split_items is None else split_items
-    spark = occ1.sparkSession
-    nparts = partitions or session.shuffle_partitions(spark)
-    bk = basket_keys(part_cols)
+    nparts = partitions or session.shuffle_partitions(occ1.sparkSession)
     if n_items <= split_items:
-        # No basket can hold more than split_items frequent items.
-        base = occ1.withColumn("_nsalt", F.lit(1))
-    else:
-        sizes = occ1.groupBy(*part_cols, "basket").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(split_items)).cast("int").alias("_nsalt"))
-        base = occ1.join(sizes, [*part_cols, "basket"])
-    right = base.select(
+        # No basket can hold more than split_items frequent items: one table,
+        # bucketed once, serves both sides of every extension join.
+        bk = basket_keys(part_cols)
+        base = store_occurrences(occ1.repartition(nparts, *bk), bk, nparts)
+        right = base.select(*bk, F.col("code").alias("x"))
+        left = base.select(*bk, F.array("code").alias("items"), F.col("code").alias("last"))
+        return left, right, bk
+    bk = basket_keys(part_cols, salted=True)
+    sizes = occ1.groupBy(*part_cols, "basket").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(split_items)).cast("int").alias("_nsalt"))
+    base = materialize(occ1.join(sizes, [*part_cols, "basket"]))
+    right = store_occurrences(base.select(
         *part_cols, "basket",
         F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"),
-        F.col("code").alias("x"))
-    right = materialize(right.repartition(nparts, *bk).sortWithinPartitions(*bk, "x"))
-    left = base.select(
+        F.col("code").alias("x")).repartition(nparts, *bk), bk, nparts)
+    left = store_occurrences(base.select(
         *part_cols, "basket",
         F.pmod(F.col("code"), F.col("_nsalt")).cast("int").alias("_salt"),
-        F.array(F.col("code")).alias("items"),
-        F.col("code").alias("last"))
-    left = materialize(left.repartition(nparts, *bk).sortWithinPartitions(*bk))
-    return left, right
+        F.array("code").alias("items"),
+        F.col("code").alias("last")).repartition(nparts, *bk), bk, nparts)
+    return left, right, bk
 
 
-def extend(left: DataFrame, right: DataFrame, part_cols=()) -> DataFrame:
+def extend(left: DataFrame, right: DataFrame, bk) -> DataFrame:
     """One level up: every occurrence extended by each larger item of its
-    basket (a merge join on the co-partitioned basket key)."""
-    bk = basket_keys(part_cols)
+    basket (a merge join on the co-partitioned basket key ``bk``)."""
     lt, rt = left.alias("l"), right.alias("r")
     cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in bk] + [F.col("r.x") > F.col("l.last")]
     return lt.join(rt, cond, "inner").select(
@@ -82,8 +93,8 @@ def split_prefix(levels: DataFrame, part_cols=()) -> DataFrame:
 def candidate_gen(level: DataFrame, part_cols=()) -> DataFrame:
     """JN-1: C_{k+1} from L_k -- two k-itemsets with the same first k-1
     items and ``last_a < last_b`` make one (k+1)-itemset (no all-subsets
-    check).  The join is on the prefix inside L_k; every prefix group holds
-    at most F items."""
+    check).  The join is on the prefix inside L_k; a prefix group holds at
+    most F items, and the output is at most |L_k|^2 / 2 rows."""
     p = split_prefix(level, part_cols)
     a = p.withColumnRenamed("last", "last_a")
     b = p.withColumnRenamed("last", "last_b")
@@ -96,4 +107,4 @@ def candidate_gen(level: DataFrame, part_cols=()) -> DataFrame:
 def prefix_groups(level: DataFrame, part_cols=()) -> DataFrame:
     """A-4: last items grouped by prefix (a group has at most F items)."""
     return split_prefix(level, part_cols).groupBy(*part_cols, "prefix").agg(
-        F.array_sort(F.collect_set("last")).alias("lasts"))
+        F.sort_array(F.collect_set("last")).alias("lasts"))

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry import session
-from basketry.operators.dictionary import decode_itemsets, item_dictionary
+from basketry.operators.dictionary import decode_itemsets, sorted_codes
 from basketry.operators.joins import bounded_join
-from basketry.operators.levels import candidate_gen, extend, prepare_extension
+from basketry.operators.levels import (candidate_gen, extend, prepare_extension,
+                                       store_occurrences)
 from basketry.operators.support import item_support, itemset_support, support_filter
 from basketry.session import materialize
 
@@ -57,58 +58,70 @@ def encode(occ: DataFrame, coded_items: DataFrame, rows: int, part_cols=()) -> D
 
 def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None,
                    part_cols=(), slack: float = 0.0):
-    """L1 with its dictionary: ``(*part, item, code, freq)``, dict, sizes."""
+    """L1 with its dictionary: ``(*part, item, code, freq)``, rows, dict, F."""
     l1 = materialize(support_filter(item_support(occ, part_cols), min_support,
                                     n=n, sizes=sizes, part_cols=part_cols, slack=slack))
-    dictionary = materialize(item_dictionary(l1.select("item").distinct()))
-    dict_rows = dictionary.count()
-    l1c = materialize(bounded_join(l1, dictionary, ["item"], "inner", dict_rows,
-                                   spread_col="item"))
-    return l1c, dictionary, dict_rows
+    n1 = l1.count()
+    dictionary = sorted_codes(l1.select("item").distinct() if part_cols else l1)
+    dict_rows = n1 if not part_cols else dictionary.count()
+    l1c = bounded_join(l1, dictionary, ["item"], "inner", dict_rows, spread_col="item")
+    return l1c, n1, dictionary, dict_rows
+
+
+def _pairs_bound(rows: int) -> int:
+    return rows * (rows - 1) // 2
 
 
 def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_cols=(),
                 max_len: int | None = None, slack: float = 0.0,
                 keep_occurrences: bool = False, split_items: int | None = None) -> Levels:
     part_cols = tuple(part_cols)
-    l1c, dictionary, dict_rows = frequent_items(occ, min_support, n, sizes, part_cols, slack)
-    n1 = l1c.count()
+    l1c, n1, dictionary, dict_rows = frequent_items(occ, min_support, n, sizes,
+                                                    part_cols, slack)
     res = Levels(part_cols, dictionary, dict_rows)
     res.levels.append(l1c.select(*part_cols, F.array("code").alias("items"), "freq"))
     res.level_rows.append(n1)
     if n1 == 0 or max_len == 1:
         return res
     occ1 = encode(occ, l1c, n1, part_cols)
-    left, right = prepare_extension(occ1, part_cols, dict_rows, split_items)
+    left, right, bk = prepare_extension(occ1, part_cols, dict_rows, split_items)
     if keep_occurrences:
         res.occurrences.append(left)
-    prev, k = res.levels[0], 2
+    prev, prev_rows, k = res.levels[0], n1, 2
     while max_len is None or k <= max_len:
-        ext = extend(left, right, part_cols)
+        ext = extend(left, right, bk)
         if k >= 3:
             # C_2 is every pair of frequent items: the extension is it already.
-            cand = materialize(candidate_gen(prev, part_cols))
-            n_cand = cand.count()
+            # |C_k| <= |L_{k-1}|^2 / 2; count it only when that bound is too big.
+            cand = candidate_gen(prev, part_cols)
+            n_cand = _pairs_bound(prev_rows)
+            if n_cand > session.BROADCAST_ROW_LIMIT:
+                cand = materialize(cand)
+                n_cand = cand.count()
             if n_cand == 0:
                 break
             ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
                                spread_col="basket")
-        level = materialize(support_filter(itemset_support(ext, part_cols), min_support,
-                                           n=n, sizes=sizes, part_cols=part_cols,
-                                           slack=slack))
+        level = support_filter(itemset_support(ext, part_cols), min_support,
+                               n=n, sizes=sizes, part_cols=part_cols, slack=slack)
+        level = materialize(level)
         rows = level.count()
         if rows == 0:
             break
         res.levels.append(level)
         res.level_rows.append(rows)
-        if (max_len is not None and k == max_len) and not keep_occurrences:
+        if max_len is not None and k == max_len and not keep_occurrences:
             break
-        left = materialize(bounded_join(ext, level.select(*part_cols, "items"),
-                                        [*part_cols, "items"], "left_semi", rows,
-                                        spread_col="basket"))
+        # Occurrences of L_k: the merge join again (no shuffle), written as a
+        # table bucketed on the basket key (cuts lineage, keeps the layout).
+        kept = bounded_join(ext, level.select(*part_cols, "items"),
+                            [*part_cols, "items"], "left_semi", rows, spread_col="basket")
+        if rows > session.BROADCAST_ROW_LIMIT:
+            kept = kept.repartition(session.shuffle_partitions(kept.sparkSession), *bk)
+        left = store_occurrences(kept, bk)
         if keep_occurrences:
             res.occurrences.append(left)
         if max_len is not None and k == max_len:
             break
-        prev, k = level, k + 1
+        prev, prev_rows, k = level, rows, k + 1
     return res

@@ -49,11 +49,40 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 
     Survives executor loss (the data is in the shared store, not on the
-    executor), keeps the partitioning and ordering of ``df``.
+    executor).  Used for small tables (levels, dictionaries, candidate
+    sets); occurrence tables that must keep their layout go through
+    ``write_bucketed``.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def write_bucketed(df: DataFrame, keys, buckets: int, tag: str = "occ") -> DataFrame:
+    """Write ``df`` as a parquet table bucketed on ``keys`` in the shared
+    folder and read it back.
+
+    Cuts lineage and survives executor loss like a checkpoint, and -- unlike
+    a checkpoint of a join result -- the table keeps its hash layout: a
+    merge join between two such tables on ``keys`` needs no shuffle.  A
+    ``df`` that is already hash-partitioned on ``keys`` into ``buckets``
+    partitions is written without a shuffle, one file per bucket.
+    """
+    spark = df.sparkSession
+    name = f"basketry_{tag}_{uuid.uuid4().hex[:16]}"
+    (df.write.mode("error").bucketBy(buckets, *keys).sortBy(*keys)
+       .option("path", scratch_path(spark, name)).saveAsTable(name))
+    _written_tables.append(name)
+    return spark.table(name)
+
+
+_written_tables: list[str] = []
+
+
+def drop_written_tables(spark: SparkSession) -> None:
+    """Forget the scratch tables' catalog entries (files stay in scratch)."""
+    while _written_tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_written_tables.pop()}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

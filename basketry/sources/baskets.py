@@ -25,6 +25,25 @@ class BasketData:
     keys: DataFrame
     arrays: DataFrame | None = None
     _n: int | None = field(default=None, repr=False)
+    # Occurrences that come out of a join and a de-duplication are written
+    # once (reliable checkpoint) on first use instead of being recomputed by
+    # each of the passes that read them (N, item counts, encoding).
+    derived: bool = False
+
+    def __post_init__(self):
+        if self.derived:
+            self._lazy_occ, self.occ = self.occ, None
+
+    def __getattribute__(self, name):
+        if name == "occ" and object.__getattribute__(self, "derived"):
+            if object.__getattribute__(self, "__dict__").get("occ") is None:
+                from basketry.session import materialize
+                occ = materialize(object.__getattribute__(self, "_lazy_occ"))
+                object.__setattr__(self, "occ", occ)
+                object.__setattr__(self, "keys", occ.select("basket").distinct())
+        if name == "keys" and object.__getattribute__(self, "derived"):
+            self.occ  # noqa: B018 -- materialises occ, sets keys
+        return object.__getattribute__(self, name)
 
     @property
     def n(self) -> int:
@@ -59,13 +78,19 @@ def from_table(df: DataFrame, basket, item, replace_ws: str | None = None,
         it = _checked_item(it, replace_ws)
     rows = df.select(key.alias("basket"), it.alias("item"))
     occ = rows.where(F.col("item").isNotNull()).distinct()
-    keys = rows.select("basket").distinct()
-    return BasketData(occ=occ, keys=keys)
+    # A basket is a key with at least one (non-null) item.
+    return BasketData(occ=occ, keys=None, derived=True)
 
 
 def from_arrays(df: DataFrame, basket: str, items: str) -> BasketData:
-    """Adapter for a ``(basket, items ARRAY)`` table; items made canonical."""
-    arrays = df.select(F.col(basket).alias("basket"),
-                       basket_canonical(F.col(items)).alias("items"))
-    occ = arrays.select("basket", F.explode("items").alias("item"))
-    return BasketData(occ=occ, keys=arrays.select("basket"), arrays=arrays)
+    """Adapter for a ``(basket, items ARRAY)`` table (e.g. token lists).
+
+    ``explode_outer`` + a null filter rather than ``explode``: for
+    ``explode`` the optimizer infers a ``size(items) > 0`` filter and the
+    (costly) item expression would be evaluated twice per row.
+    """
+    src = df.select(F.col(basket).alias("basket"), F.col(items).alias("items"))
+    occ = (src.select("basket", F.explode_outer(F.array_distinct("items")).alias("item"))
+           .where(F.col("item").isNotNull()))
+    arrays = src.select("basket", basket_canonical(F.col("items")).alias("items"))
+    return BasketData(occ=occ, keys=src.select("basket"), arrays=arrays)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.expressions import basket_canonical, split_lines, tokens_whitespace
+from basketry.functions.expressions import split_lines, tokens_whitespace
 from basketry.sources.baskets import BasketData, from_arrays, from_table
 
 
@@ -35,7 +35,7 @@ def user_day_event(spark: SparkSession, sf_dir: str) -> BasketData:
 def doc_token_arrays(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select(F.col("doc_id").alias("basket"),
-                       basket_canonical(tokens_whitespace("text")).alias("items"))
+                       tokens_whitespace("text").alias("items"))
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> BasketData:
