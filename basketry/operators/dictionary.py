@@ -32,7 +32,7 @@ def sorted_codes(items: DataFrame) -> DataFrame:
 
 
 def decode_itemsets(coded: DataFrame, dictionary: DataFrame, dict_rows: int,
-                    part_cols=()) -> DataFrame:
+                    part_cols=(), keep_items: bool = False) -> DataFrame:
     """``(*part, items ARRAY<INT>, freq)`` -> ``(*part, itemset, size, freq)``.
 
     Explode, look the codes up, and regroup per itemset; a group holds the k
@@ -45,7 +45,7 @@ def decode_itemsets(coded: DataFrame, dictionary: DataFrame, dict_rows: int,
     grouped = named.groupBy(*part_cols, "items", "freq").agg(
         F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("_p"))
     return grouped.select(
-        *part_cols,
+        *part_cols, *(["items"] if keep_items else []),
         F.concat_ws(" ", F.transform("_p", lambda x: x["item"])).alias("itemset"),
         F.size("items").cast("int").alias("size"),
         F.col("freq").cast("bigint").alias("freq"),

@@ -60,9 +60,7 @@ def assign_chunks(df: DataFrame, order_cols, chunks: int, n: int | None = None,
     if n is None:
         n = positioned.count()
     size = chunk_size(n, chunks)
-    return positioned.withColumn(
-        "chunk_id", F.floor(F.col(pos_col) / F.lit(size)).cast("bigint")
-    )
+    return positioned.withColumn("chunk_id", F.expr(f"{pos_col} div {size}").cast("bigint"))
 
 
 def hash_chunks(df: DataFrame, key_col: str, chunks: int) -> DataFrame:

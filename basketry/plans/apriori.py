@@ -49,11 +49,17 @@ class Levels:
                                list(self.part_cols))
 
 
-def encode(occ: DataFrame, coded_items: DataFrame, rows: int, part_cols=()) -> DataFrame:
-    """F-5 + P-11: keep the occurrences of frequent items, as codes."""
-    return bounded_join(occ, coded_items.select(*part_cols, "item", "code"),
-                        [*part_cols, "item"], "inner", rows, spread_col="basket"
-                        ).select(*part_cols, "basket", "code")
+def encode(occ: DataFrame, coded_items: DataFrame, rows: int, part_cols=(),
+           per_part: bool = True) -> DataFrame:
+    """F-5 + P-11: keep the occurrences of frequent items, as codes.
+
+    ``per_part``: ``coded_items`` has the part columns (an item frequent in
+    one chunk only is kept in that chunk only); else it is one global
+    dictionary.
+    """
+    on = [*part_cols, "item"] if per_part else ["item"]
+    return bounded_join(occ, coded_items.select(*on, "code"), on, "inner", rows,
+                        spread_col="basket").select(*part_cols, "basket", "code")
 
 
 def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None,
