@@ -22,6 +22,18 @@ def item_dictionary(items: DataFrame) -> DataFrame:
     return with_positions(items.select("item"), ["item"], "code")
 
 
+def dense_codes(items: DataFrame, rows: int) -> DataFrame:
+    """``(item)`` (distinct, ``rows`` of them) -> ``(item, code)``, dense in
+    item order.  Up to the broadcast limit the rows are few enough for one
+    window task; above it the distributed ``item_dictionary``."""
+    from basketry import session
+    from pyspark.sql import Window
+    if rows <= session.BROADCAST_ROW_LIMIT:
+        w = Window.orderBy("item")
+        return items.select("item", (F.row_number().over(w) - 1).cast("bigint").alias("code"))
+    return item_dictionary(items)
+
+
 def sorted_codes(items: DataFrame) -> DataFrame:
     """``items(item)`` (distinct) -> ``(item, code BIGINT)`` with codes
     unique and increasing in item order, but not dense: a range-partitioned

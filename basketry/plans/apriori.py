@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry import session
-from basketry.operators.dictionary import decode_itemsets, sorted_codes
+from basketry.operators.dictionary import decode_itemsets, dense_codes
 from basketry.operators.joins import bounded_join
 from basketry.operators.levels import (candidate_gen, extend, prepare_extension,
                                        store_occurrences)
@@ -64,12 +64,17 @@ def encode(occ: DataFrame, coded_items: DataFrame, rows: int, part_cols=(),
 
 def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None,
                    part_cols=(), slack: float = 0.0):
-    """L1 with its dictionary: ``(*part, item, code, freq)``, rows, dict, F."""
-    l1 = materialize(support_filter(item_support(occ, part_cols), min_support,
-                                    n=n, sizes=sizes, part_cols=part_cols, slack=slack))
+    """L1 with its dictionary: ``(*part, item, code, freq)``, rows, dict, F.
+
+    Small tables are cached, not checkpointed: their lineage reaches back
+    only to the (written) occurrence data.
+    """
+    l1 = support_filter(item_support(occ, part_cols), min_support,
+                        n=n, sizes=sizes, part_cols=part_cols, slack=slack).persist()
     n1 = l1.count()
-    dictionary = sorted_codes(l1.select("item").distinct() if part_cols else l1)
-    dict_rows = n1 if not part_cols else dictionary.count()
+    items = l1.select("item").distinct() if part_cols else l1.select("item")
+    dictionary = dense_codes(items, n1).persist()
+    dict_rows = dictionary.count() if part_cols else n1
     l1c = bounded_join(l1, dictionary, ["item"], "inner", dict_rows, spread_col="item")
     return l1c, n1, dictionary, dict_rows
 
@@ -109,8 +114,7 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
             ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
                                spread_col="basket")
         level = support_filter(itemset_support(ext, part_cols), min_support,
-                               n=n, sizes=sizes, part_cols=part_cols, slack=slack)
-        level = materialize(level)
+                               n=n, sizes=sizes, part_cols=part_cols, slack=slack).persist()
         rows = level.count()
         if rows == 0:
             break

@@ -69,7 +69,7 @@ def write_bucketed(df: DataFrame, keys, buckets: int, tag: str = "occ") -> DataF
     """
     spark = df.sparkSession
     name = f"basketry_{tag}_{uuid.uuid4().hex[:16]}"
-    (df.write.mode("error").bucketBy(buckets, *keys).sortBy(*keys)
+    (df.write.mode("error").bucketBy(buckets, *keys)
        .option("path", scratch_path(spark, name)).saveAsTable(name))
     _written_tables.append(name)
     return spark.table(name)
