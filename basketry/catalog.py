@@ -469,7 +469,7 @@ def q_doc_lines_itemsets(spark, d):
 
 
 def q_doc_tokens_son(spark, d):
-    return frequent_itemsets(FX.doc_tokens(spark, d), S_DT, strategy="son", chunks=10)
+    return frequent_itemsets(FX.doc_tokens(spark, d), S_DT, strategy="son", chunks=4)
 
 
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items())

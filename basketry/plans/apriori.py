@@ -113,8 +113,12 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
                 break
             ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
                                spread_col="basket")
-        level = support_filter(itemset_support(ext, part_cols), min_support,
-                               n=n, sizes=sizes, part_cols=part_cols, slack=slack).persist()
+        # A checkpoint, not a cache: the next level's candidates join this
+        # table with itself, and a cached plan would carry every earlier
+        # level twice over (plans growing as 2^k).
+        level = materialize(support_filter(itemset_support(ext, part_cols), min_support,
+                                           n=n, sizes=sizes, part_cols=part_cols,
+                                           slack=slack))
         rows = level.count()
         if rows == 0:
             break

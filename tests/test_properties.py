@@ -24,7 +24,7 @@ def brute(baskets, s):
     return sorted((" ".join(c), len(c), f) for c, f in counts.items() if f >= s * n)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(baskets=baskets_st, s=st.sampled_from([0.1, 0.2, 0.35, 0.5]))
 def test_matches_brute_force(spark, baskets, s):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(baskets)],
