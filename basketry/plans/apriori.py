@@ -24,7 +24,7 @@ from basketry.operators.joins import bounded_join
 from basketry.operators.levels import (candidate_gen, extend, prepare_extension,
                                        store_occurrences)
 from basketry.operators.support import item_support, itemset_support, support_filter
-from basketry.session import materialize
+from basketry.session import materialize, materialize_counted
 
 
 @dataclass
@@ -69,9 +69,9 @@ def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None,
     Small tables are cached, not checkpointed: their lineage reaches back
     only to the (written) occurrence data.
     """
-    l1 = support_filter(item_support(occ, part_cols), min_support,
-                        n=n, sizes=sizes, part_cols=part_cols, slack=slack).persist()
-    n1 = l1.count()
+    l1, n1 = materialize_counted(support_filter(item_support(occ, part_cols), min_support,
+                                                n=n, sizes=sizes, part_cols=part_cols,
+                                                slack=slack))
     items = l1.select("item").distinct() if part_cols else l1.select("item")
     dictionary = dense_codes(items, n1).persist()
     dict_rows = dictionary.count() if part_cols else n1
@@ -107,8 +107,7 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
             cand = candidate_gen(prev, part_cols)
             n_cand = _pairs_bound(prev_rows)
             if n_cand > session.BROADCAST_ROW_LIMIT:
-                cand = materialize(cand)
-                n_cand = cand.count()
+                cand, n_cand = materialize_counted(cand)
             if n_cand == 0:
                 break
             ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
@@ -116,16 +115,15 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
         # A checkpoint, not a cache: the next level's candidates join this
         # table with itself, and a cached plan would carry every earlier
         # level twice over (plans growing as 2^k).
-        level = materialize(support_filter(itemset_support(ext, part_cols), min_support,
-                                           n=n, sizes=sizes, part_cols=part_cols,
-                                           slack=slack))
-        rows = level.count()
+        level, rows = materialize_counted(support_filter(
+            itemset_support(ext, part_cols), min_support, n=n, sizes=sizes,
+            part_cols=part_cols, slack=slack))
         if rows == 0:
             break
         res.levels.append(level)
         res.level_rows.append(rows)
-        if max_len is not None and k == max_len and not keep_occurrences:
-            break
+        if (max_len is not None and k == max_len or rows < 2) and not keep_occurrences:
+            break  # no level k+1: at its cap, or one k-itemset cannot pair up
         # Occurrences of L_k: the merge join again (no shuffle), written as a
         # table bucketed on the basket key (cuts lineage, keeps the layout).
         kept = bounded_join(ext, level.select(*part_cols, "items"),

@@ -57,6 +57,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize`` that also returns the row count, observed while the
+    checkpoint job runs (no second job)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")))
+    return out, int(obs.get["n"])
+
+
 def write_bucketed(df: DataFrame, keys, buckets: int, tag: str = "occ") -> DataFrame:
     """Write ``df`` as a parquet table bucketed on ``keys`` in the shared
     folder and read it back.
