@@ -199,9 +199,12 @@ def q_basket_canonical(spark, d):
 
 
 def q_itemset_key(spark, d):
-    occ = _ude(spark, d).occ
-    grouped = occ.groupBy("basket").agg(F.collect_list("item").alias("items"))
-    return _ude_out(grouped, X.itemset_key("items").alias("itemset"))
+    """P-5 on itemsets (k items each): the found itemsets with their items
+    reversed, keyed again -- the key restores the sorted form."""
+    res = frequent_itemsets(_ude(spark, d), S_UDE)
+    rev = F.reverse(F.split("itemset", " "))
+    return res.select(F.concat_ws(" ", rev).alias("reversed"),
+                      X.itemset_key(rev).alias("itemset"))
 
 
 def q_itemset_prefix_last(spark, d):

@@ -180,9 +180,9 @@ def build() -> dict[str, str]:
         "select doc_id, array_to_string(c, ' ') as items, cast(len(c) as integer) as size"
         f" from (select doc_id, list_sort(list_distinct({_tokens('text')})) as c"
         " from documents)")
-    q["itemset_key"] = sql(FIXTURES["user_day_event"], (
-        f"select {UDE_OUT}, array_to_string(list_sort(list(item)), ' ') as itemset"
-        " from b group by bid"))
+    q["itemset_key"] = sql(ude, (
+        "select array_to_string(list_reverse(string_split(itemset, ' ')), ' ') as reversed,"
+        " itemset from res"))
     q["itemset_prefix_last"] = sql(ude, (
         "select itemset, array_to_string(t[1:len(t) - 1], ' ') as prefix, t[len(t)] as last"
         " from (select itemset, string_split(itemset, ' ') as t from res where size >= 2)"))

@@ -57,6 +57,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and read it back: cuts
+    lineage, survives executor loss, columnar and compressed for re-reads."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``materialize`` that also returns the row count, observed while the
     checkpoint job runs (no second job)."""

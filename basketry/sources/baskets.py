@@ -25,9 +25,10 @@ class BasketData:
     keys: DataFrame
     arrays: DataFrame | None = None
     _n: int | None = field(default=None, repr=False)
-    # Occurrences that come out of a join and a de-duplication are written
-    # once (reliable checkpoint) on first use instead of being recomputed by
-    # each of the passes that read them (N, item counts, encoding).
+    # Occurrences that cost a join, a de-duplication or a tokenizer pass are
+    # written once (parquet in the shared folder) on first use, instead of
+    # being recomputed by each pass that reads them (N, item counts,
+    # encoding).  ``keys`` None means: every basket has an item.
     derived: bool = False
 
     def __post_init__(self):
@@ -35,14 +36,13 @@ class BasketData:
             self._lazy_occ, self.occ = self.occ, None
 
     def __getattribute__(self, name):
-        if name == "occ" and object.__getattribute__(self, "derived"):
+        if name in ("occ", "keys") and object.__getattribute__(self, "derived"):
             if object.__getattribute__(self, "__dict__").get("occ") is None:
-                from basketry.session import materialize
-                occ = materialize(object.__getattribute__(self, "_lazy_occ"))
+                from basketry.session import write_table
+                occ = write_table(object.__getattribute__(self, "_lazy_occ"), "occ")
                 object.__setattr__(self, "occ", occ)
-                object.__setattr__(self, "keys", occ.select("basket").distinct())
-        if name == "keys" and object.__getattribute__(self, "derived"):
-            self.occ  # noqa: B018 -- materialises occ, sets keys
+                if object.__getattribute__(self, "__dict__").get("keys") is None:
+                    object.__setattr__(self, "keys", occ.select("basket").distinct())
         return object.__getattribute__(self, name)
 
     @property
@@ -82,7 +82,7 @@ def from_table(df: DataFrame, basket, item, replace_ws: str | None = None,
     return BasketData(occ=occ, keys=None, derived=True)
 
 
-def from_arrays(df: DataFrame, basket: str, items: str) -> BasketData:
+def from_arrays(df: DataFrame, basket: str, items: str, derived: bool = False) -> BasketData:
     """Adapter for a ``(basket, items ARRAY)`` table (e.g. token lists).
 
     ``explode_outer`` + a null filter rather than ``explode``: for
@@ -93,4 +93,4 @@ def from_arrays(df: DataFrame, basket: str, items: str) -> BasketData:
     occ = (src.select("basket", F.explode_outer(F.array_distinct("items")).alias("item"))
            .where(F.col("item").isNotNull()))
     arrays = src.select("basket", basket_canonical(F.col("items")).alias("items"))
-    return BasketData(occ=occ, keys=src.select("basket"), arrays=arrays)
+    return BasketData(occ=occ, keys=src.select("basket"), arrays=arrays, derived=derived)
