@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 
 from basketry.operators.joins import bounded_join
 from basketry.operators.support import item_support, support_filter
-from basketry.session import materialize
+from basketry.session import materialize_counted
 from basketry.sources.baskets import BasketData
 
 
 def basket_arrays(data: BasketData, min_support: float) -> DataFrame:
     """``(basket, items)`` with every basket, empty ones included (FP-growth
-    takes N from the row count).  Table sources are pruned to frequent items
-    before they are grouped, so no basket array exceeds F items."""
-    if data.arrays is not None:
-        return data.arrays
-    l1 = materialize(support_filter(item_support(data.occ), min_support, n=data.n))
-    pruned = bounded_join(data.occ, l1.select("item"), ["item"], "left_semi",
-                          l1.count(), spread_col="basket")
+    takes N from the row count).  Items are pruned to the frequent ones
+    before they are grouped: no basket array exceeds F items, and the
+    FP-trees only hold items that can be in a result."""
+    l1, rows = materialize_counted(
+        support_filter(item_support(data.occ), min_support, n=data.n).select("item"))
+    pruned = bounded_join(data.occ, l1, ["item"], "left_semi", rows, spread_col="basket")
     arr = pruned.groupBy("basket").agg(F.collect_list("item").alias("items"))
     return data.keys.join(arr, "basket", "left").select(
         "basket", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
