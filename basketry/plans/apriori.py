@@ -79,10 +79,6 @@ def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None,
     return l1c, n1, dictionary, dict_rows
 
 
-def _pairs_bound(rows: int) -> int:
-    return rows * (rows - 1) // 2
-
-
 def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_cols=(),
                 max_len: int | None = None, slack: float = 0.0,
                 keep_occurrences: bool = False, split_items: int | None = None) -> Levels:
@@ -98,18 +94,11 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
     left, right, bk = prepare_extension(occ1, part_cols, dict_rows, split_items)
     if keep_occurrences:
         res.occurrences.append(left)
-    prev, prev_rows, k = res.levels[0], n1, 2
+    cand, n_cand, k = None, 0, 2
     while max_len is None or k <= max_len:
         ext = extend(left, right, bk)
         if k >= 3:
             # C_2 is every pair of frequent items: the extension is it already.
-            # |C_k| <= |L_{k-1}|^2 / 2; count it only when that bound is too big.
-            cand = candidate_gen(prev, part_cols)
-            n_cand = _pairs_bound(prev_rows)
-            if n_cand > session.BROADCAST_ROW_LIMIT:
-                cand, n_cand = materialize_counted(cand)
-            if n_cand == 0:
-                break
             ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
                                spread_col="basket")
         # A checkpoint, not a cache: the next level's candidates join this
@@ -122,8 +111,15 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
             break
         res.levels.append(level)
         res.level_rows.append(rows)
-        if (max_len is not None and k == max_len or rows < 2) and not keep_occurrences:
-            break  # no level k+1: at its cap, or one k-itemset cannot pair up
+        last = max_len is not None and k == max_len
+        if not last and rows >= 2:
+            # C_{k+1} (JN-1) from the small level table, counted before the
+            # occurrences of L_k are written: no candidate, no next level.
+            cand, n_cand = materialize_counted(candidate_gen(level, part_cols))
+        else:
+            n_cand = 0
+        if n_cand == 0 and not keep_occurrences:
+            break
         # Occurrences of L_k: the merge join again (no shuffle), written as a
         # table bucketed on the basket key (cuts lineage, keeps the layout).
         kept = bounded_join(ext, level.select(*part_cols, "items"),
@@ -133,7 +129,7 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
         left = store_occurrences(kept, bk)
         if keep_occurrences:
             res.occurrences.append(left)
-        if max_len is not None and k == max_len:
+        if n_cand == 0:
             break
-        prev, prev_rows, k = level, rows, k + 1
+        k += 1
     return res
