@@ -23,12 +23,18 @@ def scan_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def text_baskets(spark: SparkSession, path: str) -> BasketData:
+def text_baskets(spark: SparkSession, path: str, first_file_only: bool = False) -> BasketData:
     """SRC-1 + P-3 + P-4: every line is a basket of whitespace tokens.
 
     The basket id is ``monotonically_increasing_id`` (unique, no shuffle);
     contiguous line numbers, when needed, come from ``line_numbers``.
+    ``first_file_only`` reads only the first file of a directory (Q8).
     """
+    if first_file_only:
+        first = first_file(spark, path)
+        if first is None:
+            raise FileNotFoundError(path)
+        path = first
     lines = scan_text(spark, path).select(
         F.monotonically_increasing_id().alias("basket"),
         tokens_whitespace("value").alias("items"))

@@ -88,3 +88,16 @@ def test_read_backs(spark, tmp_path):
     assert got == [("a b", 3), ("c", 5)]
     cands = sorted(r["items"] for r in TX.read_candidates(spark, str(tmp_path / "c")).collect())
     assert cands == [["a", "b"], ["c"]]
+
+
+def test_text_baskets_first_file_only(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.txt").write_text("x y\nx\n")
+    (d / "b.txt").write_text("y\ny\ny\n")
+    assert TX.text_baskets(spark, str(d)).n == 5
+    only = TX.text_baskets(spark, str(d), first_file_only=True)
+    assert only.n == 2
+    from basketry import frequent_itemsets
+    got = sorted((r["itemset"], r["freq"]) for r in frequent_itemsets(only, 1.0).collect())
+    assert got == [("x", 2)]
