@@ -352,7 +352,8 @@ def q_basket_candidate_items(spark, d):
     data, ch, local, cand, per_size = _udc_containment(spark, d)
     c1 = cand.where(F.col("size") == 1).select(F.col("items")[0].alias("code"))
     items = local.dictionary.join(c1, "code", "left_semi").select("item")
-    kept = data.occ.join(F.broadcast(items), "item", "left_semi")
+    kept = apriori.bounded_join(data.occ, items, ["item"], "left_semi", per_size.get(1, 0),
+                                spread_col="basket")
     return _ude_out(kept, "item")
 
 

@@ -38,7 +38,7 @@ def with_positions(df: DataFrame, order_cols, pos_col: str = "pos") -> DataFrame
     row = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
         tagged.withColumn("_pid", pid)
-        .join(F.broadcast(offsets), "_pid")
+        .join(F.broadcast(offsets), "_pid")  # one row per partition
         .select(*cols, (F.col("_off") + row).alias(pos_col))
     )
 

@@ -46,6 +46,7 @@ def support_filter(counts: DataFrame, min_support: float, n=None, sizes=None,
     if sizes is None:
         thr = s * F.lit(int(n)).cast("double") - F.lit(float(slack))
         return counts.where(F.col("freq") >= thr)
+    # One row per chunk: its size is the chunk count P the caller chose.
     joined = counts.join(F.broadcast(sizes.select(*part_cols, "n")), list(part_cols))
     thr = s * F.col("n").cast("double") - F.lit(float(slack))
     return joined.where(F.col("freq") >= thr).drop("n")
