@@ -38,7 +38,7 @@ def text_baskets(spark: SparkSession, path: str, first_file_only: bool = False)
     lines = scan_text(spark, path).select(
         F.monotonically_increasing_id().alias("basket"),
         tokens_whitespace("value").alias("items"))
-    return from_arrays(lines, "basket", "items")
+    return from_arrays(lines, "basket", "items", derived=True)
 
 
 def line_numbers(df: DataFrame) -> DataFrame:
