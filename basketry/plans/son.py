@@ -11,6 +11,7 @@ itemset is locally frequent in at least one chunk.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -99,9 +100,19 @@ def count_candidates(occ: DataFrame, local: Levels, cand: DataFrame, per_size: d
     return out
 
 
+def usable_chunks(n: int, min_support: float, chunks: int) -> int:
+    """Fewest-risk chunk count: with ``s * n_c < 1`` every co-occurring set
+    of a chunk would be a candidate (SURVEY §4, risk 4), so P is lowered
+    until a chunk holds at least ``ceil(1 / s)`` baskets.  The result does
+    not depend on P."""
+    need = math.ceil(1.0 / float(min_support))
+    return max(1, min(chunks, n // need if n >= need else 1))
+
+
 def son_levels(data: BasketData, min_support: float, chunks: int, max_len=None,
                chunking: str = "hash", order_cols=None):
     """Both passes; returns (local Levels, candidate table, global counts)."""
+    chunks = usable_chunks(data.n, min_support, chunks)
     ch = chunk_baskets(data, chunks, chunking, order_cols)
     local = local_levels(ch, min_support, max_len)
     cand, per_size = candidates(local)

@@ -113,3 +113,11 @@ def test_bad_support(spark, text_file, s):
 def test_unknown_strategy(spark, text_file):
     with pytest.raises(ValueError):
         frequent_itemsets(TX.text_baskets(spark, text_file(["a"])), 0.5, strategy="nope")
+
+
+def test_usable_chunks():
+    from basketry.plans.son import usable_chunks
+    assert usable_chunks(1000, 0.02, 4) == 4       # 250 per chunk >= 50
+    assert usable_chunks(1000, 0.02, 100) == 20    # 50 per chunk
+    assert usable_chunks(10, 0.5, 8) == 5
+    assert usable_chunks(0, 0.5, 8) == 1
