@@ -64,3 +64,11 @@ def test_itemsets_are_sorted_and_canonical(spark):
     for r in res:
         items = r["itemset"].split(" ")
         assert items == sorted(items) and len(set(items)) == len(items) == r["size"]
+
+
+def test_split_hot_baskets_in_son(spark, monkeypatch):
+    """The split-basket path with chunk keys (pass 1) and without (pass 2)."""
+    data = FX.doc_tokens(spark, SF0001)
+    want = triples(frequent_itemsets(data, 0.4))
+    monkeypatch.setattr(session, "BASKET_SPLIT_ITEMS", 4)
+    assert triples(frequent_itemsets(data, 0.4, strategy="son", chunks=2)) == want
