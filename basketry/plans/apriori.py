@@ -99,8 +99,15 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
         ext = extend(left, right, bk)
         if k >= 3:
             # C_2 is every pair of frequent items: the extension is it already.
+            # From level 3 on the candidate occurrences are written once and
+            # both the count and the next level read them (no second merge
+            # join); level 2 is recomputed instead, since writing every pair
+            # would cost more than the join.
             ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
                                spread_col="basket")
+            if n_cand > session.BROADCAST_ROW_LIMIT:
+                ext = ext.repartition(session.shuffle_partitions(ext.sparkSession), *bk)
+            ext = store_occurrences(ext, bk)
         # A checkpoint, not a cache: the next level's candidates join this
         # table with itself, and a cached plan would carry every earlier
         # level twice over (plans growing as 2^k).
@@ -120,13 +127,17 @@ def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_col
             n_cand = 0
         if n_cand == 0 and not keep_occurrences:
             break
-        # Occurrences of L_k: the merge join again (no shuffle), written as a
-        # table bucketed on the basket key (cuts lineage, keeps the layout).
+        # Occurrences of L_k: at level 2 the merge join again (no shuffle),
+        # written as a table bucketed on the basket key (cuts lineage, keeps
+        # the layout); above, the written candidate occurrences filtered.
         kept = bounded_join(ext, level.select(*part_cols, "items"),
                             [*part_cols, "items"], "left_semi", rows, spread_col="basket")
-        if rows > session.BROADCAST_ROW_LIMIT:
-            kept = kept.repartition(session.shuffle_partitions(kept.sparkSession), *bk)
-        left = store_occurrences(kept, bk)
+        if k >= 3 and rows <= session.BROADCAST_ROW_LIMIT:
+            left = kept  # written table, broadcast semi join: layout kept
+        else:
+            if rows > session.BROADCAST_ROW_LIMIT:
+                kept = kept.repartition(session.shuffle_partitions(kept.sparkSession), *bk)
+            left = store_occurrences(kept, bk)
         if keep_occurrences:
             res.occurrences.append(left)
         if n_cand == 0:

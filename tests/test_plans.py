@@ -101,3 +101,20 @@ def test_text_baskets_first_file_only(spark, tmp_path):
     from basketry import frequent_itemsets
     got = sorted((r["itemset"], r["freq"]) for r in frequent_itemsets(only, 1.0).collect())
     assert got == [("x", 2)]
+
+
+def test_higher_levels_keep_the_layout(spark):
+    """Level >= 3 occurrences are a written table filtered by a broadcast
+    semi join: extending them still needs no exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = FX.user_day_event(spark, SF0001)
+        res = apriori.mine_levels(data.occ, 0.005, n=data.n, keep_occurrences=True)
+        assert len(res.occurrences) >= 4
+        occ1 = apriori.encode(data.occ, res.dictionary, res.dict_rows)
+        _, right, bk = LV.prepare_extension(occ1, (), res.dict_rows)
+        p = plan(itemset_support(LV.extend(res.occurrences[2], right, bk)))
+        exchanges = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(exchanges) == 1 and "items" in exchanges[0], p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
