@@ -11,7 +11,7 @@ Fixtures and parameters (FIXTURES §3):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry import frequent_itemsets
@@ -325,7 +325,7 @@ def q_basket_frequent_itemsets(spark, d):
     return _ude_out(_occ_itemsets(res, occ), "itemset")
 
 
-def _udc_containment(spark, d, part_cols=(), occurrences=False):
+def _udc_containment(spark, d):
     data, ch = _udc(spark, d)
     local = son.local_levels(ch, S_UDC)
     cand, per_size = son.candidates(local)

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry import session
 from basketry.operators.dictionary import decode_itemsets
 from basketry.operators.joins import bounded_join
 from basketry.operators.levels import extend, prepare_extension, store_occurrences
