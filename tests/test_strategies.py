@@ -72,3 +72,22 @@ def test_split_hot_baskets_in_son(spark, monkeypatch):
     want = triples(frequent_itemsets(data, 0.4))
     monkeypatch.setattr(session, "BASKET_SPLIT_ITEMS", 4)
     assert triples(frequent_itemsets(data, 0.4, strategy="son", chunks=2)) == want
+
+
+@pytest.mark.parametrize("chunks,chunking", [(4, "contiguous"), (10, "hash")])
+def test_son_candidates_cover_result(spark, chunks, chunking):
+    """SURVEY §5: the SON candidate set contains every frequent itemset, and
+    pass 2 counts equal the direct counts."""
+    from basketry.operators.dictionary import decode_itemsets
+    from basketry.plans import son
+    data = FX.user_day_event(spark, SF0001)
+    ch, local, cand, totals = son.son_levels(data, 0.05, chunks, chunking=chunking,
+                                             order_cols=["basket.user_id", "basket.day"])
+    names = decode_itemsets(cand.select("items", F.lit(0).cast("bigint").alias("freq")),
+                            local.dictionary, local.dict_rows)
+    cands = {r["itemset"] for r in names.collect()}
+    result = triples(frequent_itemsets(data, 0.05))
+    assert {t[0] for t in result} <= cands
+    counted = {r["itemset"]: r["freq"] for r in
+               decode_itemsets(totals, local.dictionary, local.dict_rows).collect()}
+    assert all(counted[t[0]] == t[2] for t in result)
