@@ -42,3 +42,18 @@ def test_matches_brute_force(spark, baskets, s):
             for k in range(1, len(items)):
                 for c in itertools.combinations(items, k):
                     assert " ".join(c) in names
+
+
+def test_independent_of_row_order(spark):
+    import random
+    rng = random.Random(7)
+    baskets = [rng.sample(list("abcdefg"), rng.randint(0, 5)) for _ in range(60)]
+    shuffled = baskets[:]
+    rng.shuffle(shuffled)
+    out = []
+    for bs in (baskets, shuffled):
+        df = spark.createDataFrame([(i * 7 + 3, b) for i, b in enumerate(bs)],
+                                   "basket bigint, items array<string>")
+        out.append(sorted((r["itemset"], r["freq"]) for r in frequent_itemsets(
+            from_arrays(df, "basket", "items"), 0.15).collect()))
+    assert out[0] == out[1] == sorted((a, f) for a, _, f in brute(baskets, 0.15))
