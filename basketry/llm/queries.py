@@ -34,23 +34,44 @@ def op2_token_counts(spark, sf_dir):
                         tokenizer_file("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op3_decontamination(spark, sf_dir):
+    from basketry.llm.decontaminate import find_leaks
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_suffix_lm(spark, sf_dir):
+    from basketry.llm.suffix_lm import score
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     from basketry.llm.secrets import scan
     return scan(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"),
                 public_tokenizers.PATTERN)
 
 
+def op6_near_dup(spark, sf_dir):
+    from basketry.llm.near_dup import NearDupParams, near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"), NearDupParams(shingle=4)).drop(
+        "tkey", "node")
+
+
 def op7_token_orc(spark, sf_dir):
     from basketry.llm.token_orc import token_file_rows
     return token_file_rows(_table(spark, sf_dir, "documents"),
                            tokenizer_file("word_bpe_49k.json"), END_ID)
 
 
+def op9_bpe_reuse(spark, sf_dir):
+    from basketry.llm.bpe_reuse import digests
+    return digests(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark, sf_dir):
     from basketry.llm.quality import judge
     return judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_counts": op2_token_counts,
-           "op5_secret_scan": op5_secret_scan, "op7_token_orc": op7_token_orc,
-           "op10_quality_rules": op10_quality_rules}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_token_counts, op3_decontamination, op4_suffix_lm, op5_secret_scan,
+    op6_near_dup, op7_token_orc, op9_bpe_reuse, op10_quality_rules)}

@@ -88,13 +88,14 @@ def match_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
         F.concat(_reversed(F.col("labels")), F.lit(PATH), "path").alias("key"),
         F.concat("host", "path").alias("rule"), F.char_length("host").alias("host_len"),
         "verdict", F.size("labels").alias("depth")), "url-rules")
-    depths = r.select("depth").distinct().agg(F.sort_array(F.collect_list("depth")).alias("depths"))
+    # Label counts of the rules: a handful of numbers.
+    depths = sorted(x.depth for x in r.select("depth").distinct().collect())
 
     u = hosts.where("host <> ''").select(
         "host", "path", F.split("host", r"\.").alias("labels"))
-    u = u.join(F.broadcast(depths))  # one row: the label counts of rules
     u = u.select("host", "path", "labels", F.explode(F.filter(
-        "depths", lambda d: d <= F.size("labels"))).alias("d"))
+        F.array(*[F.lit(d) for d in depths]).cast("array<int>"),
+        lambda d: d <= F.size("labels"))).alias("d"))
     u = session.write_table(u.select("host", "path", F.concat(
         _reversed(F.expr("slice(labels, size(labels) - d + 1, d)")),
         F.lit(PATH), "path").alias("key")), "url-keys")
