@@ -62,6 +62,11 @@ def op7_token_orc(spark, sf_dir):
                            tokenizer_file("word_bpe_49k.json"), END_ID)
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    from basketry.llm.repeats import remove_repeats
+    return remove_repeats(_table(spark, sf_dir, "documents"), 200)
+
+
 def op9_bpe_reuse(spark, sf_dir):
     from basketry.llm.bpe_reuse import digests
     return digests(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -74,4 +79,4 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_token_counts, op3_decontamination, op4_suffix_lm, op5_secret_scan,
-    op6_near_dup, op7_token_orc, op9_bpe_reuse, op10_quality_rules)}
+    op6_near_dup, op7_token_orc, op8_suffix_dedup, op9_bpe_reuse, op10_quality_rules)}
