@@ -240,6 +240,24 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
 
 
+def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
+           ids_col: str = "ids") -> DataFrame:
+    """``(doc_id, text)`` of ``encode`` rows, special tokens kept; null or
+    empty ids give the empty text."""
+    tasks.prepare(tokens.sparkSession)
+    kind = tokens.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        enc = reuse_coder(tokenizer_path)
+        for b in batches:
+            texts = [enc.decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())],
+                                             ["doc_id", "text"])
+
+    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(
+        run, f"doc_id {kind}, text string")
+
+
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each text encoded

@@ -294,5 +294,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = Le
                     [b.column(1).slice(i, j - i).filter(pa.array(keep))], ["row"])
 
         kept = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}")
-        docs = kept.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+        docs = kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return docs

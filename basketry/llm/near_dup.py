@@ -283,4 +283,4 @@ def keep_one(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: s
     rows = keyed.join(one.unionByName(every),
                       F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_t")))
     rows = rows.dropDuplicates(["_id", "_key"]).where("_once").unionByName(rows.where("not _once"))
-    return rows.select(*[F.col(f"_in.{c}").alias(c) for c in docs.columns])
+    return rows.select(*[F.col(f"_in.`{c}`").alias(c) for c in docs.columns])

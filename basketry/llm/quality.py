@@ -85,15 +85,14 @@ def boilerplate(docs: DataFrame, limits: QualityLimits, text_col: str = "text",
 
 def measured(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col: str = "text",
              host_col: str = "source") -> DataFrame:
-    """``docs`` with one struct column ``_q``: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words (BIGINT), base_failed, removed_words (BIGINT),
-    kept (BOOLEAN), kept_text (the text without boilerplate lines).
+    """``(row, q)``: each input row as a struct, whatever its columns are
+    called, and its measures: n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words (BIGINT), base_failed, removed_words (BIGINT), kept
+    (BOOLEAN), kept_text (the text without boilerplate lines).
 
     Null and empty texts have no words and fail the base rule; equal rows get
-    equal values; an empty table stays empty.  Input columns are carried
-    through under their own names.
+    equal values; an empty table stays empty.
     """
-    cols = [F.col(f"_in.{c}").alias(c) for c in docs.columns]
     frequent = session.write_table(boilerplate(docs, limits, text_col, host_col), "boilerplate")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_in")).select(
         "_in", F.coalesce(F.col(f"_in.{host_col}").cast("string"), F.lit("")).alias("_host"),
@@ -138,7 +137,7 @@ def measured(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col:
         F.col("_rep").alias("n_repeat_words"), failed.alias("base_failed"),
         (F.col("_n") - F.col("_kw")).cast("bigint").alias("removed_words"),
         (~failed & left).alias("kept"), F.col("_kept").alias("kept_text"))
-    return rows.select(*cols, q.alias("_q"))
+    return rows.select(F.col("_in").alias("row"), q.alias("q"))
 
 
 def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), id_col: str = "doc_id",
@@ -148,17 +147,22 @@ def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), id_col: str
                          F.col(host_col).alias("source"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
              "base_failed", "kept", "removed_words"]
-    return measured(narrow, limits).select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in names])
+    return measured(narrow, limits).select("row.doc_id", *[F.col(f"q.{n}") for n in names])
 
 
 def clean(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col: str = "text",
           host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The kept documents, all columns, boilerplate lines removed from the
     text (and ``chars_col`` recomputed where a line went)."""
-    rows = measured(docs, limits, text_col, host_col).where("_q.kept")
-    gone = F.col("_q.removed_words") > 0
-    new = {text_col: F.when(gone, F.col("_q.kept_text")).otherwise(F.col(text_col))}
-    if chars_col and chars_col in docs.columns:
-        new[chars_col] = F.when(gone, F.char_length("_q.kept_text").cast(
-            docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rows = measured(docs, limits, text_col, host_col).where("q.kept")
+    gone = F.col("q.removed_words") > 0
+    out = []
+    for c in docs.columns:
+        value = F.col(f"row.`{c}`")
+        if c == text_col:
+            value = F.when(gone, F.col("q.kept_text")).otherwise(value)
+        elif c == chars_col:
+            value = F.when(gone, F.char_length("q.kept_text").cast(
+                docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
+    return rows.select(*out)

@@ -198,7 +198,7 @@ def redact(docs: DataFrame, rank_path: str, pattern: str, limits: SecretLimits =
             out.append(F.coalesce("masked", "text").alias(c))
         elif c == chars_col:
             out.append(F.when(hit, F.char_length("masked").cast(docs.schema[c].dataType))
-                       .otherwise(F.col(f"row.{c}")).alias(c))
+                       .otherwise(F.col(f"row.`{c}`")).alias(c))
         else:
-            out.append(F.col(f"row.{c}").alias(c))
+            out.append(F.col(f"row.`{c}`").alias(c))
     return rows.select(*out)
