@@ -15,11 +15,19 @@ over an ASCII blank:
   before it.
 
 Special-token strings hold no blank, so no cut falls inside one.
+
+A piece of ASCII letters and plain marks is two words to both patterns
+(letters; marks), unchanged by normalisation but for the case, so its words
+go straight to the library's BPE model.  All other pieces take the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,14 @@ from basketry.llm.tasks import strings_at
 
 #: Distinct pieces a worker remembers.  More pieces are still encoded, only
 #: not remembered, so results do not depend on it.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
+
+#: Letters, then marks that no contraction or special token begins with.
+PLAIN = {"byte": re.compile(r"( ?[A-Za-z]+)([.,;:!?()-]*)"),
+         "word": re.compile(r"[ \n]?([A-Za-z]+)([.,;:!?()-]*)")}
+#: The pre-tokenizer and normalizer steps for which that holds.
+PLAIN_STEPS = {"byte": (["ByteLevel"], []),
+               "word": (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"])}
 
 
 def load_tokenizer(path: str):
@@ -58,7 +73,38 @@ class PieceCoder:
     def __init__(self, path: str, cut: str):
         if cut not in ("byte", "word"):
             raise ValueError(f"unknown cut {cut!r}")
-        self.tok, self.cut, self.memo = load_tokenizer(path), cut, {}
+        self.tok, self.cut, self.memo, self.words = load_tokenizer(path), cut, {}, {}
+        self.model = self.tok.model
+        self.plain = PLAIN[cut] if self._has_plain_steps() else None
+
+    def _has_plain_steps(self) -> bool:
+        spec = json.loads(self.tok.to_str())
+
+        def kinds(step, inner):
+            return [] if step is None else [x["type"] for x in step.get(inner, [step])]
+
+        steps = (kinds(spec["pre_tokenizer"], "pretokenizers"), kinds(spec["normalizer"], "normalizers"))
+        return steps == PLAIN_STEPS[self.cut] and not any(
+            self.plain_text(t["content"]) for t in spec["added_tokens"])
+
+    def plain_text(self, text: str) -> bool:
+        return PLAIN[self.cut].fullmatch(text) is not None
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word that normalisation leaves as it is."""
+        got = self.words.get(word)
+        if got is None:
+            got = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            if len(self.words) < MEMO_PIECES:
+                self.words[word] = got
+        return got
+
+    def _plain_ids(self, piece: str) -> bytes | None:
+        m = self.plain.fullmatch(piece) if self.plain else None
+        if m is None:
+            return None
+        first = m[1].lower() if self.cut == "word" else m[1].replace(" ", "\u0120")
+        return self._word(first) + self._word(m[2]) if m[2] else self._word(first)
 
     def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Starts of all pieces: row starts (non-empty rows) and safe cuts."""
@@ -77,7 +123,14 @@ class PieceCoder:
         """Ids of each piece as packed unsigned 32-bit integers."""
         memo = self.memo
         found = [memo.get(p) for p in pieces]
-        new = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = got = self._plain_ids(pieces[i])
+                if got is None:
+                    new.append(i)
+                elif len(memo) < MEMO_PIECES:
+                    memo[pieces[i]] = got
         for a in range(0, len(new), 4096):
             part = new[a:a + 4096]
             got = self.tok.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)
