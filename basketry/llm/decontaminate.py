@@ -94,6 +94,9 @@ class Block:
         self.words, self.row = plain_words(data, off)
         self.grams, self.at = shingles(self.words, self.row, ngram)
         self.all = np.unique(self.grams)
+        # n-gram sizes to look for: items of fewer words are their own n-gram
+        own = np.diff(self.row)
+        self.sizes = sorted({int(x) for x in np.minimum(own, ngram) if x})
 
     def choose(self, df: dict[int, int], limit: float) -> None:
         """Keep each item's seeds; ``df``: documents holding an n-gram."""
@@ -130,13 +133,14 @@ class Block:
             self._bits = (self.all, bits)
         return self._bits[1]
 
-    def leaks(self, words: np.ndarray, grams: np.ndarray, least: float):
-        """``(item index, score, start word, end word)`` of one text, the best
-        alignment of each item that scores ``least`` or more."""
+    def leaks(self, words: np.ndarray, grams: np.ndarray, at: np.ndarray, least: float):
+        """``(item index, score, start word, end word)`` of one text with the
+        seeds ``grams`` at words ``at``: the best alignment of each item that
+        scores ``least`` or more."""
         found = {}
-        for pos in self.hits(grams):
-            lo = np.searchsorted(self.seed, grams[pos])
-            hi = np.searchsorted(self.seed, grams[pos], side="right")
+        for g, pos in zip(grams, at, strict=True):
+            lo = np.searchsorted(self.seed, g)
+            hi = np.searchsorted(self.seed, g, side="right")
             for i, p in zip(self.item[lo:hi], self.place[lo:hi], strict=True):
                 found.setdefault(int(i), []).append(int(pos - p))
         out = []
@@ -182,12 +186,32 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text"))
 
 
-def _steps(batches, ngram):
+def _steps(batches, block: Block):
+    """Per step: batch, rows, words, row offsets, and the block's n-grams (or
+    seeds) in it with their rows and word places in the row."""
     for b in batches:
         for i, j, data, off in tasks.sliced_texts(b):
             words, row = plain_words(data, off)
-            grams, at = shingles(words, row, ngram)
-            yield b, i, j, words, row, grams, at
+            gram, owner, place = [], [], []
+            for size in block.sizes:
+                h, at = shingles(words, row, size)
+                hit = block.hits(h)
+                own = np.searchsorted(at, hit, side="right") - 1
+                gram.append(h[hit])
+                owner.append(own)
+                place.append(hit - at[own])
+            join = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (gram, owner, place)]
+            yield b, i, j, words, row, *join
+
+
+def _leaking(block: Block, words, row, gram, owner, place, least: float):
+    """``(row of the step, leak)`` of the rows that hold a seed."""
+    order = np.lexsort((place, owner))
+    gram, owner, place = gram[order], owner[order], place[order]
+    rows, first = np.unique(owner, return_index=True)
+    for k, a, b in zip(rows, first, np.append(first[1:], len(owner)), strict=True):
+        for x in block.leaks(words[row[k]:row[k + 1]], gram[a:b], place[a:b], least):
+            yield int(k), x
 
 
 def _choose_seeds(docs: DataFrame, block: Block, p: LeakParams, text_col: str) -> None:
@@ -197,11 +221,9 @@ def _choose_seeds(docs: DataFrame, block: Block, p: LeakParams, text_col: str) -
         blk = shared.value
         total = np.zeros(len(blk.all), np.int64)
         n_rows = 0
-        for _, i, j, _, _, grams, at in _steps(batches, blk.ngram):
+        for _, i, j, _, _, gram, owner, _ in _steps(batches, blk):
             n_rows += j - i
-            pos = blk.hits(grams)
-            owner = np.searchsorted(at, pos, side="right") - 1
-            pair = np.unique(owner * len(blk.all) + np.searchsorted(blk.all, grams[pos]))
+            pair = np.unique(owner * len(blk.all) + np.searchsorted(blk.all, gram))
             np.add.at(total, pair % max(1, len(blk.all)), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -242,12 +264,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
         def run(batches, shared=shared):
             blk = shared.value
-            for b, i, j, words, row, grams, at in _steps(batches, blk.ngram):
-                got = []
-                for k in _touched(blk, grams, at):
-                    for x in blk.leaks(words[row[k]:row[k + 1]], grams[at[k]:at[k + 1]],
-                                       params.min_score):
-                        got.append((i + k, *x))
+            for b, i, _, *step in _steps(batches, blk):
+                got = [(i + k, *x) for k, x in _leaking(blk, *step, params.min_score)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([g[0] for g in got], pa.int64())),
                      pa.array([blk.ids[g[1]] for g in got], item_type),
@@ -265,11 +283,6 @@ def _arrow_type(df: DataFrame, col: str):
     return to_arrow_type(df.schema[col].dataType)
 
 
-def _touched(block: Block, grams: np.ndarray, at: np.ndarray):
-    """Rows of a step that hold a seed."""
-    return np.unique(np.searchsorted(at, block.hits(grams), side="right") - 1)
-
-
 def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(),
                   text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
@@ -285,11 +298,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = Le
 
         def run(batches, shared=shared):
             blk = shared.value
-            for b, i, j, words, row, grams, at in _steps(batches, blk.ngram):
+            for b, i, j, *step in _steps(batches, blk):
                 keep = np.ones(j - i, bool)
-                for k in _touched(blk, grams, at):
-                    keep[k] = not blk.leaks(words[row[k]:row[k + 1]], grams[at[k]:at[k + 1]],
-                                            params.min_score)
+                keep[[k for k, _ in _leaking(blk, *step, params.min_score)]] = False
                 yield pa.RecordBatch.from_arrays(
                     [b.column(1).slice(i, j - i).filter(pa.array(keep))], ["row"])
 
