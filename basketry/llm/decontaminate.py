@@ -209,7 +209,8 @@ def _leaking(block: Block, words, row, gram, owner, place, least: float):
     order = np.lexsort((place, owner))
     gram, owner, place = gram[order], owner[order], place[order]
     rows, first = np.unique(owner, return_index=True)
-    for k, a, b in zip(rows, first, np.append(first[1:], len(owner)), strict=True):
+    ends = np.append(first[1:], len(owner))[:len(first)]
+    for k, a, b in zip(rows, first, ends, strict=True):
         for x in block.leaks(words[row[k]:row[k + 1]], gram[a:b], place[a:b], least):
             yield int(k), x
 

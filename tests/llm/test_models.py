@@ -7,16 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from basketry.llm import decontaminate, suffix_lm
 from basketry.llm.decontaminate import LeakParams, align
 from basketry.llm.suffix_lm import LmParams
-from basketry.llm.tasks import text_bytes
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
-SMALL = LmParams(min_share=1e-4, min_divergence=2.0)
+SMALL = LmParams(min_share=1e-3, min_divergence=2.0)
 
 
 def words_of(text):
@@ -60,71 +58,100 @@ def test_lm_without_rows(empty, docs):
     assert got and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in got)
 
 
-def symbols_of(text):
-    return b"".join(w.encode() + b" " for w in words_of(text)) + b"\n"
-
-
-def plain_model(train, p):
-    """Counts of every context, and the same tests and smoothing, in dicts."""
-    grams = Counter()
+def plain_scores(texts, train, p):
+    """The model in dicts: words as symbols, contexts, tests and smoothing."""
+    count = Counter(w for t in train for w in words_of(t))
+    n = sum(count.values()) + len(train)
+    least, top = max(2.0, p.frequent_share * n), p.top_share * n
+    name = lambda w: ("top", w) if count[w] >= max(top, least) else (
+        "other" if count[w] >= least else "rare")
+    stream = lambda t: ["end"] * p.depth + [name(w) for w in words_of(t)] + ["end"]
+    pairs = Counter()
     for t in train:
-        s = b"\n" * p.depth + symbols_of(t)
+        s = stream(t)
         for i in range(p.depth, len(s)):
             for d in range(p.depth + 1):
-                grams[s[i - d:i], s[i]] += 1
-    total = Counter()
-    for (c, _), n in grams.items():
-        total[c] += n
-    nxt = {}
-    for (c, b), n in grams.items():
-        nxt.setdefault(c, {})[b] = n
-    return grams, total, nxt
-
-
-def test_tree_equals_plain_model(spark, texts):
-    p = LmParams(depth=3, min_share=2e-3, min_divergence=3.0)
-    table = spark.createDataFrame([(t,) for t in texts], "text string")
-    tree = suffix_lm.grow_tree(suffix_lm.corpus_counts(table, p.depth), p)
-    grams, total, nxt = plain_model(texts, p)
-    assert len(nxt[b""]) < suffix_lm.CLASSES  # every byte has a class of its own
-    n = total[b""]
-    prob, keep = {}, set()
-    for c in sorted(total, key=len):
-        if not c:
-            prob[c] = {b: (nxt[c].get(b, 0) + 1) / (n + suffix_lm.CLASSES) for b in range(256)}
-            keep.add(c)
-        elif total[c] >= p.min_share * n:
-            up = prob[c[1:]]
-            prob[c] = {b: (nxt[c].get(b, 0) + p.smoothing * up[b]) / (total[c] + p.smoothing)
-                       for b in up}
-            gain = sum(k * math.log(k / total[c] / up[b]) for b, k in nxt[c].items())
-            if gain >= p.min_divergence:
+                pairs[tuple(s[i - d:i]), s[i]] += 1
+    total, nxt = Counter(), {}
+    for (c, x), k in pairs.items():
+        total[c] += k
+        nxt.setdefault(c, {})[x] = k
+    width = 3 + sum(isinstance(name(w), tuple) for w in count)
+    enough = {c for c in total if c == () or (total[c] >= p.min_share * n and "end" not in c[1:])}
+    prob, keep = {}, {()}
+
+    def at(c, x):
+        return prob[c](x)
+
+    def smooth(c):
+        w = p.smoothing if c else width
+        return lambda x: (nxt[c].get(x, 0) + w * (at(c[1:], x) if c else 1 / width)) / (total[c] + w)
+
+    for c in sorted(enough, key=len):
+        if all(c[i:] in enough for i in range(len(c))):
+            prob[c] = smooth(c)
+            gain = sum(k * math.log(k / total[c] / at(c[1:], x)) for x, k in nxt[c].items()) if c else 0
+            if c and gain >= p.min_divergence + len(nxt[c]):
                 keep |= {c[i:] for i in range(len(c) + 1)}
-    assert (tree.logp.size // suffix_lm.CLASSES) == len(keep)
-    data, off = text_bytes(pa.array(texts))
-    seq, first, last, _, _ = suffix_lm.symbols(data, off, p.depth)
-    got = tree.scores(seq, first, last)
-    for i, t in enumerate(texts):
-        s = b"\n" * p.depth + symbols_of(t)
-        assert bytes(seq[first[i]:last[i]]) == s[p.depth:]
-        want = 0.0
-        for j in range(p.depth, len(s)):
-            c = next(s[j - d:j] for d in range(p.depth, -1, -1) if s[j - d:j] in keep
-                     and all(s[j - e:j] in keep for e in range(d)))
-            want += math.log10(prob[c][s[j]])
-        assert got[i] == pytest.approx(want, rel=1e-9)
+    rare = [k for k in count.values() if k < least]
+    other = sum(k for w, k in count.items() if name(w) == "other")
+    out = []
+    for t in texts:
+        s, words = stream(t), [*words_of(t), None]
+        got = 0.0
+        for i in range(p.depth, len(s)):
+            c = next(tuple(s[i - d:i]) for d in range(p.depth, -1, -1) if tuple(s[i - d:i]) in keep)
+            got += math.log10(prob[c](s[i]))
+            if s[i] == "other":
+                got += math.log10(count[words[i - p.depth]] / other)
+            if s[i] == "rare":
+                got += math.log10((count[words[i - p.depth]] + 1) / (sum(rare) + len(rare) + 1))
+        out.append(got)
+    return out, len(keep)
+
+
+@pytest.mark.parametrize("depth,share", [(1, 2e-3), (2, 2e-3), (3, 1e-3)])
+def test_scores_equal_plain_model(spark, texts, depth, share):
+    p = LmParams(depth=depth, min_share=share, min_next_share=0.0, top_share=2e-3, frequent_share=1e-3,
+                 min_divergence=1.0)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "a b c a b d") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, kept = plain_scores([t for _, t in rows], [t for d, t in rows if not held(d)], p)
+    got = {r.doc_id: r.score for r in suffix_lm.score(docs, p).collect()}
+    assert kept > 5
+    assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-9)
 
 
 def test_distributions_sum_to_one(spark, texts):
-    table = spark.createDataFrame([(t,) for t in texts], "text string")
-    tree = suffix_lm.grow_tree(suffix_lm.corpus_counts(table, 3), LmParams(depth=3, min_share=1e-3))
-    rows = 10 ** tree.logp.reshape(-1, suffix_lm.CLASSES)
-    assert np.allclose(rows.sum(1), 1.0)
+    """Next symbols without an entry share what is left, in every state."""
+    table = spark.createDataFrame([(t,) for t in texts + ["a b c a b d"] * 9], "text string")
+    p = LmParams(min_share=1e-3, min_next_share=3e-3, top_share=2e-3, min_divergence=1.0)
+    tree = suffix_lm.train(table, p)[0].tree
+    width = round(10 ** -tree.even)
+    for state in range(len(tree.parent)):
+        chain, s = [], state
+        while True:
+            chain.append(s)
+            if not s:
+                break
+            s = int(tree.parent[s])
+        total = 0.0
+        for sym in range(width):
+            weight = 0.0
+            for s in chain:
+                at, hit = suffix_lm._find(tree.next_keys, np.array([s << suffix_lm.BITS | sym]))
+                if hit[0]:
+                    total += 10 ** (weight + tree.next[at[0]])
+                    break
+                weight += tree.back[s]
+            else:
+                total += 10 ** (weight + tree.even)
+        assert total == pytest.approx(1.0)
 
 
 def test_held_out_text_is_scored_better_than_by_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = suffix_lm.score(docs, LmParams(min_share=1e-4)).where("held_out").agg(
+    got = suffix_lm.score(docs).where("held_out").agg(
         {"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]
 
