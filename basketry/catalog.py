@@ -19,9 +19,10 @@ from basketry.functions import expressions as X
 from basketry.operators import levels as LV
 from basketry.operators.dictionary import codes_key, decode_itemsets, item_dictionary
 from basketry.operators.positions import assign_chunks, with_positions
-from basketry.operators.support import item_support, itemset_support, support_filter
+from basketry.operators.support import (item_support, itemset_support, support_filter,
+                                         support_lookup)
 from basketry.plans import apriori, son
-from basketry.session import materialize, scratch_path
+from basketry.session import scratch_path, write_table
 from basketry.sources import fixtures as FX
 from basketry.sources import text as TX
 
@@ -61,19 +62,17 @@ def _udc(spark, d):
 
 
 def _decoded(res: apriori.Levels, coded: DataFrame, part_cols=()) -> DataFrame:
-    return decode_itemsets(coded, res.dictionary, res.dict_rows, list(part_cols))
+    return decode_itemsets(coded, res.dictionary, list(part_cols))
 
 
 def _occ_itemsets(res: apriori.Levels, occ: DataFrame) -> DataFrame:
     """Occurrence rows ``(basket, items)`` -> ``(basket, itemset)``: decode
-    each distinct itemset once, then join back on the coded itemset (a
-    broadcast after a row count)."""
-    names = materialize(decode_itemsets(
+    each distinct itemset once, then join back on the coded itemset."""
+    names = write_table(decode_itemsets(
         occ.select("items").distinct().withColumn("freq", F.lit(0)),
-        res.dictionary, res.dict_rows, keep_items=True))
-    return apriori.bounded_join(occ.select("basket", "items"), names.select("items", "itemset"),
-                                ["items"], "inner", names.count(), spread_col="basket"
-                                ).select("basket", "itemset")
+        res.dictionary, keep_items=True), "names")
+    return occ.select("basket", "items").join(names.select("items", "itemset"), "items").select(
+        "basket", "itemset")
 
 
 # -- 2.1 sources and sinks ---------------------------------------------------
@@ -95,10 +94,11 @@ def q_scan_text_baskets(spark, d):
 def _udc_lines(spark, d):
     """UDC baskets as text lines with their chunk and position."""
     data, ch = _udc(spark, d)
+    # event types: a basket holds a handful at most
     arr = data.occ.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     pos = assign_chunks(data.keys, UDC_ORDER, P_UDC, n=data.n)
-    return pos.join(arr, "basket").select("basket", "pos", "chunk_id",
-                                          F.concat_ws(" ", "items").alias("value"))
+    return pos.join(arr, "basket", "left").select(
+        "basket", "pos", "chunk_id", F.concat_ws(" ", "items").alias("value"))
 
 
 def _udc_chunk_dir(spark, d) -> str:
@@ -108,15 +108,24 @@ def _udc_chunk_dir(spark, d) -> str:
 
 
 def q_scan_first_file(spark, d):
-    return TX.scan_first_file(spark, _udc_chunk_dir(spark, d)).select("value")
+    """One file per chunk here, so the first file is the first chunk."""
+    path = scratch_path(spark, "first")
+    TX.write_chunks(_udc_lines(spark, d), path, split=False)
+    return TX.scan_first_file(spark, path).select("value")
+
+
+def q_text_chunks(spark, d):
+    """Documents as a text dataset in doc_id order, in contiguous chunks."""
+    path = scratch_path(spark, "docs-text")
+    FX.table(spark, d, "documents").orderBy("doc_id").select("text").write.text(path)
+    return TX.text_chunks(spark, path, P_UDC)
 
 
 def q_scan_whole_files(spark, d):
-    whole = spark.read.text(_udc_chunk_dir(spark, d), wholetext=True)
-    return whole.select(
-        F.col("chunk_id").cast("bigint").alias("chunk_id"),
-        (F.size(F.split("value", "\n")) - 1).cast("bigint").alias("n_lines"),
-        F.length("value").cast("bigint").alias("n_chars"))
+    whole = TX.scan_whole_files(spark, _udc_chunk_dir(spark, d))
+    return whole.groupBy(F.col("chunk_id").cast("bigint").alias("chunk_id")).agg(
+        F.sum(F.size(F.split("value", "\n")) - 1).cast("bigint").alias("n_lines"),
+        F.sum(F.length("value")).cast("bigint").alias("n_chars"))
 
 
 def _ob_counts_dir(spark, d, count_col="freq") -> str:
@@ -228,12 +237,10 @@ def q_item_dictionary(spark, d):
 def q_itemset_decode(spark, d):
     """Pairs of OB coded with the dense dictionary, then decoded."""
     data, l1 = _ob_l1(spark, d)
-    dic = materialize(item_dictionary(l1.select("item")))
-    f = dic.count()
-    occ1 = apriori.encode(data.occ, dic, f)
-    left, right, bk = LV.prepare_extension(occ1, (), f)
-    pairs = support_filter(itemset_support(LV.extend(left, right, bk)), S_OB, n=data.n)
-    named = decode_itemsets(pairs, dic, f, keep_items=True)
+    dic = write_table(item_dictionary(l1.select("item")), "dictionary")
+    occ1 = apriori.encode(data.occ, dic)
+    pairs = support_filter(itemset_support(LV.extend(LV.first_level(occ1), occ1)), S_OB, n=data.n)
+    named = decode_itemsets(pairs, dic, keep_items=True)
     return named.select(codes_key("items").alias("codes"), "itemset")
 
 
@@ -269,9 +276,7 @@ def q_son_frequent_itemsets(spark, d):
 
 def q_prune_baskets(spark, d):
     data, l1 = _ob_l1(spark, d)
-    l1 = materialize(l1)
-    kept = apriori.bounded_join(data.occ, l1.select("item"), ["item"], "left_semi",
-                                l1.count(), spread_col="basket")
+    kept = LV.only(data.occ, write_table(l1, "items"), key="item")
     return kept.select(F.col("basket").alias("basket_id"), "item")
 
 
@@ -292,9 +297,7 @@ def _ob_pairs(spark, d):
     """Every pair of frequent items of each OB basket (JN-2), unfiltered."""
     data = _ob(spark, d)
     res = _levels(spark, data, S_OB, max_len=1)
-    occ1 = apriori.encode(data.occ, res.dictionary, res.dict_rows)
-    left, right, bk = LV.prepare_extension(occ1, (), res.dict_rows)
-    return res, LV.extend(left, right, bk)
+    return res, LV.extend(LV.first_level(res.occ1), res.occ1)
 
 
 def q_basket_pairs(spark, d):
@@ -307,9 +310,7 @@ def _ude_x3(spark, d):
     same basket (JN-3, k = 3), before any candidate or support filter."""
     data = _ude(spark, d)
     res = _levels(spark, data, S_UDE, keep_occurrences=True, max_len=2)
-    occ1 = res.occurrences[0].select("basket", F.col("last").alias("code"))
-    _, right, bk = LV.prepare_extension(occ1, (), res.dict_rows)
-    return res, LV.extend(res.occurrences[1], right, bk)
+    return res, LV.extend(res.occurrences[1], res.occ1)
 
 
 def q_basket_k_combinations(spark, d):
@@ -328,45 +329,30 @@ def q_basket_frequent_itemsets(spark, d):
 def _udc_containment(spark, d):
     data, ch = _udc(spark, d)
     local = son.local_levels(ch, S_UDC)
-    cand, per_size = son.candidates(local)
-    return data, ch, local, cand, per_size
+    cand, sizes = son.candidates(local)
+    return data, ch, local, cand, sizes
 
 
 def q_basket_candidates(spark, d):
-    data, ch, local, cand, per_size = _udc_containment(spark, d)
-    c1 = cand.where(F.col("size") == 1).select(F.col("items")[0].alias("code"))
-    coded = local.dictionary.join(c1, "code", "left_semi")
-    occ1 = apriori.encode(data.occ, coded, local.dict_rows, per_part=False)
-    left, right, bk = LV.prepare_extension(occ1, (), local.dict_rows)
-    occ = left.select("basket", "items")
-    for k in range(2, max(per_size) + 1):
-        ck = cand.where(F.col("size") == k).select("items")
-        left = apriori.bounded_join(LV.extend(left, right, bk), ck, ["items"], "left_semi",
-                                    per_size.get(k, 0), spread_col="basket")
-        left = LV.store_occurrences(left, bk)
-        occ = occ.unionByName(left.select("basket", "items"))
+    data, ch, local, cand, sizes = _udc_containment(spark, d)
+    levels = son.contained_candidates(data.occ, local, cand, sizes)
+    occ = levels[0].select("basket", "items")
+    for rows in levels[1:]:
+        occ = occ.unionByName(rows.select("basket", "items"))
     return _ude_out(_occ_itemsets(local, occ), "itemset")
 
 
 def q_basket_candidate_items(spark, d):
-    data, ch, local, cand, per_size = _udc_containment(spark, d)
-    c1 = cand.where(F.col("size") == 1).select(F.col("items")[0].alias("code"))
-    items = local.dictionary.join(c1, "code", "left_semi").select("item")
-    kept = apriori.bounded_join(data.occ, items, ["item"], "left_semi", per_size.get(1, 0),
-                                spread_col="basket")
-    return _ude_out(kept, "item")
+    data, ch, local, cand, sizes = _udc_containment(spark, d)
+    return _ude_out(son.candidate_items(data.occ, local, cand), "item")
 
 
 def q_support_lookup(spark, d):
     data = _ob(spark, d)
     res = _levels(spark, data, S_OB, keep_occurrences=True, max_len=2)
-    cand = materialize(LV.candidate_gen(res.levels[1]))
-    occ1 = res.occurrences[0].select("basket", F.col("last").alias("code"))
-    _, right, bk = LV.prepare_extension(occ1, (), res.dict_rows)
-    counts = itemset_support(LV.extend(res.occurrences[1], right, bk))
-    looked = cand.join(counts, "items", "left").select(
-        "items", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
-    return _decoded(res, looked).select("itemset", "freq")
+    cand = write_table(LV.candidate_gen(res.levels[1]), "candidates")
+    counts = itemset_support(LV.extend(res.occurrences[1], res.occ1))
+    return _decoded(res, support_lookup(cand, counts)).select("itemset", "freq")
 
 
 # -- 2.5 aggregations -------------------------------------------------------------
@@ -387,10 +373,16 @@ def q_triple_support(spark, d):
 
 
 def q_prefix_groups(spark, d):
-    pairs = _ob_result(spark, d).where(F.col("size") == 2)
-    items = F.split("itemset", " ")
-    return pairs.groupBy(F.concat_ws(" ", X.itemset_prefix(items)).alias("prefix")).agg(
-        F.concat_ws(" ", F.sort_array(F.collect_list(X.itemset_last(items)))).alias("lasts"))
+    """A-4 on the found pairs; items decode by their place in the rows."""
+    res = _levels(spark, _ob(spark, d), S_OB, max_len=2)
+    groups = LV.prefix_groups(res.levels[1])
+    named = {}
+    for c in ("prefix", "lasts"):  # a group has at most F items
+        rows = groups.select(F.col("prefix").alias("_k"), F.posexplode(c).alias("pos", "code"))
+        named[c] = rows.join(res.dictionary, "code").groupBy("_k").agg(
+            F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))),
+                                         lambda x: x["item"])).alias(c))
+    return named["prefix"].join(named["lasts"], "_k").select("prefix", "lasts")
 
 
 def q_chunk_sizes(spark, d):
@@ -411,20 +403,20 @@ def q_basket_count(spark, d):
 
 
 def q_son_candidates(spark, d):
-    data, ch, local, cand, per_size = _udc_containment(spark, d)
+    data, ch, local, cand, sizes = _udc_containment(spark, d)
     return _decoded(local, cand.select("items", F.lit(0).cast("bigint").alias("freq"))
                     ).select("itemset", "size")
 
 
 def q_partial_candidate_counts(spark, d):
-    data, ch, local, cand, per_size = _udc_containment(spark, d)
-    counts = son.count_candidates(ch.occ, local, cand, per_size, part_cols=["chunk_id"])
+    data, ch, local, cand, sizes = _udc_containment(spark, d)
+    counts = son.count_candidates(ch.occ, local, cand, sizes, part_cols=["chunk_id"])
     return _decoded(local, counts, ["chunk_id"]).select("chunk_id", "itemset", "freq")
 
 
 def q_candidate_support(spark, d):
-    data, ch, local, cand, per_size = _udc_containment(spark, d)
-    counts = son.count_candidates(data.occ, local, cand, per_size)
+    data, ch, local, cand, sizes = _udc_containment(spark, d)
+    counts = son.count_candidates(data.occ, local, cand, sizes)
     return _decoded(local, counts).select("itemset", "size", "freq")
 
 

@@ -2,8 +2,7 @@
 
 Codes are dense and follow string order of the items, so a sorted array of
 codes decodes to a sorted list of items and itemsets never need a re-sort.
-The dictionary holds frequent items only; its size F is counted before it is
-ever broadcast (and F <= total occurrences / (s * N)).
+The dictionary holds frequent items only, at most occurrences / (s * N).
 """
 
 from __future__ import annotations
@@ -11,49 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.joins import bounded_join
 from basketry.operators.positions import with_positions
-from basketry.session import materialize
 
 
 def item_dictionary(items: DataFrame) -> DataFrame:
-    """``items(item)`` (distinct) -> ``(item, code BIGINT)``, code = rank - 1
+    """``items(item, ...)`` (distinct items) with ``code BIGINT`` = rank - 1
     (dense, see operators/positions.py)."""
-    return with_positions(items.select("item"), ["item"], "code")
+    return with_positions(items, ["item"], "code")
 
 
-def dense_codes(items: DataFrame, rows: int) -> DataFrame:
-    """``(item)`` (distinct, ``rows`` of them) -> ``(item, code)``, dense in
-    item order.  Up to the broadcast limit the rows are few enough for one
-    window task; above it the distributed ``item_dictionary``."""
-    from basketry import session
-    from pyspark.sql import Window
-    if rows <= session.BROADCAST_ROW_LIMIT:
-        w = Window.orderBy("item")
-        return items.select("item", (F.row_number().over(w) - 1).cast("bigint").alias("code"))
-    return item_dictionary(items)
-
-
-def sorted_codes(items: DataFrame) -> DataFrame:
-    """``items(item)`` (distinct) -> ``(item, code BIGINT)`` with codes
-    unique and increasing in item order, but not dense: a range-partitioned
-    sort, then ``monotonically_increasing_id``.  One sort, no offset pass;
-    this is what the miner uses."""
-    return materialize(items.select("item").orderBy("item")
-                       .withColumn("code", F.monotonically_increasing_id()))
-
-
-def decode_itemsets(coded: DataFrame, dictionary: DataFrame, dict_rows: int,
-                    part_cols=(), keep_items: bool = False) -> DataFrame:
-    """``(*part, items ARRAY<INT>, freq)`` -> ``(*part, itemset, size, freq)``.
+def decode_itemsets(coded: DataFrame, dictionary: DataFrame, part_cols=(),
+                    keep_items: bool = False) -> DataFrame:
+    """``(*part, items ARRAY<BIGINT>, freq)`` -> ``(*part, itemset, size, freq)``.
 
     Explode, look the codes up, and regroup per itemset; a group holds the k
     items of one itemset.
     """
     exploded = coded.select(*part_cols, "items", "freq",
                             F.posexplode("items").alias("pos", "code"))
-    named = bounded_join(exploded, dictionary.select("code", "item"), ["code"], "inner",
-                         dict_rows, spread_col="items")
+    named = exploded.join(dictionary.select("code", "item"), "code")
     grouped = named.groupBy(*part_cols, "items", "freq").agg(
         F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("_p"))
     return grouped.select(

@@ -1,24 +1,13 @@
 """The levelwise join machinery.
 
-Occurrences of level k are rows ``(*part, basket, _salt, items ARRAY<BIGINT>,
-last BIGINT)``: one per frequent k-itemset contained in a basket.  The next
-level joins them with the basket's frequent items (``right``) on the basket
-key, keeping items greater than ``last`` -- JN-2 for k=1, JN-3/JN-5 above.
-
-Both sides are bucketed on the basket key, and every level's output keeps
-that layout (the merge join and the broadcast semi join preserve it, the
-bucketed write records it), so each level is a merge join with **no shuffle
-of occurrences**; the only shuffle per level is the partial-aggregated count
-by itemset.
-
-Occurrence tables are written as parquet tables bucketed on the basket key
-in the shared folder (``store_occurrences``).
-
-Hot baskets: a basket holds at most F frequent items (items are distinct per
-basket).  When F exceeds ``BASKET_SPLIT_ITEMS`` a basket with m frequent
-items is spread over ``ceil(m / BASKET_SPLIT_ITEMS)`` salt values: left rows
-take the salt of their first item, right rows are copied to every salt of
-their basket, so the basket's work lands in that many tasks.
+Occurrences of level k are rows ``(*part, basket, items ARRAY<BIGINT>, last
+BIGINT)``: one per k-itemset of interest contained in a basket.  The next
+level joins them with the basket's items on the basket key, keeping items
+greater than ``last`` -- JN-2 for k=1, JN-3/JN-5 above.
+
+All joins are plain equi-joins of written tables.  A basket or itemset that
+holds a large share of the rows is a skewed key, which AQE splits over
+tasks; a table of few bytes is broadcast.
 """
 
 from __future__ import annotations
@@ -26,62 +15,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry import session
 from basketry.functions.expressions import itemset_last, itemset_prefix
-from basketry.session import materialize
-
-
-def basket_keys(part_cols=(), salted: bool = False) -> list[str]:
-    return [*part_cols, "basket", "_salt"] if salted else [*part_cols, "basket"]
-
-
-def store_occurrences(df: DataFrame, bk, nparts: int | None = None) -> DataFrame:
-    """Write an occurrence table bucketed on the basket key (see
-    ``session.write_bucketed``)."""
-    nparts = nparts or session.shuffle_partitions(df.sparkSession)
-    return session.write_bucketed(df, bk, nparts)
-
-
-def prepare_extension(occ1: DataFrame, part_cols=(), n_items: int = 0,
-                      split_items: int | None = None, partitions: int | None = None):
-    """From ``occ1(*part, basket, code)`` build the level-1 occurrences
-    (``left``), the item side of every extension join (``right``) and the
-    basket key list."""
-    split_items = session.BASKET_SPLIT_ITEMS if split_items is None else split_items
-    nparts = partitions or session.shuffle_partitions(occ1.sparkSession)
-    if n_items <= split_items:
-        # No basket can hold more than split_items frequent items: one table,
-        # bucketed once, serves both sides of every extension join.
-        bk = basket_keys(part_cols)
-        base = store_occurrences(occ1.repartition(nparts, *bk), bk, nparts)
-        right = base.select(*bk, F.col("code").alias("x"))
-        left = base.select(*bk, F.array("code").alias("items"), F.col("code").alias("last"))
-        return left, right, bk
-    bk = basket_keys(part_cols, salted=True)
-    sizes = occ1.groupBy(*part_cols, "basket").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(split_items)).cast("int").alias("_nsalt"))
-    base = materialize(occ1.join(sizes, [*part_cols, "basket"]))
-    right = store_occurrences(base.select(
-        *part_cols, "basket",
-        F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"),
-        F.col("code").alias("x")).repartition(nparts, *bk), bk, nparts)
-    left = store_occurrences(base.select(
-        *part_cols, "basket",
-        F.pmod(F.col("code"), F.col("_nsalt")).cast("int").alias("_salt"),
-        F.array("code").alias("items"),
-        F.col("code").alias("last")).repartition(nparts, *bk), bk, nparts)
-    return left, right, bk
-
-
-def extend(left: DataFrame, right: DataFrame, bk) -> DataFrame:
+
+
+def first_level(occ1: DataFrame, part_cols=()) -> DataFrame:
+    """Level-1 occurrences of ``occ1(*part, basket, code)``."""
+    return occ1.select(*part_cols, "basket", F.array("code").alias("items"),
+                       F.col("code").alias("last"))
+
+
+def extend(left: DataFrame, occ1: DataFrame, part_cols=()) -> DataFrame:
     """One level up: every occurrence extended by each larger item of its
-    basket (a merge join on the co-partitioned basket key ``bk``)."""
-    lt, rt = left.alias("l"), right.alias("r")
-    cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in bk] + [F.col("r.x") > F.col("l.last")]
-    return lt.join(rt, cond, "inner").select(
-        *[F.col(f"l.{c}").alias(c) for c in bk],
-        F.concat(F.col("l.items"), F.array(F.col("r.x"))).alias("items"),
-        F.col("r.x").alias("last"))
+    basket."""
+    keys = [*part_cols, "basket"]
+    right = occ1.select(*keys, F.col("code").alias("_x"))
+    return left.join(right, keys).where(F.col("_x") > F.col("last")).select(
+        *keys, F.concat("items", F.array("_x")).alias("items"), F.col("_x").alias("last"))
+
+
+def only(occ: DataFrame, itemsets: DataFrame, part_cols=(), key: str = "items") -> DataFrame:
+    """F-6 / JN-4 / JN-6: the occurrences whose key is in ``itemsets``."""
+    keys = [*part_cols, key]
+    return occ.join(itemsets.select(*keys), keys, "left_semi")
 
 
 def split_prefix(levels: DataFrame, part_cols=()) -> DataFrame:
@@ -93,8 +48,8 @@ def split_prefix(levels: DataFrame, part_cols=()) -> DataFrame:
 def candidate_gen(level: DataFrame, part_cols=()) -> DataFrame:
     """JN-1: C_{k+1} from L_k -- two k-itemsets with the same first k-1
     items and ``last_a < last_b`` make one (k+1)-itemset (no all-subsets
-    check).  The join is on the prefix inside L_k; a prefix group holds at
-    most F items, and the output is at most |L_k|^2 / 2 rows."""
+    check, see ``prune_candidates``).  The join is on the prefix inside L_k;
+    AQE splits a hot prefix."""
     p = split_prefix(level, part_cols)
     a = p.withColumnRenamed("last", "last_a")
     b = p.withColumnRenamed("last", "last_b")
@@ -104,6 +59,17 @@ def candidate_gen(level: DataFrame, part_cols=()) -> DataFrame:
         F.concat("prefix", F.array("last_a", "last_b")).alias("items"))
 
 
+def prune_candidates(cand: DataFrame, level: DataFrame, k: int, part_cols=()) -> DataFrame:
+    """The candidates of size ``k + 1`` all of whose k-subsets are in L_k.
+    The two subsets that made a candidate are; each other one is looked up."""
+    for drop in range(k - 1):
+        key = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, k - drop))
+        known = level.select(*part_cols, F.col("items").alias("_sub"))
+        cand = cand.withColumn("_sub", key).join(
+            known, [*part_cols, "_sub"], "left_semi").drop("_sub")
+    return cand
+
+
 def prefix_groups(level: DataFrame, part_cols=()) -> DataFrame:
     """A-4: last items grouped by prefix (a group has at most F items)."""
     return split_prefix(level, part_cols).groupBy(*part_cols, "prefix").agg(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.session import materialize
+from basketry.session import write_table
 
 _ROW_BITS = 33
 
@@ -21,13 +21,12 @@ _ROW_BITS = 33
 def with_positions(df: DataFrame, order_cols, pos_col: str = "pos") -> DataFrame:
     """Add ``pos`` = 0-based rank of each row in ``order_cols`` order.
 
-    Ties get distinct positions in an arbitrary (but, once materialised,
-    fixed) order.
+    Ties get distinct positions in an arbitrary (but, once written, fixed)
+    order.
     """
     cols = list(df.columns)
-    tagged = materialize(
-        df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    )
+    tagged = write_table(
+        df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()), "sorted")
     pid = F.shiftright("_mid", _ROW_BITS)
     per_part = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per non-empty partition: the window below sees only that many.
@@ -65,6 +64,8 @@ def assign_chunks(df: DataFrame, order_cols, chunks: int, n: int | None = None,
 
 def hash_chunks(df: DataFrame, key_col: str, chunks: int) -> DataFrame:
     """Chunks by hash of the basket key: no sort, same mining result."""
+    if chunks < 1:
+        raise ValueError("chunks must be >= 1")
     return df.withColumn(
         "chunk_id", F.pmod(F.xxhash64(F.col(key_col)), F.lit(chunks)).cast("bigint")
     )

@@ -57,7 +57,7 @@ def levels(s: float, chunked: bool = False, src: str = "b", kmax: int = K) -> li
     c = "c, " if chunked else ""
     on_c = lambda a, b: f"{a}.c = {b}.c and " if chunked else ""
     if chunked:
-        thr = f"join nc on g.c = nc.c where g.freq >= {_s(s)} * nc.n - 1e-6"
+        thr = f"join nc on g.c = nc.c where g.freq >= {_s(s)} * nc.n - greatest(1e-6, 1e-9 * {_s(s)} * nc.n)"
     else:
         thr = f"where g.freq >= {_s(s)} * (select n from n)"
     out = [
@@ -157,6 +157,12 @@ def build() -> dict[str, str]:
     q["ingest_roundtrip"] = sql([doc_lines], "select value from dl")
     q["write_chunks_roundtrip"] = sql(UDC + [UDC_ARR], (
         "select ck.c as chunk_id, arr.value from arr join ck on arr.bid = ck.bid"))
+    q["text_chunks"] = (
+        "with tl as (select doc_id, unnest(a) as value, generate_subscripts(a, 1) as i from"
+        f" (select doc_id, regexp_split_to_array(text, {LINE_BREAK}) as a from documents)),"
+        " tp as (select value, row_number() over (order by doc_id, i) - 1 as pos from tl)"
+        " select pos, pos // (select cast(ceil(count(*) / "
+        f"{float(C.P_UDC)}) as bigint) from tl) as chunk_id, value from tp")
     q["write_counts_roundtrip"] = sql(ude, "select itemset, freq from res")
     q["report_lines"] = sql(ob, (
         "select cast(0 as bigint) as line_no, cast(count(*) as varchar) as value from res"

@@ -1,11 +1,12 @@
 """IT-1: levelwise (Apriori) mining as a loop of DataFrame programs.
 
-Per level: extend the occurrences of L_{k-1} by one item of the same basket
-(merge join, no shuffle), keep candidates of C_k (JN-1, broadcast after a
-size check), count with a partial aggregate (one shuffle by itemset), filter
-by support, and keep the occurrences of L_k for the next level (broadcast
-semi join, then a reliable checkpoint that also cuts the lineage).  The
-driver only sees scalars: the row count of each level.
+Per level: extend the occurrences of L_{k-1} by one item of the same basket,
+keep candidates of C_k (JN-1 pruned by subsets), count with a partial
+aggregate (one shuffle by itemset), filter by support.  Each level writes one
+table of candidate occurrences, which both the count and the next level read;
+level 2 is the exception, since every pair of frequent items is a candidate:
+its pairs are counted without being written, and written only for the items
+that some C_3 needs.  The driver sees row counts.
 
 With ``part_cols=["chunk_id"]`` every key carries the chunk and every chunk
 is mined at its own threshold ``s * n_c`` in the same jobs (SON pass 1).
@@ -18,13 +19,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry import session
-from basketry.operators.dictionary import decode_itemsets, dense_codes
-from basketry.operators.joins import bounded_join
-from basketry.operators.levels import (candidate_gen, extend, prepare_extension,
-                                       store_occurrences)
+from basketry.operators.dictionary import decode_itemsets, item_dictionary
+from basketry.operators.levels import candidate_gen, extend, first_level, only, prune_candidates
 from basketry.operators.support import item_support, itemset_support, support_filter
-from basketry.session import materialize, materialize_counted
+from basketry.session import write_counted, write_table
 
 
 @dataclass
@@ -32,10 +30,9 @@ class Levels:
     """Result of a levelwise run, all levels coded."""
     part_cols: tuple
     dictionary: DataFrame            # (item, code)
-    dict_rows: int
+    occ1: DataFrame | None = None    # (*part, basket, code) of frequent items
     levels: list = field(default_factory=list)   # L_k: (*part, items, freq)
-    level_rows: list = field(default_factory=list)
-    occurrences: list = field(default_factory=list)  # occ_k kept when asked
+    occurrences: list = field(default_factory=list)  # occ_k, when asked
 
     def coded(self) -> DataFrame:
         out = self.levels[0]
@@ -45,102 +42,65 @@ class Levels:
 
     def itemsets(self) -> DataFrame:
         """``(*part, itemset, size, freq)`` for every level."""
-        return decode_itemsets(self.coded(), self.dictionary, self.dict_rows,
-                               list(self.part_cols))
+        return decode_itemsets(self.coded(), self.dictionary, list(self.part_cols))
 
 
-def encode(occ: DataFrame, coded_items: DataFrame, rows: int, part_cols=(),
-           per_part: bool = True) -> DataFrame:
+def encode(occ: DataFrame, coded_items: DataFrame, part_cols=()) -> DataFrame:
     """F-5 + P-11: keep the occurrences of frequent items, as codes.
+    ``coded_items(*part, item, code)``: with part columns an item that is
+    frequent in one chunk only is kept in that chunk only."""
+    on = [*part_cols, "item"]
+    return occ.join(coded_items.select(*on, "code"), on).select(*part_cols, "basket", "code")
 
-    ``per_part``: ``coded_items`` has the part columns (an item frequent in
-    one chunk only is kept in that chunk only); else it is one global
-    dictionary.
-    """
-    on = [*part_cols, "item"] if per_part else ["item"]
-    return bounded_join(occ, coded_items.select(*on, "code"), on, "inner", rows,
-                        spread_col="basket").select(*part_cols, "basket", "code")
 
-
-def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None,
-                   part_cols=(), slack: float = 0.0):
-    """L1 with its dictionary: ``(*part, item, code, freq)``, rows, dict, F.
-
-    Small tables are cached, not checkpointed: their lineage reaches back
-    only to the (written) occurrence data.
-    """
-    l1, n1 = materialize_counted(support_filter(item_support(occ, part_cols), min_support,
-                                                n=n, sizes=sizes, part_cols=part_cols,
-                                                slack=slack))
-    items = l1.select("item").distinct() if part_cols else l1.select("item")
-    dictionary = dense_codes(items, n1).persist()
-    dict_rows = dictionary.count() if part_cols else n1
-    l1c = bounded_join(l1, dictionary, ["item"], "inner", dict_rows, spread_col="item")
-    return l1c, n1, dictionary, dict_rows
+def frequent_items(occ: DataFrame, min_support: float, n=None, sizes=None, part_cols=()):
+    """L1 with codes ``(*part, item, code, freq)``, its rows, the dictionary."""
+    l1 = support_filter(item_support(occ, part_cols), min_support, n=n, sizes=sizes,
+                        part_cols=part_cols)
+    if not part_cols:
+        coded, rows = write_counted(item_dictionary(l1), "items")
+        return coded, rows, coded.select("item", "code")
+    l1, rows = write_counted(l1, "items")
+    dictionary = write_table(item_dictionary(l1.select("item").distinct()), "dictionary")
+    return l1.join(dictionary, "item"), rows, dictionary
 
 
 def mine_levels(occ: DataFrame, min_support: float, n=None, sizes=None, part_cols=(),
-                max_len: int | None = None, slack: float = 0.0,
-                keep_occurrences: bool = False, split_items: int | None = None) -> Levels:
+                max_len: int | None = None, keep_occurrences: bool = False) -> Levels:
     part_cols = tuple(part_cols)
-    l1c, n1, dictionary, dict_rows = frequent_items(occ, min_support, n, sizes,
-                                                    part_cols, slack)
-    res = Levels(part_cols, dictionary, dict_rows)
-    res.levels.append(l1c.select(*part_cols, F.array("code").alias("items"), "freq"))
-    res.level_rows.append(n1)
-    if n1 == 0 or max_len == 1:
+    keys = dict(n=n, sizes=sizes, part_cols=part_cols)
+    l1, n1, dictionary = frequent_items(occ, min_support, **keys)
+    res = Levels(part_cols, dictionary)
+    res.levels.append(l1.select(*part_cols, F.array("code").alias("items"), "freq"))
+    if n1 == 0:
         return res
-    occ1 = encode(occ, l1c, n1, part_cols)
-    left, right, bk = prepare_extension(occ1, part_cols, dict_rows, split_items)
+    res.occ1 = occ1 = write_table(encode(occ, l1, part_cols), "occ1")
+    left = first_level(occ1, part_cols)
     if keep_occurrences:
         res.occurrences.append(left)
-    cand, n_cand, k = None, 0, 2
+    cand, k = None, 2
     while max_len is None or k <= max_len:
-        ext = extend(left, right, bk)
-        if k >= 3:
-            # C_2 is every pair of frequent items: the extension is it already.
-            # From level 3 on the candidate occurrences are written once and
-            # both the count and the next level read them (no second merge
-            # join); level 2 is recomputed instead, since writing every pair
-            # would cost more than the join.
-            ext = bounded_join(ext, cand, [*part_cols, "items"], "left_semi", n_cand,
-                               spread_col="basket")
-            if n_cand > session.BROADCAST_ROW_LIMIT:
-                ext = ext.repartition(session.shuffle_partitions(ext.sparkSession), *bk)
-            ext = store_occurrences(ext, bk)
-        # A checkpoint, not a cache: the next level's candidates join this
-        # table with itself, and a cached plan would carry every earlier
-        # level twice over (plans growing as 2^k).
-        level, rows = materialize_counted(support_filter(
-            itemset_support(ext, part_cols), min_support, n=n, sizes=sizes,
-            part_cols=part_cols, slack=slack))
+        if k == 2:
+            ext = extend(left, occ1, part_cols)
+        else:
+            ext = write_table(only(extend(left, occ1, part_cols), cand, part_cols), "occ")
+        level, rows = write_counted(support_filter(itemset_support(ext, part_cols), min_support,
+                                                   **keys), "level")
         if rows == 0:
             break
         res.levels.append(level)
-        res.level_rows.append(rows)
-        last = max_len is not None and k == max_len
-        if not last and rows >= 2:
-            # C_{k+1} (JN-1) from the small level table, counted before the
-            # occurrences of L_k are written: no candidate, no next level.
-            cand, n_cand = materialize_counted(candidate_gen(level, part_cols))
-        else:
-            n_cand = 0
-        if n_cand == 0 and not keep_occurrences:
-            break
-        # Occurrences of L_k: at level 2 the merge join again (no shuffle),
-        # written as a table bucketed on the basket key (cuts lineage, keeps
-        # the layout); above, the written candidate occurrences filtered.
-        kept = bounded_join(ext, level.select(*part_cols, "items"),
-                            [*part_cols, "items"], "left_semi", rows, spread_col="basket")
-        if k >= 3 and rows <= session.BROADCAST_ROW_LIMIT:
-            left = kept  # written table, broadcast semi join: layout kept
-        else:
-            if rows > session.BROADCAST_ROW_LIMIT:
-                kept = kept.repartition(session.shuffle_partitions(kept.sparkSession), *bk)
-            left = store_occurrences(kept, bk)
         if keep_occurrences:
-            res.occurrences.append(left)
+            res.occurrences.append(write_table(only(ext, level, part_cols), "kept"))
+        if rows <= k or k == max_len:  # C_{k+1} needs k + 1 sets of size k
+            break
+        cand, n_cand = write_counted(prune_candidates(candidate_gen(level, part_cols), level, k,
+                                                      part_cols), "candidates")
         if n_cand == 0:
             break
+        left = only(ext, level, part_cols)
+        if k == 2:  # only items that a candidate holds, then the pairs again
+            held = cand.select(*part_cols, F.explode("items").alias("code")).distinct()
+            occ1 = write_table(only(occ1, held, part_cols, "code"), "occ1")
+            left = only(extend(first_level(occ1, part_cols), occ1, part_cols), level, part_cols)
         k += 1
     return res

@@ -6,9 +6,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.joins import bounded_join
+from basketry.operators.levels import only
 from basketry.operators.support import item_support, support_filter
-from basketry.session import materialize_counted
+from basketry.session import write_table
 from basketry.sources.baskets import BasketData
 
 
@@ -17,10 +17,9 @@ def basket_arrays(data: BasketData, min_support: float) -> DataFrame:
     takes N from the row count).  Items are pruned to the frequent ones
     before they are grouped: no basket array exceeds F items, and the
     FP-trees only hold items that can be in a result."""
-    l1, rows = materialize_counted(
-        support_filter(item_support(data.occ), min_support, n=data.n).select("item"))
-    pruned = bounded_join(data.occ, l1, ["item"], "left_semi", rows, spread_col="basket")
-    arr = pruned.groupBy("basket").agg(F.collect_list("item").alias("items"))
+    l1 = write_table(support_filter(item_support(data.occ), min_support, n=data.n), "items")
+    arr = only(data.occ, l1, key="item").groupBy("basket").agg(
+        F.collect_list("item").alias("items"))
     return data.keys.join(arr, "basket", "left").select(
         "basket", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from basketry import session
 from basketry.operators.support import check_support
 from basketry.sources.baskets import BasketData
 
@@ -17,19 +18,24 @@ def frequent_itemsets(data: BasketData, min_support: float, max_len: int | None
     joined by one space, exact counts.  Strategies agree on the result:
     ``apriori`` (levelwise), ``son`` (two passes over ``chunks`` chunks,
     ``chunking`` = ``hash`` or ``contiguous`` in ``order_cols`` order) and
-    ``fpgrowth`` (Spark ML).
+    ``fpgrowth`` (Spark ML).  The result is a table in the shared folder;
+    what was written on the way is deleted.  ``data`` may be mined again.
     """
     s = check_support(min_support)
     if max_len is not None and max_len < 1:
         raise ValueError("max_len must be >= 1")
-    if strategy == "apriori":
-        from basketry.plans.apriori import mine_levels
-        return mine_levels(data.occ, s, n=data.n, max_len=max_len).itemsets()
-    if strategy == "son":
-        from basketry.plans.son import son_itemsets
-        return son_itemsets(data, s, chunks, max_len=max_len, chunking=chunking,
-                            order_cols=order_cols)
-    if strategy == "fpgrowth":
-        from basketry.plans.fpgrowth import fpgrowth_itemsets
-        return fpgrowth_itemsets(data, s, max_len=max_len)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy not in ("apriori", "son", "fpgrowth"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    data.prepare()
+    with session.work(data.keys.sparkSession) as keep:
+        if strategy == "apriori":
+            from basketry.plans.apriori import mine_levels
+            out = mine_levels(data.occ, s, n=data.n, max_len=max_len).itemsets()
+        elif strategy == "son":
+            from basketry.plans.son import son_itemsets
+            out = son_itemsets(data, s, chunks, max_len=max_len, chunking=chunking,
+                               order_cols=order_cols)
+        else:
+            from basketry.plans.fpgrowth import fpgrowth_itemsets
+            out = fpgrowth_itemsets(data, s, max_len=max_len)
+        return keep(out, "itemsets")

@@ -6,24 +6,24 @@ key column.  The distinct union of the local results is the candidate set
 (A-7).  Pass 2 counts every candidate in every basket (JN-5: levelwise
 containment restricted to the candidates) and keeps those reaching
 ``s * N``.  Chunking cannot change the result: every globally frequent
-itemset is locally frequent in at least one chunk.
+itemset is locally frequent in at least one chunk.  Its items are globally
+frequent too, so the full query mines occurrences of those items only, which
+keeps small chunks from making candidates of rare items.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.dictionary import decode_itemsets
-from basketry.operators.joins import bounded_join
-from basketry.operators.levels import extend, prepare_extension, store_occurrences
+from basketry.operators.levels import extend, first_level, only
 from basketry.operators.positions import assign_chunks, hash_chunks
-from basketry.operators.support import LOCAL_SLACK, support_filter
+from basketry.operators.support import item_support, support_filter
 from basketry.plans.apriori import Levels, encode, mine_levels
-from basketry.session import materialize
+from basketry.session import write_table
 from basketry.sources.baskets import BasketData
 
 
@@ -35,88 +35,81 @@ class Chunked:
 
 
 def chunk_baskets(data: BasketData, chunks: int, chunking: str = "hash",
-                  order_cols=None) -> Chunked:
-    """WIN-1 (contiguous, in ``order_cols`` order) or hash chunks."""
+                  order_cols=None, occ: DataFrame | None = None) -> Chunked:
+    """WIN-1 (contiguous, in ``order_cols`` order) or hash chunks, of all
+    occurrences or of ``occ``, a part of them."""
+    occ = data.occ if occ is None else occ
     if chunking == "hash":
         keys = hash_chunks(data.keys, "basket", chunks).select("basket", "chunk_id")
-        occ = hash_chunks(data.occ, "basket", chunks)
+        occ = hash_chunks(occ, "basket", chunks)
     elif chunking == "contiguous":
-        keys = materialize(assign_chunks(data.keys, order_cols or ["basket"], chunks,
-                                         n=data.n).select("basket", "chunk_id"))
-        # Each basket key once per side: a plain shuffle join on the key.
-        occ = data.occ.join(keys, "basket")
+        keys = write_table(assign_chunks(data.keys, order_cols or ["basket"], chunks,
+                                         n=data.n).select("basket", "chunk_id"), "chunks")
+        occ = occ.join(keys, "basket")  # AQE splits a hot basket
     else:
         raise ValueError(f"unknown chunking {chunking!r}")
-    sizes = materialize(keys.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")))
+    sizes = write_table(keys.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     return Chunked(occ=occ.select("chunk_id", "basket", "item"), keys=keys, sizes=sizes)
 
 
 def local_levels(ch: Chunked, min_support: float, max_len=None) -> Levels:
     """M-1: locally frequent itemsets of every chunk (coded)."""
     return mine_levels(ch.occ, min_support, sizes=ch.sizes, part_cols=["chunk_id"],
-                       max_len=max_len, slack=LOCAL_SLACK)
+                       max_len=max_len)
 
 
-def candidates(local: Levels) -> tuple[DataFrame, dict]:
-    """A-7 / U-2: distinct union of the local itemsets -> ``(items)`` and the
-    number of candidates per size."""
-    cand = materialize(local.coded().select("items").distinct()
-                       .withColumn("size", F.size("items")))
-    per_size = {r["size"]: r["n"] for r in
-                cand.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return cand, per_size
+def candidates(local: Levels) -> tuple[DataFrame, list[int]]:
+    """A-7 / U-2: distinct union of the local itemsets -> ``(items, size)``
+    and the sizes that occur."""
+    cand = write_table(local.coded().select("items").distinct()
+                       .withColumn("size", F.size("items")), "candidates")
+    return cand, sorted(r["size"] for r in cand.select("size").distinct().collect())
 
 
-def count_candidates(occ: DataFrame, local: Levels, cand: DataFrame, per_size: dict,
-                     part_cols=()) -> DataFrame:
-    """M-2 / JN-5 + A-8: occurrences of the candidates, level by level, and
-    their counts ``(*part, items, freq)``.  The candidate set is downward
-    closed (a union of locally frequent sets), so every candidate's prefix is
-    a candidate and the levelwise extension reaches all of them."""
-    part_cols = list(part_cols)
-    if not per_size:
-        return None
+def candidate_items(occ: DataFrame, local: Levels, cand: DataFrame) -> DataFrame:
+    """JN-6: the occurrences ``(basket, item)`` of candidate items."""
+    c1 = cand.where(F.col("size") == 1).select(F.col("items")[0].alias("code"))
+    items = local.dictionary.join(c1, "code", "left_semi")
+    return only(occ, items, key="item")
+
+
+def contained_candidates(occ: DataFrame, local: Levels, cand: DataFrame, sizes: list[int],
+                         part_cols=()) -> list[DataFrame]:
+    """JN-5: per size, the candidates contained in each basket,
+    ``(*part, basket, items)``.  The candidate set is downward closed (a
+    union of locally frequent sets), so every candidate's prefix is a
+    candidate and the levelwise extension reaches all of them."""
     c1 = cand.where(F.col("size") == 1).select(F.col("items")[0].alias("code"))
-    coded = bounded_join(local.dictionary, c1, ["code"], "left_semi", per_size.get(1, 0),
-                         spread_col="item")
-    occ1 = encode(occ, coded, local.dict_rows, part_cols, per_part=False)
-    counts = [occ1.groupBy(*part_cols, F.array("code").alias("items"))
-              .agg(F.count(F.lit(1)).alias("freq"))]
-    maxk = max(per_size)
-    if maxk >= 2:
-        left, right, bk = prepare_extension(occ1, part_cols, local.dict_rows)
-        for k in range(2, maxk + 1):
-            ck = cand.where(F.col("size") == k).select("items")
-            ext = bounded_join(extend(left, right, bk), ck, ["items"], "left_semi",
-                               per_size.get(k, 0), spread_col="basket")
-            if k < maxk:
-                ext = store_occurrences(ext, bk)
-                left = ext
-            counts.append(ext.groupBy(*part_cols, "items").agg(F.count(F.lit(1)).alias("freq")))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    coded = local.dictionary.join(c1, "code", "left_semi")
+    occ1 = write_table(occ.join(coded, "item").select(*part_cols, "basket", "code"), "occ1")
+    out = [first_level(occ1, part_cols)]
+    for k in sizes[1:]:
+        ck = cand.where(F.col("size") == k)
+        left = only(extend(out[-1], occ1, part_cols), ck)
+        out.append(write_table(left, "contained") if k < sizes[-1] else left)
     return out
 
 
-def usable_chunks(n: int, min_support: float, chunks: int) -> int:
-    """Fewest-risk chunk count: with ``s * n_c < 1`` every co-occurring set
-    of a chunk would be a candidate (SURVEY §4, risk 4), so P is lowered
-    until a chunk holds at least ``ceil(1 / s)`` baskets.  The result does
-    not depend on P."""
-    need = math.ceil(1.0 / float(min_support))
-    return max(1, min(chunks, n // need if n >= need else 1))
+def count_candidates(occ: DataFrame, local: Levels, cand: DataFrame, sizes: list[int],
+                     part_cols=()) -> DataFrame:
+    """M-2 / JN-5 + A-8: the candidates' counts ``(*part, items, freq)``."""
+    out = None
+    for rows in contained_candidates(occ, local, cand, sizes, part_cols) if sizes else []:
+        counts = rows.groupBy(*part_cols, "items").agg(F.count(F.lit(1)).alias("freq"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def son_levels(data: BasketData, min_support: float, chunks: int, max_len=None,
                chunking: str = "hash", order_cols=None):
-    """Both passes; returns (local Levels, candidate table, global counts)."""
-    chunks = usable_chunks(data.n, min_support, chunks)
-    ch = chunk_baskets(data, chunks, chunking, order_cols)
+    """Both passes over ``chunks`` chunks; returns (local Levels, candidate
+    table, global counts)."""
+    items = write_table(support_filter(item_support(data.occ), min_support, n=data.n), "items")
+    occ = write_table(only(data.occ, items, key="item"), "pruned")
+    ch = chunk_baskets(data, chunks, chunking, order_cols, occ)
     local = local_levels(ch, min_support, max_len)
-    cand, per_size = candidates(local)
-    totals = count_candidates(data.occ, local, cand, per_size)
-    return ch, local, cand, totals
+    cand, sizes = candidates(local)
+    return ch, local, cand, count_candidates(occ, local, cand, sizes)
 
 
 def son_itemsets(data: BasketData, min_support: float, chunks: int, max_len=None,
@@ -126,5 +119,4 @@ def son_itemsets(data: BasketData, min_support: float, chunks: int, max_len=None
                                          chunking, order_cols)
     if totals is None:
         return local.itemsets().drop("chunk_id").limit(0)
-    frequent = materialize(support_filter(totals, min_support, n=data.n))
-    return decode_itemsets(frequent, local.dictionary, local.dict_rows)
+    return decode_itemsets(support_filter(totals, min_support, n=data.n), local.dictionary)

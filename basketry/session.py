@@ -1,106 +1,114 @@
-"""Session helpers: shared scratch space and the limits the planner checks."""
+"""Session helpers: scratch tables in the shared folder.
+
+Every intermediate result is a parquet table in the folder that the cluster
+names in ``spark.checkpoint.dir``: it cuts lineage, survives the loss of
+executors, and Spark knows its size in bytes, so a join with it is broadcast
+only when it is small (``spark.sql.autoBroadcastJoinThreshold``) and shuffled
+otherwise, where AQE splits hot keys.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-
-# Largest table (in rows) that is ever broadcast.  Every broadcast in the
-# package goes through a row count first; above this the operator takes its
-# shuffle path instead.
-BROADCAST_ROW_LIMIT = 1_000_000
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-# A basket with more frequent items than this is split over several tasks in
-# the levelwise extension join (see operators/levels.py).
-BASKET_SPLIT_ITEMS = 2048
+FOLDER = "basketry-scratch"
+TABLES = "basketry_"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints.
+    """The shared folder for checkpoints, as the session names it.
 
-    Read from the session; only a local-mode session without one gets a
-    fresh folder of its own (tests, the local bench).
+    Where it names none, only a session of one process (master ``local`` or
+    ``local[...]``, as in tests) gets a fresh folder of its own.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
+    conf = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that the driver "
+                               "and all executors share")
+        conf = tempfile.mkdtemp(prefix="basketry-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-ckpt-"))
-        return sc.getCheckpointDir()
-    raise RuntimeError(
-        "spark.checkpoint.dir is not set; point it at a shared folder (HDFS, S3, ...)"
-    )
+    return sc.getCheckpointDir()
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{FOLDER}"
+
+
+_work: list[str] = []  # folders of the open work() blocks, innermost last
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/basketry-scratch/{tag}-{uuid.uuid4().hex}"
+    return f"{_work[-1] if _work else _root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    Survives executor loss (the data is in the shared store, not on the
-    executor).  Used for small tables (levels, dictionaries, candidate
-    sets); occurrence tables that must keep their layout go through
-    ``write_bucketed``.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+@contextmanager
+def work(spark: SparkSession):
+    """Scratch tables written inside the block are deleted at its end.  Yields
+    ``keep(df, tag)``, which writes a table that stays."""
+    outer = _work[-1] if _work else _root(spark)
+    folder = f"{outer}/work-{uuid.uuid4().hex}"
+    _work.append(folder)
+    try:
+        yield lambda df, tag: _write(df, f"{outer}/{tag}-{uuid.uuid4().hex}")
+    finally:
+        _work.remove(folder)
+        delete_path(spark, folder)
 
-def write_table(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back: cuts
-    lineage, survives executor loss, columnar and compressed for re-reads."""
-    path = scratch_path(df.sparkSession, tag)
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this session has written as scratch, results
+    included: call it when they are no longer read."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(TABLES):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    delete_path(spark, _root(spark))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def write_table(df: DataFrame, tag: str = "table") -> DataFrame:
+    """``df`` as a parquet table in the shared folder."""
+    return _write(df, scratch_path(df.sparkSession, tag))
 
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``materialize`` that also returns the row count, observed while the
-    checkpoint job runs (no second job)."""
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
+
+def write_counted(df: DataFrame, tag: str = "table") -> tuple[DataFrame, int]:
+    """``write_table`` and the row count, observed while it is written."""
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")))
+    out = write_table(df.observe(obs, F.count(F.lit(1)).alias("n")), tag)
     return out, int(obs.get["n"])
 
 
 def write_bucketed(df: DataFrame, keys, buckets: int, tag: str = "occ") -> DataFrame:
-    """Write ``df`` as a parquet table bucketed on ``keys`` in the shared
-    folder and read it back.
-
-    Cuts lineage and survives executor loss like a checkpoint, and -- unlike
-    a checkpoint of a join result -- the table keeps its hash layout: a
-    merge join between two such tables on ``keys`` needs no shuffle.  A
-    ``df`` that is already hash-partitioned on ``keys`` into ``buckets``
-    partitions is written without a shuffle, one file per bucket.
-    """
+    """``df`` as a parquet table bucketed on ``keys`` in the shared folder: a
+    join or grouping on ``keys`` needs no shuffle of it.  A ``df`` already
+    hash-partitioned on ``keys`` into ``buckets`` partitions is written
+    without a shuffle, one file per bucket."""
     spark = df.sparkSession
-    name = f"basketry_{tag}_{uuid.uuid4().hex[:16]}"
+    name = f"{TABLES}{tag}_{uuid.uuid4().hex[:16]}"
     (df.write.mode("error").bucketBy(buckets, *keys)
        .option("path", scratch_path(spark, name)).saveAsTable(name))
-    _written_tables.append(name)
     return spark.table(name)
 
 
-_written_tables: list[str] = []
-
-
-def drop_written_tables(spark: SparkSession) -> None:
-    """Forget the scratch tables' catalog entries (files stay in scratch)."""
-    while _written_tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_written_tables.pop()}")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

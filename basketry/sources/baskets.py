@@ -5,8 +5,11 @@ most once per basket.  It is the canonical form because it has no unbounded
 rows: a basket with a million items is a million small rows, spread by the
 shuffle like any other rows.  ``keys`` lists every basket, empty ones
 included, since ``N`` (the support denominator) counts them too (Q2).
-``arrays`` is the ``(basket, items ARRAY<STRING>)`` form when the source has
-it for free (text lines, token lists); FP-growth reads it.
+
+One contract for all sources: a null basket key is no basket, its rows are
+dropped; null and empty items are skipped (P-3 skips empty tokens) but their
+basket counts; an item with whitespace is an error unless a replacement is
+given, since the itemset text joins items by a space.
 """
 
 from __future__ import annotations
@@ -16,34 +19,46 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.expressions import WS, basket_canonical
+from basketry.functions.expressions import WS
+from basketry.session import write_table
 
 
 @dataclass
 class BasketData:
-    occ: DataFrame
-    keys: DataFrame
-    arrays: DataFrame | None = None
+    """``rows(basket, items ARRAY<STRING>)`` are written once, on first use,
+    and both forms read from that table: a key that depends on how the source
+    was split (line ids) is then the same in both."""
+    rows: DataFrame
+    # Whether a basket is one row already; else rows of a key are merged.
+    one_row: bool = True
+    _occ: DataFrame | None = field(default=None, repr=False)
+    _keys: DataFrame | None = field(default=None, repr=False)
     _n: int | None = field(default=None, repr=False)
-    # Occurrences that cost a join, a de-duplication or a tokenizer pass are
-    # written once (parquet in the shared folder) on first use, instead of
-    # being recomputed by each pass that reads them (N, item counts,
-    # encoding).  ``keys`` None means: every basket has an item.
-    derived: bool = False
-
-    def __post_init__(self):
-        if self.derived:
-            self._lazy_occ, self.occ = self.occ, None
-
-    def __getattribute__(self, name):
-        if name in ("occ", "keys") and object.__getattribute__(self, "derived"):
-            if object.__getattribute__(self, "__dict__").get("occ") is None:
-                from basketry.session import write_table
-                occ = write_table(object.__getattribute__(self, "_lazy_occ"), "occ")
-                object.__setattr__(self, "occ", occ)
-                if object.__getattribute__(self, "__dict__").get("keys") is None:
-                    object.__setattr__(self, "keys", occ.select("basket").distinct())
-        return object.__getattribute__(self, name)
+
+    def prepare(self) -> "BasketData":
+        if self._occ is None:
+            if self.one_row:
+                table = write_table(self.rows, "baskets")
+                # outer explode: for the inner one the optimizer infers a
+                # filter on the array's size, evaluated on its own
+                self._occ = table.select("basket", F.explode_outer("items").alias("item")).where(
+                    F.col("item").isNotNull())
+                self._keys = table.select("basket")
+            else:
+                # the null item of a basket without items keeps its key
+                table = write_table(self.rows.select(
+                    "basket", F.explode_outer("items").alias("item")).distinct(), "baskets")
+                self._occ = table.where(F.col("item").isNotNull())
+                self._keys = table.select("basket").distinct()
+        return self
+
+    @property
+    def occ(self) -> DataFrame:
+        return self.prepare()._occ
+
+    @property
+    def keys(self) -> DataFrame:
+        return self.prepare()._keys
 
     @property
     def n(self) -> int:
@@ -53,44 +68,43 @@ class BasketData:
         return self._n
 
 
-def _checked_item(item: Column, replace_ws: str | None) -> Column:
-    """Items must not contain whitespace: the itemset text joins them by a
-    space.  Either replace it or fail the job lazily (no extra pass)."""
+def checked_items(items: Column, replace_ws: str | None = None) -> Column:
+    """The items of an array: nulls and empty ones skipped, each once,
+    whitespace replaced or refused (the job fails with the item's text)."""
+    items = F.array_remove(F.array_compact(items), "")
     if replace_ws is not None:
-        return F.regexp_replace(item, WS, replace_ws)
-    return F.when(item.rlike(WS), F.raise_error(F.concat(
-        F.lit("item contains whitespace: "), item))).otherwise(item)
+        items = F.transform(items, lambda x: F.regexp_replace(x, WS, replace_ws))
+        return F.array_distinct(F.array_remove(items, ""))
+    return F.array_distinct(F.transform(items, lambda x: F.when(
+        F.rlike(x, F.lit(WS)), F.raise_error(F.concat(F.lit("item contains whitespace: "), x)))
+        .otherwise(x)))
 
 
-def from_table(df: DataFrame, basket, item, replace_ws: str | None = None,
-               check_ws: bool = True) -> BasketData:
+def from_table(df: DataFrame, basket, item, replace_ws: str | None = None) -> BasketData:
     """Table adapter: one basket per key value, one item per row.
 
     ``basket`` may be a column name, a Column, or a list of columns (then the
-    key is a struct).  Null items are dropped; duplicate items count once.
+    key is a struct, null when one of them is).  See the module for nulls.
     """
     if isinstance(basket, (list, tuple)):
-        key = F.struct(*[F.col(c) if isinstance(c, str) else c for c in basket])
+        cols = [F.col(c) if isinstance(c, str) else c for c in basket]
+        key, given = F.struct(*cols), F.lit(True)
+        for c in cols:
+            given = given & c.isNotNull()
     else:
         key = F.col(basket) if isinstance(basket, str) else basket
-    it = F.col(item) if isinstance(item, str) else item
-    if check_ws or replace_ws is not None:
-        it = _checked_item(it, replace_ws)
-    rows = df.select(key.alias("basket"), it.alias("item"))
-    occ = rows.where(F.col("item").isNotNull()).distinct()
-    # A basket is a key with at least one (non-null) item.
-    return BasketData(occ=occ, keys=None, derived=True)
-
-
-def from_arrays(df: DataFrame, basket: str, items: str, derived: bool = False) -> BasketData:
-    """Adapter for a ``(basket, items ARRAY)`` table (e.g. token lists).
-
-    ``explode_outer`` + a null filter rather than ``explode``: for
-    ``explode`` the optimizer infers a ``size(items) > 0`` filter and the
-    (costly) item expression would be evaluated twice per row.
-    """
-    src = df.select(F.col(basket).alias("basket"), F.col(items).alias("items"))
-    occ = (src.select("basket", F.explode_outer(F.array_distinct("items")).alias("item"))
-           .where(F.col("item").isNotNull()))
-    arrays = src.select("basket", basket_canonical(F.col("items")).alias("items"))
-    return BasketData(occ=occ, keys=src.select("basket"), arrays=arrays, derived=derived)
+        given = key.isNotNull()
+    it = (F.col(item) if isinstance(item, str) else item).cast("string")
+    rows = df.where(given).select(key.alias("basket"), checked_items(
+        F.array(it), replace_ws).alias("items"))
+    return BasketData(rows, one_row=False)
+
+
+def from_arrays(df: DataFrame, basket: str, items: str, replace_ws: str | None = None,
+                tokens: bool = False) -> BasketData:
+    """Adapter for a ``(basket, items ARRAY)`` table with distinct keys (e.g.
+    token lists).  ``tokens``: the items come from a whitespace tokenizer, so
+    they need no check."""
+    every = F.array_distinct(items) if tokens else checked_items(F.col(items), replace_ws)
+    return BasketData(df.where(F.col(basket).isNotNull()).select(
+        F.col(basket).alias("basket"), every.alias("items")))

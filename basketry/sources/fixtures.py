@@ -40,7 +40,7 @@ def doc_token_arrays(spark: SparkSession, sf_dir: str):
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> BasketData:
     """A document as a basket of its whitespace tokens (whole text)."""
-    return from_arrays(doc_token_arrays(spark, sf_dir), "basket", "items", derived=True)
+    return from_arrays(doc_token_arrays(spark, sf_dir), "basket", "items", tokens=True)
 
 
 def doc_line_rows(spark: SparkSession, sf_dir: str):
@@ -54,9 +54,9 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> BasketData:
     """A line of a document as a basket; blank lines are empty baskets.
 
     The basket key is ``monotonically_increasing_id`` of the line rows:
-    unique without a shuffle, and fixed once the occurrences are written.
+    unique without a shuffle, and fixed once the baskets are written.
     """
     lines = doc_line_rows(spark, sf_dir)
     arr = lines.select(F.monotonically_increasing_id().alias("basket"),
                        tokens_whitespace("line").alias("items"))
-    return from_arrays(arr, "basket", "items", derived=True)
+    return from_arrays(arr, "basket", "items", tokens=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.expressions import (WS, basket_canonical, drop_last, report_line,
                                             tokens_whitespace)
-from basketry.operators.positions import with_positions
+from basketry.operators.positions import assign_chunks, with_positions
 from basketry.sources.baskets import BasketData, from_arrays
 
 # Fixed value: the report line pattern read back by SRC-6.
@@ -38,7 +38,7 @@ def text_baskets(spark: SparkSession, path: str, first_file_only: bool = False)
     lines = scan_text(spark, path).select(
         F.monotonically_increasing_id().alias("basket"),
         tokens_whitespace("value").alias("items"))
-    return from_arrays(lines, "basket", "items", derived=True)
+    return from_arrays(lines, "basket", "items", tokens=True)
 
 
 def line_numbers(df: DataFrame) -> DataFrame:
@@ -109,11 +109,21 @@ def ingest(spark: SparkSession, src: str, dst: str) -> None:
     spark.read.text(src).write.mode("overwrite").text(dst)
 
 
-def write_chunks(chunked_lines: DataFrame, dst: str) -> None:
-    """SNK-2: ``(chunk_id, value, pos)`` -> one ordered file per chunk,
-    ``dst/chunk_id=<i>/``.  A chunk is the unit of parallelism (one task per
-    chunk, as one map task per chunk file)."""
-    (chunked_lines.repartition("chunk_id").sortWithinPartitions("chunk_id", "pos")
+def text_chunks(spark: SparkSession, path: str, chunks: int) -> DataFrame:
+    """SRC-1 + WIN-1: the lines of a text dataset in file order, blank ones
+    kept, in ``chunks`` contiguous chunks: ``(pos, chunk_id, value)``."""
+    lines = line_numbers(scan_text(spark, path))
+    return assign_chunks(lines, ["line_no"], chunks).select("pos", "chunk_id", "value")
+
+
+def write_chunks(chunked_lines: DataFrame, dst: str, split: bool = True) -> None:
+    """SNK-2: ``(chunk_id, value, pos)`` -> ``dst/chunk_id=<i>/``.  A chunk
+    may take several tasks: lines are range-partitioned in order, so a
+    chunk's part files in name order are its lines in order.  Without
+    ``split`` a chunk is one file, written by one task."""
+    dealt = (chunked_lines.repartitionByRange("chunk_id", "pos") if split
+             else chunked_lines.repartition("chunk_id"))
+    (dealt.sortWithinPartitions("chunk_id", "pos")
      .select("chunk_id", "value").write.mode("overwrite").partitionBy("chunk_id").text(dst))
 
 
@@ -123,12 +133,15 @@ def write_counts(itemsets: DataFrame, dst: str, count_col: str = "freq") -> None
                     .alias("value")).write.mode("overwrite").text(dst)
 
 
+def _report_order() -> list:
+    return [F.col("freq").desc(), F.col("itemset").asc()]
+
+
 def report_lines(itemsets: DataFrame) -> DataFrame:
     """SNK-4 / S-1 / P-10: ``(line_no, value)``: line 0 is the number of
     itemsets, then ``itemset (freq)`` by count desc, itemset asc.  Positions
     come from a distributed sort (no single-task window)."""
-    ranked = with_positions(itemsets.select("itemset", "freq"),
-                            [F.col("freq").desc(), F.col("itemset").asc()], "pos")
+    ranked = with_positions(itemsets.select("itemset", "freq"), _report_order(), "pos")
     body = ranked.select((F.col("pos") + 1).alias("line_no"),
                          report_line("itemset", "freq").alias("value"))
     header = itemsets.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
@@ -137,14 +150,19 @@ def report_lines(itemsets: DataFrame) -> DataFrame:
 
 
 def write_report(itemsets: DataFrame, dst: str) -> None:
-    """SNK-4: the report as text, in order, across ordered part files
-    (a global sort by line number; no ``coalesce(1)``): reading the part
-    files in name order gives the report."""
-    (report_lines(itemsets).orderBy("line_no").select("value")
+    """SNK-4: the report as text, in order, across ordered part files (one
+    global sort, no ``coalesce(1)``): reading the part files in name order
+    gives the report."""
+    body = itemsets.select(F.lit(1).alias("_body"), "freq", "itemset",
+                           report_line("itemset", "freq").alias("value"))
+    header = itemsets.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+        F.lit(0).alias("_body"), F.lit(None).cast("bigint").alias("freq"),
+        F.lit(None).cast("string").alias("itemset"), "value")
+    (header.unionByName(body).orderBy("_body", *_report_order()).select("value")
      .write.mode("overwrite").text(dst))
 
 
 __all__ = ["WS", "scan_text", "text_baskets", "line_numbers", "first_file",
            "scan_first_file", "scan_whole_files", "read_candidates", "read_counts",
-           "read_report", "ingest", "write_chunks", "write_counts", "report_lines",
+           "read_report", "ingest", "text_chunks", "write_chunks", "write_counts", "report_lines",
            "write_report"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from basketry import frequent_itemsets
 from basketry.operators.positions import assign_chunks
 from basketry.sources import text as TX
-from basketry.sources.baskets import from_arrays
+from basketry.sources.baskets import from_arrays, from_table
 
 HAND = ["a b c", "a b", "a c", "b c", "a b c d", "", "a  b", "d d"]
 HAND_REPORT = ["8", "a (5)", "b (5)", "a b (4)", "c (4)", "a c (3)", "b c (3)",
@@ -115,9 +115,58 @@ def test_unknown_strategy(spark, text_file):
         frequent_itemsets(TX.text_baskets(spark, text_file(["a"])), 0.5, strategy="nope")
 
 
-def test_usable_chunks():
-    from basketry.plans.son import usable_chunks
-    assert usable_chunks(1000, 0.02, 4) == 4       # 250 per chunk >= 50
-    assert usable_chunks(1000, 0.02, 100) == 20    # 50 per chunk
-    assert usable_chunks(10, 0.5, 8) == 5
-    assert usable_chunks(0, 0.5, 8) == 1
+def test_local_slack_is_relative(spark):
+    """0.07 of 3 * 327453147300 baskets: enough in all, and in no chunk by
+    plain double arithmetic; the relative slack keeps it."""
+    from basketry.operators.support import support_filter
+    n = 327453147300
+    hits = 22921720311  # 0.07 * n rounds above it
+    assert 3 * hits >= 0.07 * (3 * n) and hits < 0.07 * n - 1e-6
+    counts = spark.createDataFrame([(0, "x", hits)], "chunk_id int, item string, freq bigint")
+    sizes = spark.createDataFrame([(0, n)], "chunk_id int, n bigint")
+    assert support_filter(counts, 0.07, sizes=sizes, part_cols=["chunk_id"]).count() == 1
+
+
+ODD = [(None, "a"), (None, "b"), (1, "c"), (1, "a"), (2, None), (2, ""), (3, "a"), (3, "a")]
+
+
+@pytest.mark.parametrize("strategy,kw", STRATEGIES)
+def test_null_keys_and_items(spark, strategy, kw):
+    """Null keys are no baskets, null and empty items are skipped, their
+    basket counts, in both adapters and all strategies."""
+    table = spark.createDataFrame(ODD, "k int, item string")
+    arrays = spark.createDataFrame([(None, ["a", "b"]), (1, ["c", "a"]), (2, [None, ""]), (3, ["a", "a"])],
+                                   "k int, items array<string>")
+    for data in (from_table(table, "k", "item"), from_table(table, ["k"], "item"),
+                 from_arrays(arrays, "k", "items")):
+        assert data.n == 3
+        assert triples(frequent_itemsets(data, 0.3, strategy=strategy, **kw)) == [
+            ("a", 1, 2), ("a c", 2, 1), ("c", 1, 1)]
+
+
+def test_items_with_whitespace(spark):
+    table = spark.createDataFrame([(1, "a b"), (1, "c")], "k int, item string")
+    arrays = spark.createDataFrame([(1, ["a b", "c"])], "k int, items array<string>")
+    for make in (lambda **k: from_table(table, "k", "item", **k),
+                 lambda **k: from_arrays(arrays, "k", "items", **k)):
+        with pytest.raises(Exception, match="item contains whitespace: a b"):
+            frequent_itemsets(make(), 1.0).collect()
+        assert triples(frequent_itemsets(make(replace_ws="_"), 1.0)) == [
+            ("a_b", 1, 1), ("a_b c", 2, 1), ("c", 1, 1)]
+
+
+@pytest.mark.parametrize("strategy,kw", STRATEGIES)
+def test_line_ids_do_not_follow_splits(spark, tmp_path, strategy, kw):
+    """Baskets and occurrences come from one written table, so another split
+    size between two reads changes nothing."""
+    for i in range(6):
+        (tmp_path / f"{i}.txt").write_text("a b\nc\n" * 175)
+    data = TX.text_baskets(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert data.n == 2100
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        got = triples(frequent_itemsets(data, 0.4, strategy=strategy, **kw))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("a", 1, 1050), ("a b", 2, 1050), ("b", 1, 1050), ("c", 1, 1050)]

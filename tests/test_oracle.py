@@ -11,7 +11,8 @@ FAST = ["order_brand_itemsets", "apriori_itemsets", "son_frequent_itemsets",
         "fpgrowth_itemsets", "assign_chunks", "report_lines", "basket_candidates",
         "support_lookup", "partial_candidate_counts", "scan_first_file",
         "scan_whole_files", "read_counts", "split_lines", "tokens_single_space",
-        "item_dictionary", "itemset_decode", "basket_count"]
+        "item_dictionary", "itemset_decode", "basket_count", "prefix_groups", "text_chunks",
+        "basket_candidate_items", "write_chunks_roundtrip"]
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +21,10 @@ def con():
 
 
 def test_registry_complete():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 50
+    from basketry.catalog import QUERIES
+    from basketry.oracle import ORACLE
+    assert set(QUERIES) == set(ORACLE) and len(QUERIES) >= 51
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", FAST)

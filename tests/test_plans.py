@@ -1,10 +1,6 @@
 """Plan shape: the properties the design relies on at scale."""
 
-from pyspark.sql import functions as F
-
-from basketry import session
 from basketry.operators import levels as LV
-from basketry.operators.joins import bounded_join
 from basketry.operators.support import itemset_support
 from basketry.plans import apriori
 from basketry.sources import fixtures as FX
@@ -16,45 +12,30 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_level_extension_does_not_shuffle_occurrences(spark):
-    """Occurrence tables are bucketed on the basket key: extending a level
-    is a merge join with no exchange; the only exchange is the partial-
-    aggregated count by itemset."""
+def test_small_tables_broadcast_by_their_bytes(spark):
+    """A written level table is broadcast because its bytes are few, and
+    shuffled when they are not; no row count and no hint decides."""
+    data = FX.user_day_event(spark, SF0001)
+    res = apriori.mine_levels(data.occ, 0.005, n=data.n, keep_occurrences=True, max_len=2)
+    kept = LV.only(res.occurrences[1], res.levels[1])
+    assert "BroadcastHashJoin" in plan(kept)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        data = FX.user_day_event(spark, SF0001)
-        res = apriori.mine_levels(data.occ, 0.005, n=data.n, max_len=1)
-        occ1 = apriori.encode(data.occ, res.dictionary, res.dict_rows)
-        left, right, bk = LV.prepare_extension(occ1, (), res.dict_rows)
-        counts = itemset_support(LV.extend(left, right, bk))
-        p = plan(counts)
-        assert "SortMergeJoin" in p
-        exchanges = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
-        assert len(exchanges) == 1 and "items" in exchanges[0]
-        assert "partial_count" in p
+        p = plan(LV.only(res.occurrences[1], res.levels[1]))
+        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_bounded_join_broadcasts_only_under_limit(spark, monkeypatch):
-    big = spark.range(1000).select(F.col("id").alias("basket"), (F.col("id") % 10).alias("k"))
-    small = spark.range(10).select(F.col("id").alias("k"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        p = plan(bounded_join(big, small, ["k"], "left_semi", 10, "basket"))
-        assert "BroadcastHashJoin" in p
-        monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 5)
-        salted = bounded_join(big, small, ["k"], "left_semi", 10, "basket")
-        p = plan(salted)
-        assert "BroadcastHashJoin" not in p and "_salt" in p
-        assert salted.count() == 1000
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_counts_combine_before_the_shuffle(spark):
+    data = FX.user_day_event(spark, SF0001)
+    res = apriori.mine_levels(data.occ, 0.005, n=data.n, max_len=1)
+    counts = itemset_support(LV.extend(LV.first_level(res.occ1), res.occ1))
+    assert "partial_count" in plan(counts)
 
 
 def test_scan_pushes_column_pruning(spark):
-    data = FX.order_brand(spark, SF0001)
-    p = plan(data._lazy_occ)
+    p = plan(FX.order_brand(spark, SF0001).rows)
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in p
     assert "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in p
 
@@ -103,18 +84,47 @@ def test_text_baskets_first_file_only(spark, tmp_path):
     assert got == [("x", 2)]
 
 
-def test_higher_levels_keep_the_layout(spark):
-    """Level >= 3 occurrences are a written table filtered by a broadcast
-    semi join: extending them still needs no exchange."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_text_chunks_in_line_order(spark, tmp_path):
+    """Text to contiguous chunks: blank lines kept, line order in every chunk
+    read back from its part files in name order."""
+    import glob
+    lines = [f"l{i}" if i % 5 else "" for i in range(103)]
+    (tmp_path / "in.txt").write_text("".join(x + "\n" for x in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
     try:
-        data = FX.user_day_event(spark, SF0001)
-        res = apriori.mine_levels(data.occ, 0.005, n=data.n, keep_occurrences=True)
-        assert len(res.occurrences) >= 4
-        occ1 = apriori.encode(data.occ, res.dictionary, res.dict_rows)
-        _, right, bk = LV.prepare_extension(occ1, (), res.dict_rows)
-        p = plan(itemset_support(LV.extend(res.occurrences[2], right, bk)))
-        exchanges = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
-        assert len(exchanges) == 1 and "items" in exchanges[0], p
+        chunks = TX.text_chunks(spark, str(tmp_path / "in.txt"), 4)
+        TX.write_chunks(chunks, str(tmp_path / "out"))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = []
+    for c in range(4):
+        files = sorted(glob.glob(f"{tmp_path}/out/chunk_id={c}/part-*"))
+        text = "".join(open(f).read() for f in files)
+        got.append(text.splitlines())
+    assert got == [lines[0:26], lines[26:52], lines[52:78], lines[78:103]]
+    whole = TX.scan_whole_files(spark, str(tmp_path / "out"))
+    assert {"file_name", "value", "chunk_id"} <= set(whole.columns)
+
+
+def test_prune_candidates(spark):
+    """Candidates with an infrequent subset go; the rest stay."""
+    level = spark.createDataFrame([([1, 2],), ([1, 3],), ([2, 3],), ([1, 4],), ([3, 4],)],
+                                  "items array<bigint>")
+    cand = LV.candidate_gen(level)
+    assert sorted(r["items"] for r in cand.collect()) == [[1, 2, 3], [1, 2, 4], [1, 3, 4]]
+    kept = LV.prune_candidates(cand, level, 2)
+    assert sorted(r["items"] for r in kept.collect()) == [[1, 2, 3], [1, 3, 4]]
+
+
+def test_work_tables_are_deleted(spark, tmp_path):
+    """After a mining run only its result and the baskets are left."""
+    import glob
+    import os
+    from basketry import frequent_itemsets, session
+    root = session._root(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    data = FX.user_day_event(spark, SF0001)
+    for strategy in ("apriori", "son", "fpgrowth"):
+        frequent_itemsets(data, 0.05, strategy=strategy)
+    left = [os.path.basename(x) for x in set(glob.glob(f"{root}/*")) - before]
+    assert sorted(x.split("-")[0] for x in left) == ["baskets", "itemsets", "itemsets", "itemsets"]

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from basketry import frequent_itemsets
 from basketry.sources.baskets import from_arrays
 
-baskets_st = st.lists(st.lists(st.sampled_from(list("abcdef")), max_size=6),
+baskets_st = st.lists(st.lists(st.sampled_from([*"abcdef", "", None]), max_size=6),
                       min_size=1, max_size=25)
 
 
@@ -17,7 +17,7 @@ def brute(baskets, s):
     n = len(baskets)
     counts = Counter()
     for b in baskets:
-        items = sorted(set(b))
+        items = sorted({x for x in b if x})
         for k in range(1, len(items) + 1):
             for c in itertools.combinations(items, k):
                 counts[c] += 1
@@ -31,7 +31,7 @@ def test_matches_brute_force(spark, baskets, s):
                                "basket bigint, items array<string>")
     data = from_arrays(df, "basket", "items")
     want = brute(baskets, s)
-    for strategy, kw in (("apriori", {}), ("son", {"chunks": 3})):
+    for strategy, kw in (("apriori", {}), ("son", {"chunks": 3}), ("fpgrowth", {})):
         got = sorted((r["itemset"], r["size"], r["freq"])
                      for r in frequent_itemsets(data, s, strategy=strategy, **kw).collect())
         assert got == want

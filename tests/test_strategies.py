@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from basketry import frequent_itemsets, session
-from basketry.plans import apriori
+from basketry import frequent_itemsets
 from basketry.sources import fixtures as FX
 from conftest import SF0001, SF001
 
@@ -41,22 +40,35 @@ def test_long_set_and_max_len(spark):
     assert triples(frequent_itemsets(data, 0.005, max_len=4, strategy="fpgrowth")) == capped
 
 
-def test_split_hot_baskets_same_result(spark):
-    """Baskets spread over several salt values give the same counts."""
+@pytest.mark.parametrize("strategy", ["apriori", "son"])
+def test_shuffled_and_skewed_joins_same_result(spark, strategy):
+    """Nothing broadcast, and every basket and itemset treated as skewed."""
     data = FX.doc_tokens(spark, SF0001)
-    want = triples(apriori.mine_levels(data.occ, 0.4, n=data.n).itemsets())
-    got = apriori.mine_levels(data.occ, 0.4, n=data.n, split_items=3).itemsets()
-    assert triples(got) == want
-
-
-def test_salted_joins_same_result(spark, monkeypatch):
-    """Above the broadcast limit every bounded join takes its salted
-    shuffle path; the result does not change."""
-    data = FX.user_day_event(spark, SF0001)
-    want = triples(frequent_itemsets(data, 0.005))
-    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 0)
-    assert triples(frequent_itemsets(data, 0.005)) == want
-    assert triples(frequent_itemsets(data, 0.005, strategy="son", chunks=3)) == want
+    want = triples(frequent_itemsets(data, 0.4))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.01",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert triples(frequent_itemsets(data, 0.4, strategy=strategy, chunks=2)) == want
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_son_uses_the_chunks_asked_for(spark, monkeypatch):
+    """Small chunks make no candidates of globally rare items."""
+    from basketry.plans import son
+    data = FX.order_brand(spark, SF0001)
+    want = triples(frequent_itemsets(data, 0.02, max_len=2))
+    ch, local, cand, totals = son.son_levels(data, 0.02, 100, max_len=2)
+    assert ch.keys.select("chunk_id").distinct().count() == 100
+    ones = {r["itemset"] for r in local.itemsets().where("size = 1").collect()}
+    assert ones == {t[0] for t in want if t[1] == 1}
+    assert triples(frequent_itemsets(data, 0.02, max_len=2, strategy="son", chunks=100)) == want
 
 
 def test_itemsets_are_sorted_and_canonical(spark):
@@ -66,14 +78,6 @@ def test_itemsets_are_sorted_and_canonical(spark):
         assert items == sorted(items) and len(set(items)) == len(items) == r["size"]
 
 
-def test_split_hot_baskets_in_son(spark, monkeypatch):
-    """The split-basket path with chunk keys (pass 1) and without (pass 2)."""
-    data = FX.doc_tokens(spark, SF0001)
-    want = triples(frequent_itemsets(data, 0.4))
-    monkeypatch.setattr(session, "BASKET_SPLIT_ITEMS", 4)
-    assert triples(frequent_itemsets(data, 0.4, strategy="son", chunks=2)) == want
-
-
 @pytest.mark.parametrize("chunks,chunking", [(4, "contiguous"), (10, "hash")])
 def test_son_candidates_cover_result(spark, chunks, chunking):
     """SURVEY §5: the SON candidate set contains every frequent itemset, and
@@ -84,10 +88,10 @@ def test_son_candidates_cover_result(spark, chunks, chunking):
     ch, local, cand, totals = son.son_levels(data, 0.05, chunks, chunking=chunking,
                                              order_cols=["basket.user_id", "basket.day"])
     names = decode_itemsets(cand.select("items", F.lit(0).cast("bigint").alias("freq")),
-                            local.dictionary, local.dict_rows)
+                            local.dictionary)
     cands = {r["itemset"] for r in names.collect()}
     result = triples(frequent_itemsets(data, 0.05))
     assert {t[0] for t in result} <= cands
     counted = {r["itemset"]: r["freq"] for r in
-               decode_itemsets(totals, local.dictionary, local.dict_rows).collect()}
+               decode_itemsets(totals, local.dictionary).collect()}
     assert all(counted[t[0]] == t[2] for t in result)
