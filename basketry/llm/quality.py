@@ -85,8 +85,8 @@ def boilerplate(docs: DataFrame, limits: QualityLimits, text_col: str = "text",
 
 def measured(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col: str = "text",
              host_col: str = "source") -> DataFrame:
-    """``(row, q)``: each input row as a struct, whatever its columns are
-    called, and its measures: n_words, word_chars, n_symbols, n_dup_lines,
+    """``(row, q, at)``: each input row as a struct, whatever its columns are
+    called, its number, and its measures: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (BIGINT), base_failed, removed_words (BIGINT), kept
     (BOOLEAN), kept_text (the text without boilerplate lines).
 
@@ -137,7 +137,10 @@ def measured(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col:
         F.col("_rep").alias("n_repeat_words"), failed.alias("base_failed"),
         (F.col("_n") - F.col("_kw")).cast("bigint").alias("removed_words"),
         (~failed & left).alias("kept"), F.col("_kept").alias("kept_text"))
-    return rows.select(F.col("_in").alias("row"), q.alias("q"))
+    # The row number keeps filters on the measures above them: pushed down,
+    # they would repeat the whole computation inside one expression.
+    return rows.select(F.col("_in").alias("row"), q.alias("q"),
+                       F.monotonically_increasing_id().alias("at"))
 
 
 def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), id_col: str = "doc_id",
@@ -154,7 +157,8 @@ def clean(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col: st
           host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The kept documents, all columns, boilerplate lines removed from the
     text (and ``chars_col`` recomputed where a line went)."""
-    rows = measured(docs, limits, text_col, host_col).where("q.kept")
+    rows = measured(docs, limits, text_col, host_col).where(
+        F.col("q.kept") & (F.col("at") >= 0))  # reading the number keeps it in the plan
     gone = F.col("q.removed_words") > 0
     out = []
     for c in docs.columns:
