@@ -42,20 +42,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, label)``, label the least node of its
     component; nodes without an edge are absent.  Rounds grow with the
     logarithm of the longest path."""
-    spark = edges.sparkSession
-    now = session.write_table(edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    step = edges.where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     last = None
     while True:
         obs = Observation()
-        step = _small_star(_large_star(now)).distinct()
-        step = step.observe(obs, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-                            F.bit_xor(F.xxhash64("b", "a")).alias("y"))
-        now = session.write_table(step, "edges")
+        now = session.write_table(step.observe(
+            obs, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
+            F.bit_xor(F.xxhash64("b", "a")).alias("y")), "edges")
         sign = tuple(obs.get[k] for k in ("n", "x", "y"))
         if sign == last:
             break
-        last = sign
+        last, step = sign, _small_star(_large_star(now)).distinct()
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return session.write_table(labels.unionByName(roots), "labels")
