@@ -48,8 +48,9 @@ SEED = 64
 #: Splitters come from at most this many sampled suffixes.
 SAMPLE = 20_000
 SAMPLE_PER_TASK = 64
-#: Bytes of entries compared in one vectorised step.
-GROUP_BYTES = 2 << 20
+#: Bytes of text and of entries in one vectorised step.
+STEP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 20
 MARK = b"\xff"  # stands in no UTF-8 text
 EMPTY = np.empty(0, np.int64)
 
@@ -125,13 +126,12 @@ def common(a: bytes, b: bytes, known: int) -> int:
     n = min(len(a), len(b))
     i = known
     while i < n:
-        x, y = a[i:i + 32], b[i:i + 32]
-        if x != y:
-            for k in range(min(len(x), len(y))):
-                if x[k] != y[k]:
-                    return i + k
-            return n
-        i += 32
+        m = min(i + 32, n)
+        x, y = a[i:m], b[i:m]
+        if x != y:  # the first byte that differs is the highest of the xor
+            d = int.from_bytes(x, "big") ^ int.from_bytes(y, "big")
+            return m - (d.bit_length() + 7) // 8
+        i = m
     return n
 
 
@@ -389,7 +389,7 @@ def _fingerprints(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             parts = b.column(0).to_numpy()
             for part in np.unique(parts):
                 own = b.filter(pa.array(parts == part))
-                for _, _, data, off in tasks.sliced_texts(own):
+                for _, _, data, off in tasks.sliced_texts(own, limit=STEP_BYTES):
                     place, _, last, h = anchors(data, off, length)
                     seen = np.unique(h)
                     out = [(int(part), k, pack(seen[at]))
@@ -412,19 +412,25 @@ def _met_elsewhere(prints: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part").to_pylist()
         sent = [unpack(x)[0] for x in table.column("blob").to_pylist()]
-        values, times = np.unique(np.concatenate(sent), return_counts=True)
-        again = values[times > 1]
+        _, place, times = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        again = np.split(times[place] > 1, np.cumsum([len(h) for h in sent])[:-1])
         out: dict[int, list] = {}
-        for p, h in zip(part, sent, strict=True):
-            out.setdefault(p, []).append(h[np.isin(h, again)])
+        for p, h, met in zip(part, sent, again, strict=True):
+            out.setdefault(p, []).append(h[met])
         return pa.table({"part": pa.array(list(out), pa.int32()),
                          "blob": pa.array([pack(np.concatenate(x)) for x in out.values()],
                                           pa.binary())})
 
-    return prints.where("bucket >= 0").groupBy("bucket").applyInArrow(
+    return _dealt(prints.where("bucket >= 0"), "bucket").applyInArrow(
         run, "part int, blob binary")
 
 
+def _dealt(rows: DataFrame, key: str):
+    """Grouped by ``key``, a task for each of the shuffle partitions: packed
+    rows are few and small, and say little of the work they hold."""
+    return rows.repartition(session.shuffle_partitions(rows.sparkSession), key).groupBy(key)
+
+
 def _splitters(prints: DataFrame, count: int) -> list[bytes]:
     """At most ``count - 1`` entries that cut the sampled suffixes evenly."""
     rows = prints.where("bucket < 0").select("blob").orderBy(F.xxhash64("part", "blob")).limit(
@@ -446,10 +452,11 @@ def _runs(texts: DataFrame, met: DataFrame, length: int, cuts: list[bytes]) -> D
             raw, found = data.tobytes(), {}
             place, first, last, h = all_anchors(data, off, length)
             seen, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-            use = (times > 1) | np.isin(seen, far)
-            for i in np.flatnonzero(use[inverse]):
-                e = entry(raw, place[i], first[i], last[i], length)
-                found.setdefault(e, []).append(int(first[i]))
+            use = ((times > 1) | np.isin(seen, far))[inverse]
+            for p, a, b in zip(place[use].tolist(), first[use].tolist(), last[use].tolist(),
+                               strict=True):
+                found.setdefault(entry(raw, p, a, b, length), []).append(a)
+            del place, first, last, h, seen, inverse, times, use
             entries = sorted(found)
             counts = np.array([len(found[e]) for e in entries], np.int64)
             where = np.array([x for e in entries for x in found[e]], np.int64)
@@ -468,7 +475,7 @@ def _runs(texts: DataFrame, met: DataFrame, length: int, cuts: list[bytes]) -> D
 def all_anchors(data: np.ndarray, off: np.ndarray, length: int):
     """``anchors`` of a whole part, a step of rows at a time."""
     got = []
-    for i, j in tasks.steps(np.diff(off)):
+    for i, j in tasks.steps(np.diff(off), STEP_BYTES):
         p, a, b, h = anchors(data[off[i]:off[j]], off[i:j + 1] - off[i], length)
         got.append((p + off[i], a + off[i], b + off[i], h))
     if not got:
@@ -490,7 +497,7 @@ def _merged(runs: DataFrame, length: int, cuts: list[bytes], buckets: int) -> Da
         return pa.table({k: pa.array([o[i] for o in out], t) for i, (k, t) in enumerate(
             (("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())))})
 
-    return runs.where("reducer >= 0").groupBy("reducer").applyInArrow(
+    return _dealt(runs.where("reducer >= 0"), "reducer").applyInArrow(
         run, "part int, bucket int, blob binary")
 
 
@@ -500,13 +507,13 @@ def _far_marks(merged: DataFrame) -> DataFrame:
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()),
                          "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    return merged.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "part int, blob binary")
+    return _dealt(merged.where("bucket >= 0"), "bucket").applyInArrow(run, "part int, blob binary")
 
 
 def removed_bytes(n: int, counts: np.ndarray, where: np.ndarray, marks: list[np.ndarray],
                   length: int) -> np.ndarray:
     """Mask of the part's bytes that some marked window covers."""
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     at = np.concatenate([[0], np.cumsum(counts)])
     for m in marks:
         no, a, b = m[:, 0], m[:, 1], m[:, 2]
@@ -514,7 +521,7 @@ def removed_bytes(n: int, counts: np.ndarray, where: np.ndarray, marks: list[np.
         start = where[np.repeat(at[no] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
         np.add.at(edge, start + np.repeat(a, k), 1)
         np.add.at(edge, start + np.repeat(b, k) - 1 + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
@@ -558,17 +565,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
                 counts, where = unpack(x)
         gone = removed_bytes(len(data), counts, where,
                              [unpack(x)[0] for m, x in zip(mark, blobs, strict=True) if m], length)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        starts = gone.copy()
-        starts[1:] &= ~gone[:-1]
-        heads = off[:-1][np.diff(off) > 0]
-        starts[heads] = gone[heads]
-        spans = np.concatenate([[0], np.cumsum(starts)])
-        kept = [(data[a:b][~gone[a:b]] if total[b] > total[a] else data[a:b]).tobytes()
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        kept, removed, spans = [], [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            own = gone[a:b]
+            removed.append(int(own.sum()))
+            spans.append(int((own[1:] & ~own[:-1]).sum() + own[:1].sum()))
+            kept.append((data[a:b][~own] if removed[-1] else data[a:b]).tobytes())
         cols = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(off), pa.int64()),
-                "n_removed": pa.array(total[off[1:]] - total[off[:-1]], pa.int64()),
-                "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]], pa.int64()),
+                "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         if keep_bytes:
             cols["kept"] = pa.array(kept, pa.binary())
