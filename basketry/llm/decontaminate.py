@@ -1,18 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman.
 
-1. The benchmark is taken in blocks of bounded size; a block's n-grams are
-   the only thing sent to the tasks.  Blocks run one after the other, so a
+1. The benchmark is taken in blocks of bounded size; a block's seeds are the
+   only thing sent to the tasks.  Blocks run one after the other, so a
    benchmark of any size is covered exactly.
-2. One pass counts, for each n-gram of the block, the documents that hold it.
-   An item's seeds are its n-grams in at most ``max_seed_share`` of the
-   documents, and always the rarer half of them, so an item of common
-   phrases keeps seeds too.
-3. One more pass finds the seeds in every whole text, groups the hits of an
-   item by where the item would start, and aligns the item with the text
-   around each group: local alignment over words, so edited and partly
-   copied passages score.  A score is a share of the item's own score.
-
-No shuffle of texts; the counts are one row per n-gram of the block and task.
+2. A seed is a pair of item words next to each other or one apart, in order.
+   It hits a text where the same two words stand next to each other or one
+   apart.  An alignment that scores a share s of an item of L words holds at
+   least sL - 1 hits: with m matches and e errors, 2m - e >= 2sL, and of the
+   m - 1 steps from one match to the next those without a hit take two errors
+   each, so m - 1 - e / 2 >= sL - 1 steps are hits, all at different places.
+   One pass counts the documents that hold each pair.  Of an item's most
+   frequent places as many may go unread as the bound allows; what is left of
+   the bound is the number of hits asked for.
+3. One more pass finds the seeds in every whole text and aligns an item with
+   the text around each stretch that holds enough hits: local alignment over
+   words, so edited and partly copied passages score.  A score is a share of
+   the item's own score.  No alignment of ``min_score`` is left out, however
+   often its words occur and wherever the copy was edited.
+
+No shuffle of texts; the counts are one row per pair of the block and task.
 """
 
 from __future__ import annotations
@@ -30,6 +36,11 @@ from basketry.llm.shingles import shingles, word_spans
 #: Bytes of benchmark text in a block; a longer item is a block of its own.
 BLOCK_BYTES = 4 << 20
 MATCH, MISMATCH, GAP = 2.0, 1.0, 1.0
+#: Hits asked for at least where the bound allows more; frequent places are
+#: left out only down to this.
+LEAST_HITS = 3
+#: Pairs of a hit and an item that a task holds at a time.
+HELD_HITS = 2_000_000
 
 #: Lower-cases letters and turns ASCII punctuation into blanks, so that words
 #: are compared without their marks.
@@ -40,7 +51,9 @@ _plain[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 @dataclass(frozen=True)
 class LeakParams:
-    """n-gram size in words, seed limit, and the least score of a leak."""
+    """Items of fewer words than ``ngram`` are looked for whole; places in more
+    than ``max_seed_share`` of the documents are frequent; the least score of
+    a leak."""
     ngram: int = 3
     max_seed_share: float = 1e-4
     min_score: float = 0.5
@@ -85,40 +98,73 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def word_pairs(words: np.ndarray, row: np.ndarray, step: int):
+    """Hash of every word with the one ``step`` words on in its row, and the
+    place of the first."""
+    first = np.arange(max(0, len(words) - step))
+    end = np.repeat(row[1:], np.diff(row))[:len(first)]
+    first = first[first + step < end]
+    return tasks.mix(tasks.mix(words[first] + np.uint64(0x632BE59BD9B4E019))
+                     * np.uint64(0x2545F4914F6CDD1D) + words[first + step]), first
+
+
 class Block:
     """A block of benchmark items, ready for tasks."""
 
     def __init__(self, ids: list, texts: list[str], ngram: int):
         data, off = tasks.text_bytes(pa.array(texts, pa.large_string()))
-        self.ids, self.ngram = ids, ngram
+        self.ids = ids
         self.words, self.row = plain_words(data, off)
-        self.grams, self.at = shingles(self.words, self.row, ngram)
-        self.all = np.unique(self.grams)
-        # n-gram sizes to look for: items of fewer words are their own n-gram
-        own = np.diff(self.row)
-        self.sizes = sorted({int(x) for x in np.minimum(own, ngram) if x})
-
-    def choose(self, df: dict[int, int], limit: float) -> None:
-        """Keep each item's seeds; ``df``: documents holding an n-gram."""
-        seed, item, place = [], [], []
-        for i in range(len(self.ids)):
-            g = self.grams[self.at[i]:self.at[i + 1]]
-            n = np.array([df.get(int(x), 0) for x in g], np.int64)
-            middle = np.sort(n)[(len(n) - 1) // 2] if len(n) else 0
-            keep = np.flatnonzero((n <= limit) | (n <= middle))
-            seed.append(g[keep])
-            item.append(np.full(len(keep), i))
-            place.append(keep)
-        seed, item, place = map(np.concatenate, (seed, item, place))
+        self.own = np.diff(self.row)
+        short = self.own < max(ngram, 2)
+        self.short = short
+        # sizes to look for: short items are their own n-gram
+        self.sizes = sorted({int(x) for x in self.own[short] if x})
+        seed, place = [], []
+        for step in (1, 2):
+            h, first = word_pairs(self.words, self.row, step)
+            seed.append(h)
+            place.append(first)
+        for size in self.sizes:
+            h, at = shingles(self.words, self.row, size)
+            whole = np.flatnonzero(self.own == size)
+            seed.append(h[at[whole]])
+            place.append(self.row[whole])
+        seed, place = np.concatenate(seed), np.concatenate(place)
+        item = np.searchsorted(self.row, place, side="right") - 1
+        pair = np.arange(len(seed)) < len(seed) - int((short & (self.own > 0)).sum())
+        use = ~(pair & short[item])
+        self._seeds(seed[use], item[use], place[use])
+
+    def _seeds(self, seed, item, place) -> None:
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.place = seed[order], item[order], place[order]
         self.all = np.unique(self.seed)
 
+    def choose(self, df: np.ndarray, limit: float, least: float) -> None:
+        """Keep each item's seeds for scores of ``least`` or more; ``df``:
+        documents holding each of ``all``."""
+        bound = np.maximum(np.ceil(least * self.own - 1e-9).astype(np.int64) - 1, 1)
+        self.need = np.where(self.short, 1, bound)
+        # words of text that such an alignment spans
+        self.span = np.maximum(np.ceil(self.own * (3 - 2 * least)).astype(np.int64), self.own) + 2
+        often = np.zeros(len(self.words), np.int64)
+        np.add.at(often, self.place, df[np.searchsorted(self.all, self.seed)])
+        item = np.repeat(np.arange(len(self.own)), self.own)
+        order = np.lexsort((-often, item))  # an item's most frequent places first
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - self.row[item[order]]
+        spare = self.need - np.minimum(self.need, LEAST_HITS)
+        gone = (rank < spare[item]) & (often > limit)
+        self.need = self.need - np.bincount(item[gone], minlength=len(self.own))
+        use = ~gone[self.place]
+        self._seeds(self.seed[use], self.item[use], self.place[use])
+
     def item_words(self, i: int) -> np.ndarray:
         return self.words[self.row[i]:self.row[i + 1]]
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Positions of ``grams`` that are n-grams (or seeds) of the block."""
+        """Positions of ``grams`` that are seeds of the block."""
         if not len(self.all):
             return np.empty(0, np.int64)
         table = self._table()
@@ -133,36 +179,42 @@ class Block:
             self._bits = (self.all, bits)
         return self._bits[1]
 
-    def leaks(self, words: np.ndarray, grams: np.ndarray, at: np.ndarray, least: float):
-        """``(item index, score, start word, end word)`` of one text with the
-        seeds ``grams`` at words ``at``: the best alignment of each item that
-        scores ``least`` or more."""
-        found = {}
-        for g, pos in zip(grams, at, strict=True):
-            lo = np.searchsorted(self.seed, g)
-            hi = np.searchsorted(self.seed, g, side="right")
-            for i, p in zip(self.item[lo:hi], self.place[lo:hi], strict=True):
-                found.setdefault(int(i), []).append(int(pos - p))
-        out = []
-        for i, begins in found.items():
-            own = self.item_words(i)
-            slack = len(own) // 2 + self.ngram
-            begins.sort()
-            best = (0.0, 0, 0)
-            a = 0
-            for b in range(1, len(begins) + 1):
-                if b < len(begins) and begins[b] - begins[b - 1] <= slack:
-                    continue
-                lo = max(0, begins[a] - slack)
-                hi = min(len(words), begins[b - 1] + len(own) + slack)
-                got = align(own, words[lo:hi])
-                if got[0] > best[0]:
-                    best = (got[0], got[1] + lo, got[2] + lo)
-                a = b
-            score = best[0] / (MATCH * len(own))
-            if score >= least:
-                out.append((i, score, best[1], best[2]))
-        return sorted(out)
+    def stretches(self, gram: np.ndarray, owner: np.ndarray, place: np.ndarray):
+        """``(row, item, lo, hi)``: stretches of a row's words around enough
+        hits of an item, overlapping ones as one; ``lo`` and ``hi`` may pass
+        the row's ends."""
+        first = np.searchsorted(self.seed, gram)
+        times = np.searchsorted(self.seed, gram, side="right") - first
+        before = np.concatenate([[0], np.cumsum(times)])
+        at = np.repeat(first - before[:-1], times) + np.arange(before[-1])
+        owner, pos, item = np.repeat(owner, times), np.repeat(place, times), self.item[at]
+        order = np.lexsort((pos, item, owner))
+        owner, item, pos = owner[order], item[order], pos[order]
+        new = np.ones(len(pos), bool)  # a place counts once
+        new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1])
+        owner, item, pos = owner[new], item[new], pos[new]
+        end = np.arange(len(pos)) + self.need[item] - 1
+        some = np.flatnonzero(end < len(pos))
+        end = end[some]
+        some = np.flatnonzero((owner[end] == owner[some]) & (item[end] == item[some]) & (
+            pos[end] - pos[some] <= self.span[item[some]])) if len(some) else some
+        end = end[some]
+        owner, item = owner[end], item[end]
+        lo, hi = pos[end] - self.span[item], pos[some] + self.span[item]
+        new = np.ones(len(lo), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(lo))[:len(begin)] - 1
+        return owner[begin], item[begin], lo[begin], hi[last]
+
+    def best(self, i: int, text: np.ndarray, least: float) -> tuple[float, int, int]:
+        """The best alignment of an item with ``text``, its score as a share;
+        0 where the words in common cannot reach ``least``."""
+        own = self.item_words(i)
+        if np.isin(own, text).sum() < least * len(own) - 1e-9:
+            return 0.0, 0, 0
+        got = align(own, text)
+        return got[0] / (MATCH * len(own)), got[1], got[2]
 
 
 def blocks(benchmark: DataFrame, ngram: int, id_col: str = "item_id", text_col: str = "text"):
@@ -187,32 +239,49 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _steps(batches, block: Block):
-    """Per step: batch, rows, words, row offsets, and the block's n-grams (or
-    seeds) in it with their rows and word places in the row."""
+    """Per step: batch, rows, words, row offsets, and the block's seeds in it
+    with their rows and word places in the row."""
     for b in batches:
         for i, j, data, off in tasks.sliced_texts(b):
             words, row = plain_words(data, off)
             gram, owner, place = [], [], []
-            for size in block.sizes:
-                h, at = shingles(words, row, size)
+
+            def take(h, first):
                 hit = block.hits(h)
-                own = np.searchsorted(at, hit, side="right") - 1
+                at = first[hit]
+                own = np.searchsorted(row, at, side="right") - 1
                 gram.append(h[hit])
                 owner.append(own)
-                place.append(hit - at[own])
-            join = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (gram, owner, place)]
-            yield b, i, j, words, row, *join
+                place.append(at - row[own])
+
+            for step in (1, 2):
+                take(*word_pairs(words, row, step))
+            for size in block.sizes:
+                h, at = shingles(words, row, size)
+                first = np.arange(len(h)) + np.repeat(row[:-1] - at[:-1], np.diff(at))
+                take(h, first)
+            yield b, i, j, words, row, *map(np.concatenate, (gram, owner, place))
 
 
 def _leaking(block: Block, words, row, gram, owner, place, least: float):
-    """``(row of the step, leak)`` of the rows that hold a seed."""
-    order = np.lexsort((place, owner))
+    """``(row of the step, (item index, score, start word, end word))``: the
+    best alignment of each item that scores ``least`` or more in a row."""
+    order = np.argsort(owner, kind="stable")
     gram, owner, place = gram[order], owner[order], place[order]
-    rows, first = np.unique(owner, return_index=True)
-    ends = np.append(first[1:], len(owner))[:len(first)]
-    for k, a, b in zip(rows, first, ends, strict=True):
-        for x in block.leaks(words[row[k]:row[k + 1]], gram[a:b], place[a:b], least):
-            yield int(k), x
+    times = (np.searchsorted(block.seed, gram, side="right") - np.searchsorted(block.seed, gram))
+    total = np.bincount(owner, times, len(row) - 1).astype(np.int64)
+    at = np.searchsorted(owner, np.arange(len(row)))
+    for a, b in tasks.steps(total, HELD_HITS):
+        found = {}
+        part = slice(at[a], at[b])
+        for k, i, lo, hi in zip(*(x.tolist() for x in block.stretches(
+                gram[part], owner[part], place[part])), strict=True):
+            lo = max(lo, 0)
+            score, start, end = block.best(i, words[row[k]:row[k + 1]][lo:hi], least)
+            if score >= least and score > found.get((k, i), (0.0,))[0]:
+                found[k, i] = score, start + lo, end + lo
+        for (k, i), x in sorted(found.items()):
+            yield k, (i, *x)
 
 
 def _choose_seeds(docs: DataFrame, block: Block, p: LeakParams, text_col: str) -> None:
@@ -233,10 +302,13 @@ def _choose_seeds(docs: DataFrame, block: Block, p: LeakParams, text_col: str) -
              pa.array(np.append(np.zeros(len(some), np.int32), np.int32(1)))], ["gram", "n", "kind"])
 
     rows = (_texts(docs, text_col).mapInArrow(run, "gram bigint, n bigint, kind int")
-            .groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect())  # the block's n-grams
+            .groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect())  # the block's pairs
     n_docs = sum(r.n for r in rows if r.kind == 1)
-    df = {r.gram % (1 << 64): r.n for r in rows if r.kind == 0}
-    block.choose(df, p.max_seed_share * n_docs)
+    df = np.zeros(len(block.all), np.int64)
+    some = [r for r in rows if r.kind == 0]
+    df[np.searchsorted(block.all, np.array([r.gram for r in some], np.int64).view(np.uint64))] = [
+        r.n for r in some]
+    block.choose(df, p.max_seed_share * n_docs, p.min_score)
     shared.unpersist()
 
 

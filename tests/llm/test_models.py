@@ -242,3 +242,36 @@ def test_leak_edges(spark, docs, empty):
     same = docs.where("doc_id = 1").selectExpr("1L as item_id", "text")
     got = decontaminate.find_leaks(docs, same, LeakParams(min_score=0.9)).collect()
     assert sorted(r.doc_id for r in got) == [0, 0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("times", [1, 12])
+@pytest.mark.parametrize("exact", [False, True])
+def test_leaks_of_spread_edits(spark, times, exact):
+    """Copies whose edits break most or all trigrams, alone and in many
+    documents, beside exact copies or without, equal full alignment."""
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("w" + str(rnd.randint(0, 400)) for _ in range(n))
+    items = [prose(n) for n in (3, 9, 16, 30, 41)]
+    texts = [prose(60) for _ in range(40)]
+    for item in items:
+        own = item.split()
+        copies = [[f"x{k}" if k % m == m - 1 else w for k, w in enumerate(own)] for m in (3, 4, 5)]
+        copies.append([w for k, w in enumerate(own) if k % 4 != 3])
+        copies.append([x for w in own for x in (w, "in")])  # a word after each
+        copies += [own[:len(own) // 2 + 1], own[len(own) // 2 - 1:]]
+        for copy in copies + [own] * exact:
+            texts += [prose(25) + " " + " ".join(copy) + " " + prose(25) for _ in range(times)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = {}
+    for k, item in enumerate(items):
+        code = {}
+        number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])  # noqa: B023, E731
+        own = number(item.split())
+        for d, t in enumerate(texts):
+            score = align(own, number(t.split()))[0] / (2 * len(own))
+            if score >= 0.5:
+                want[d, k] = score
+    assert len(want) >= 5 * 7 * times
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want
