@@ -305,7 +305,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(),
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, tkey, node)``, one row per
-    input row.
+    input row.  Different components may share a ``component_id``: that of
+    null ids, or an id that several texts have.
 
     ``component_id`` is the least doc_id of the row's component (nulls apart),
     ``kept`` whether that is the row's own.  A text without words (null and
@@ -314,6 +315,12 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(),
     rows are one set.  A null id is kept only where its component has no
     other.  An empty table gives an empty result.
     """
+    return _labelled(docs, params, id_col, text_col).drop("label")
+
+
+def _labelled(docs: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` and the label of the row's component, a node of it
+    (null for a text without words)."""
     spark = docs.sparkSession
     tasks.prepare(spark)
     rows = _keyed(docs, id_col, text_col)
@@ -326,28 +333,29 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(),
     labels = _labels(nodes, rows, params)
     named = nodes.select("node", "least")
     if labels is None:
-        comp = named.select("node", F.col("least").alias("component_id"))
+        comp = named.select("node", F.col("least").alias("component_id"), F.col("node").alias("label"))
     else:
         named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         linked = named.join(labels.select("node"), "node", "left_semi")
         best = linked.groupBy("label").agg(F.min("least").alias("best"))
         comp = named.join(best, "label", "left").select(
-            "node", F.coalesce("best", "least").alias("component_id"))
+            "node", F.coalesce("best", "least").alias("component_id"), "label")
     out = signed.drop("bands", "sketch").join(comp, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-                      "tkey", "node")
+                      "tkey", "node", "label")
 
 
 def keep_one(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, all columns: that of the
     least doc_id (of repeated rows, any one).  Rows without words stay."""
-    found = near_duplicates(docs, params, id_col, text_col).where("kept and node is not null")
-    # Where equal ids hold several texts of one component, one text stays.
-    one = found.groupBy(F.col("doc_id").alias("_i"), F.col("component_id").alias("_c")).agg(
-        F.min("tkey").alias("_t")).select("_i", "_t")
+    found = _labelled(docs, params, id_col, text_col).where("kept and node is not null")
+    # The kept rows of a component have one id; where it holds several of the
+    # component's texts, one text stays.
+    one = found.groupBy("label").agg(F.min(F.struct("doc_id", "tkey")).alias("_k")).select(
+        F.col("_k.doc_id").alias("_i"), F.col("_k.tkey").alias("_t"))
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_in"),
                         F.col(id_col).alias("_id"), F.coalesce(
                             F.col(text_col), F.lit("")).alias("_text"))

@@ -120,6 +120,25 @@ def test_keep_one(docs, bag):
     assert bag((r.doc_id, r.text) for r in got.collect()) == bag(want)
 
 
+def test_keep_one_of_null_and_equal_ids(spark, bag):
+    """Texts that are nobody's duplicate stay, whatever ids they share; of a
+    component one row stays."""
+    rnd = random.Random(7)
+    prose = lambda n: " ".join("w" + str(rnd.randint(0, 5000)) for _ in range(n))
+    alone = [(d, prose(40)) for d in (None, None, None, 7, 7, 7, 3, 8)]
+    base = prose(60).split()
+    near = [" ".join([*base[:k], "changed", *base[k + 1:]]) for k in (0, 1, 59)]
+    other, third = prose(50), prose(50)
+    rows = alone + [(None, near[0]), (None, near[1]), (None, near[2]), (None, near[2])]
+    rows += [(3, other), (9, other + " end"), (None, other), (7, third), (7, third + " end"), (12, third)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in near_dup.keep_one(docs).collect()]
+    rest = [r for r in got if r not in alone]
+    assert bag(r for r in got if r in alone) == bag(alone)
+    assert len(rest) == 3 and sum(d is None and t in near for d, t in rest) == 1
+    assert (3, other) in rest and sum(d == 7 and t.startswith(third) for d, t in rest) == 1
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rnd.randint(0, 60), 100 + rnd.randint(0, 60))
