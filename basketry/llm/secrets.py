@@ -3,7 +3,8 @@
 Ordinary text packs several characters into a token of a public vocabulary;
 a random string packs few.  A long run of key characters with a low
 characters-per-token ratio is reported, unless it is a known digest length,
-a UUID, a number or an identifier made of plain words.
+a UUID, a number or an identifier made of plain words.  Words are told by
+their own characters per token, not by their shape.
 
 One pass, no shuffle.  A vectorised byte scan finds the texts that hold a
 long enough run, and a substring test those that hold a keyword; only they
@@ -38,6 +39,7 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
+LETTERS = re.compile(r"[A-Za-z]+")
 IDENTIFIER = re.compile(r"[+/=_-]*([A-Za-z][a-z]*|[A-Z]+|[0-9]+)([+/=_-]+([A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[+/=_-]*")
 
 
@@ -73,10 +75,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def known(run: str) -> bool:
+def plain(run: str, encoding, least: float) -> bool:
+    """Whether the letters of an identifier are words: each part and all
+    together pack ``least`` characters per token, as written or in lower case
+    after a blank.  A part of fewer letters than ``least`` is judged only with
+    the others; a run without letters is a number."""
+    parts = LETTERS.findall(run)
+    tokens = [min(len(encoding.encode_ordinary(p)), len(encoding.encode_ordinary(" " + p.lower())))
+              for p in parts]
+    return (all(len(p) >= least * n for p, n in zip(parts, tokens, strict=True) if len(p) >= least)
+            and sum(map(len, parts)) >= least * sum(tokens))
+
+
+def known(run: str, encoding, least: float) -> bool:
     """Digests, UUIDs, numbers and identifiers of plain words."""
     return bool((DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS) or UUID.fullmatch(run)
-                or IDENTIFIER.fullmatch(run))
+                or (IDENTIFIER.fullmatch(run) and plain(run, encoding, least)))
 
 
 def random_spans(text: str, encoding, limits: SecretLimits, taken) -> list[tuple[int, int, int]]:
@@ -84,11 +98,12 @@ def random_spans(text: str, encoding, limits: SecretLimits, taken) -> list[tuple
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if len(run) < limits.min_run or known(run):
+        if len(run) < limits.min_run:
             continue
         if any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
-        if len(run) < limits.max_chars_per_token * len(encoding.encode_ordinary(run)):
+        if (len(run) < limits.max_chars_per_token * len(encoding.encode_ordinary(run))
+                and not known(run, encoding, limits.max_chars_per_token)):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -1,7 +1,9 @@
 """URL rules, secrets and quality rules against plain Python."""
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
@@ -123,6 +125,27 @@ def test_secret_redaction(spark):
     assert got[0].text is None and got[3].text == SECRETS[3] and got[3].n_chars == 7
 
 
+def test_secret_letter_keys(spark):
+    """Random letters are found whatever the case and the grouping; words and
+    numbers joined the same ways are not."""
+    rnd = random.Random(2)
+    keys = []
+    for case in (str.lower, str.upper):
+        for size, n in ((32, 1), (5, 5), (4, 6), (3, 8)):
+            for sep in "-_/":
+                keys += [sep.join(case("".join(rnd.choices(string.ascii_lowercase, k=size)))
+                                  for _ in range(n)) for _ in range(10)]
+    clean = ["some_long_identifier_with_words", "MAX_RETRY_COUNT_EXCEEDED", "Donaudampfschifffahrtsgesellschaft",
+             "2024-01-02-03-04-05-06", "see-also-section-12-of-34-in-part-5", "-" * 40, "12345678901234567890123"]
+    table = spark.createDataFrame([(i, f"my key {k} here", 0) for i, k in enumerate(keys + clean)],
+                                  "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r.spans for r in secrets.scan(table, RANKS, P.PATTERN).collect()}
+    assert [got[i] for i in range(len(keys))] == [f"random:7:{7 + len(k)}" for k in keys]
+    assert not any(got[len(keys) + i] for i in range(len(clean)))
+    masked = {r.doc_id: r.text for r in secrets.redact(table, RANKS, P.PATTERN).collect()}
+    assert {masked[i] for i in range(len(keys))} == {"my key <secret> here"}
+
+
 def measures(text):
     text = text or ""
     words = [w for w in BLANK.split(text) if w]
