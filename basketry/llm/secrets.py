@@ -93,18 +93,25 @@ def known(run: str, encoding, least: float) -> bool:
                 or (IDENTIFIER.fullmatch(run) and plain(run, encoding, least)))
 
 
+def _random(run: str, encoding, limits: SecretLimits) -> bool:
+    return (len(run) < limits.max_chars_per_token * len(encoding.encode_ordinary(run))
+            and not known(run, encoding, limits.max_chars_per_token))
+
+
 def random_spans(text: str, encoding, limits: SecretLimits, taken) -> list[tuple[int, int, int]]:
-    """Spans of kind random outside the spans ``taken``."""
+    """Spans of kind random outside the sorted spans ``taken``; a run that
+    holds some of them is cut there and its pieces judged as runs."""
     out = []
     for m in RUN.finditer(text):
         run = m[0]
         if len(run) < limits.min_run:
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if (len(run) < limits.max_chars_per_token * len(encoding.encode_ordinary(run))
-                and not known(run, encoding, limits.max_chars_per_token)):
-            out.append((m.start(), 3, m.end()))
+        at = m.start()
+        inside = [(a, b) for a, _, b in taken if a < m.end() and m.start() < b]
+        for a, b in [*inside, (m.end(), m.end())]:  # what the base spans leave of the run
+            if a - at >= limits.min_run and _random(text[at:a], encoding, limits):
+                out.append((at, 3, a))
+            at = max(at, b)
     return out
 
 
