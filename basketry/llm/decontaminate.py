@@ -15,8 +15,8 @@
 3. One more pass finds the seeds in every whole text and aligns an item with
    the text around each stretch that holds enough hits: local alignment over
    words, so edited and partly copied passages score.  A score is a share of
-   the item's own score.  No alignment of ``min_score`` is left out, however
-   often its words occur and wherever the copy was edited.
+   the item's own score.  Where sL > 1 no alignment of ``min_score`` is left
+   out, however often its words occur and wherever the copy was edited.
 
 No shuffle of texts; the counts are one row per pair of the block and task.
 """
@@ -196,9 +196,9 @@ class Block:
         end = np.arange(len(pos)) + self.need[item] - 1
         some = np.flatnonzero(end < len(pos))
         end = end[some]
-        some = np.flatnonzero((owner[end] == owner[some]) & (item[end] == item[some]) & (
-            pos[end] - pos[some] <= self.span[item[some]])) if len(some) else some
-        end = end[some]
+        near = ((owner[end] == owner[some]) & (item[end] == item[some])
+                & (pos[end] - pos[some] <= self.span[item[some]]))
+        some, end = some[near], end[near]
         owner, item = owner[end], item[end]
         lo, hi = pos[end] - self.span[item], pos[some] + self.span[item]
         new = np.ones(len(lo), bool)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketry.llm import decontaminate, suffix_lm
@@ -275,3 +276,24 @@ def test_leaks_of_spread_edits(spark, times, exact):
     assert len(want) >= 5 * 7 * times
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_stretches_hold_every_alignment(seed):
+    """Few words, many items and texts in one step: nothing is passed over."""
+    rnd = random.Random(seed)
+    words = rnd.choice([4, 20, 60])
+    prose = lambda n: " ".join(f"w{rnd.randrange(words)}" for _ in range(n))
+    items = [prose(rnd.randint(3, 14)) for _ in range(8)]
+    texts = [prose(9) + " " + " ".join(w + rnd.choice(["", "", "", " x", "y"]) for w in rnd.choice(
+        items).split()) + " " + prose(rnd.randint(0, 4)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for least in (0.5, 0.9):
+        block = decontaminate.Block(list(range(8)), items, 3)
+        block.choose(np.array([rnd.randint(0, 9) for _ in block.all]), 4, least)
+        got = {(k, x[0]): x[1] for _, _, _, *step in decontaminate._steps([batch], block)
+               for k, x in decontaminate._leaking(block, *step, least)}
+        plain = decontaminate.Block(texts, texts, 3)
+        score = {(d, i): align(block.item_words(i), plain.item_words(d))[0] / (2 * block.own[i])
+                 for d in range(40) for i in range(8)}
+        assert got == {k: x for k, x in score.items() if x >= least}
