@@ -297,3 +297,15 @@ def test_stretches_hold_every_alignment(seed):
         score = {(d, i): align(block.item_words(i), plain.item_words(d))[0] / (2 * block.own[i])
                  for d in range(40) for i in range(8)}
         assert got == {k: x for k, x in score.items() if x >= least}
+
+
+def test_stretch_at_the_end_of_a_step():
+    """A stray hit of a long item before the last copy of a short one."""
+    items = ["a b c d e f g h i j k l", "p q r"]
+    text = "a b " + " ".join(f"z{k}" for k in range(40)) + " p q r"
+    block = decontaminate.Block([0, 1], items, 3)
+    block.choose(np.zeros(len(block.all), np.int64), 4, 0.9)
+    batch = pa.RecordBatch.from_pydict({"text": [text]})
+    got = [x for _, _, _, *step in decontaminate._steps([batch], block)
+           for x in decontaminate._leaking(block, *step, 0.9)]
+    assert got == [(0, (1, 1.0, 42, 45))]
