@@ -77,6 +77,22 @@ def op10_quality_rules(spark, sf_dir):
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark, sf_dir):
+    from basketry.llm.whitening import whiten
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark, sf_dir):
+    from basketry.llm.licenses import scan
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark, sf_dir):
+    from basketry.llm.fill_middle import digests
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_token_counts, op3_decontamination, op4_suffix_lm, op5_secret_scan,
-    op6_near_dup, op7_token_orc, op8_suffix_dedup, op9_bpe_reuse, op10_quality_rules)}
+    op6_near_dup, op7_token_orc, op8_suffix_dedup, op9_bpe_reuse, op10_quality_rules,
+    op11_whitening, op12_license_scan, op13_fill_middle)}
