@@ -34,7 +34,3 @@ def text_file(tmp_path):
         p.write_text("".join(line + "\n" for line in lines), encoding="utf-8")
         return str(p)
     return make
-
-
-SF0001 = "/root/testdata/sf0.001"
-SF001 = "/root/testdata/sf0.01"

@@ -4,7 +4,7 @@ runs all of them at sf0.01)."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF0001
+from data_dirs import SF0001
 from oracle_check import compare, duck
 
 FAST = ["order_brand_itemsets", "apriori_itemsets", "son_frequent_itemsets",

@@ -5,7 +5,7 @@ from basketry.operators.support import itemset_support
 from basketry.plans import apriori
 from basketry.sources import fixtures as FX
 from basketry.sources import text as TX
-from conftest import SF0001
+from data_dirs import SF0001
 
 
 def plan(df):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry import frequent_itemsets
 from basketry.sources import fixtures as FX
-from conftest import SF0001, SF001
+from data_dirs import SF0001, SF001
 
 
 def triples(df):
