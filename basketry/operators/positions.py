@@ -62,6 +62,33 @@ def assign_chunks(df: DataFrame, order_cols, chunks: int, n: int | None = None,
     return positioned.withColumn("chunk_id", F.expr(f"{pos_col} div {size}").cast("bigint"))
 
 
+def chunk_starts(df: DataFrame, key: str, chunks: int, n: int) -> DataFrame:
+    """One row ``(starts)``: the keys of the first rows of all chunks but the
+    first, in order (at most ``chunks`` - 1 of them)."""
+    size = chunk_size(n, chunks)
+    first = with_positions(df, [key], "_pos").where(
+        (F.col("_pos") > 0) & (F.col("_pos") % size == 0))
+    return first.agg(F.sort_array(F.collect_list(key)).alias("starts"))
+
+
+def in_chunks(df: DataFrame, key, starts: DataFrame, chunks: int) -> DataFrame:
+    """``df`` with the ``chunk_id`` of the ascending column ``key``: how many
+    of ``starts`` are not above it, by binary search inside the row."""
+    steps = max(1, chunks).bit_length()
+    keyed = df.select("*", key.alias("_key"), starts.scalar().alias("_starts"))
+    open_ = F.struct(F.lit(0).alias("lo"), F.size("_starts").alias("hi"))
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.get("_starts", mid) <= F.col("_key")
+        return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(
+            F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"),
+            F.when(below, at["hi"]).otherwise(mid).alias("hi")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), open_, halve)
+    return keyed.select(*df.columns, found["lo"].cast("bigint").alias("chunk_id"))
+
+
 def hash_chunks(df: DataFrame, key_col: str, chunks: int) -> DataFrame:
     """Chunks by hash of the basket key: no sort, same mining result."""
     if chunks < 1:

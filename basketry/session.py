@@ -9,10 +9,12 @@ otherwise, where AQE splits hot keys.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,16 @@ FOLDER = "basketry-scratch"
 TABLES = "basketry_"
 
 
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's path (on a
+    cluster the package is installed or shipped; the path is then unused)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([x for x in (have, root) if x])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the session names it.
 
@@ -43,12 +55,13 @@ def _root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{FOLDER}"
 
 
-_work: list[str] = []  # folders of the open work() blocks, innermost last
+#: Folder of the innermost open work() block of this thread or task.
+_work: ContextVar[str | None] = ContextVar("basketry_work", default=None)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    return f"{_work[-1] if _work else _root(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_work.get() or _root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -62,13 +75,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def work(spark: SparkSession):
     """Scratch tables written inside the block are deleted at its end.  Yields
     ``keep(df, tag)``, which writes a table that stays."""
-    outer = _work[-1] if _work else _root(spark)
+    outer = _work.get() or _root(spark)
     folder = f"{outer}/work-{uuid.uuid4().hex}"
-    _work.append(folder)
+    token = _work.set(folder)
     try:
         yield lambda df, tag: _write(df, f"{outer}/{tag}-{uuid.uuid4().hex}")
     finally:
-        _work.remove(folder)
+        _work.reset(token)
         delete_path(spark, folder)
 
 

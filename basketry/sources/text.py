@@ -6,12 +6,13 @@ Paths are any Hadoop path; scratch paths come from ``session.scratch_path``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expressions import (WS, basket_canonical, drop_last, report_line,
                                             tokens_whitespace)
-from basketry.operators.positions import assign_chunks, with_positions
+from basketry.operators.positions import chunk_size, with_positions
+from basketry.session import write_table
 from basketry.sources.baskets import BasketData, from_arrays
 
 # Fixed value: the report line pattern read back by SRC-6.
@@ -42,17 +43,44 @@ def text_baskets(spark: SparkSession, path: str, first_file_only: bool = False)
 
 
 def line_numbers(df: DataFrame) -> DataFrame:
-    """Line numbers in file order: ``(file path, split start, row order)``.
-
-    Rows of one split are contiguous and in file order inside their
-    partition, so ``monotonically_increasing_id`` orders lines within a
-    split; the split start orders splits within a file.
+    """``df`` (a text scan) with ``line_no`` in file order: files by path,
+    then lines as they stand.
+
+    The lines of a split are contiguous and in order inside one partition of
+    the scan.  A first scan, of no column, counts the lines of every split;
+    prefix sums over the splits (one row each) give each its first number, and
+    the second scan adds the place of the line in its split.  The text is
+    neither sorted, nor shuffled, nor written.  Should the second scan be
+    split in another way than the first, the job fails rather than number
+    lines wrongly.
     """
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.file_block_start").alias("_start"),
-                       F.monotonically_increasing_id().alias("_row"))
-    out = with_positions(tagged, ["_file", "_start", "_row"], "line_no")
-    return out.drop("_file", "_start", "_row")
+    return _numbered(df, _line_counts(df))
+
+
+def _places(df: DataFrame, *cols) -> DataFrame:
+    return df.select(*cols, F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_row"))
+
+
+def _line_counts(df: DataFrame) -> DataFrame:
+    """``(_file, _start, _first, _n, _before)`` of every split: the row id of
+    its first line, its lines, and the lines of all splits before it."""
+    counts = _places(df).groupBy("_file", "_start").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row per split: the window below sees only that many.
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    return write_table(counts.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                                     .alias("_before")), "splits")
+
+
+def _numbered(df: DataFrame, splits: DataFrame) -> DataFrame:
+    placed = _places(df, "*").join(F.broadcast(splits), ["_file", "_start"], "left")
+    place = F.col("_row") - F.col("_first")
+    known = (place >= 0) & (place < F.col("_n"))
+    return placed.select(*df.columns, F.when(known, F.col("_before") + place).otherwise(
+        F.raise_error(F.lit("the text was split in another way than when its lines were counted"))
+    ).alias("line_no"))
 
 
 def first_file(spark: SparkSession, path: str) -> str | None:
@@ -111,9 +139,14 @@ def ingest(spark: SparkSession, src: str, dst: str) -> None:
 
 def text_chunks(spark: SparkSession, path: str, chunks: int) -> DataFrame:
     """SRC-1 + WIN-1: the lines of a text dataset in file order, blank ones
-    kept, in ``chunks`` contiguous chunks: ``(pos, chunk_id, value)``."""
-    lines = line_numbers(scan_text(spark, path))
-    return assign_chunks(lines, ["line_no"], chunks).select("pos", "chunk_id", "value")
+    kept, in ``chunks`` contiguous chunks: ``(pos, chunk_id, value)``.  Two
+    scans, no exchange of the text (see ``line_numbers``)."""
+    lines = scan_text(spark, path)
+    splits = _line_counts(lines)
+    n = splits.agg(F.sum("_n")).first()[0] or 0
+    return _numbered(lines, splits).select(
+        F.col("line_no").alias("pos"),
+        F.expr(f"line_no div {chunk_size(n, chunks)}").cast("bigint").alias("chunk_id"), "value")
 
 
 def write_chunks(chunked_lines: DataFrame, dst: str, split: bool = True) -> None:
