@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from basketry import frequent_itemsets
 from basketry.functions import expressions as X
+from basketry.operators import bitmaps as BM
 from basketry.operators import levels as LV
 from basketry.operators.dictionary import codes_key, decode_itemsets, item_dictionary
+from basketry.operators.pairs import pair_support
 from basketry.operators.positions import assign_chunks, with_positions
 from basketry.operators.support import (item_support, itemset_support, support_filter,
                                          support_lookup)
@@ -329,21 +331,17 @@ def q_basket_frequent_itemsets(spark, d):
 def _udc_containment(spark, d):
     data, ch = _udc(spark, d)
     local = son.local_levels(ch, S_UDC)
-    cand, sizes = son.candidates(local)
-    return data, ch, local, cand, sizes
+    cand, n = son.candidates(local)
+    return data, ch, local, cand, n
 
 
 def q_basket_candidates(spark, d):
-    data, ch, local, cand, sizes = _udc_containment(spark, d)
-    levels = son.contained_candidates(data.occ, local, cand, sizes)
-    occ = levels[0].select("basket", "items")
-    for rows in levels[1:]:
-        occ = occ.unionByName(rows.select("basket", "items"))
-    return _ude_out(_occ_itemsets(local, occ), "itemset")
+    data, ch, local, cand, n = _udc_containment(spark, d)
+    return _ude_out(_occ_itemsets(local, son.contained_candidates(data.occ, local, cand, n)), "itemset")
 
 
 def q_basket_candidate_items(spark, d):
-    data, ch, local, cand, sizes = _udc_containment(spark, d)
+    data, ch, local, cand, n = _udc_containment(spark, d)
     return _ude_out(son.candidate_items(data.occ, local, cand), "item")
 
 
@@ -362,14 +360,19 @@ def q_item_support(spark, d):
 
 
 def q_pair_support(spark, d):
-    res, pairs = _ob_pairs(spark, d)
-    counts = itemset_support(pairs)
+    res = _levels(spark, _ob(spark, d), S_OB, max_len=1)
+    counts = pair_support(write_table(LV.basket_rows(res.occ1), "rows"))
     return _decoded(res, counts).select("itemset", "freq")
 
 
 def q_triple_support(spark, d):
-    res, x3 = _ude_x3(spark, d)
-    return _decoded(res, itemset_support(x3)).select("itemset", "freq")
+    """Triples that extend an L_2 pair, counted on the items' bitmaps."""
+    data = _ude(spark, d)
+    res = _levels(spark, data, S_UDE, max_len=2)
+    pairs = write_table(pair_support(LV.basket_rows(res.occ1)), "pairs")
+    triples = BM.extensions(support_filter(pairs, S_UDE, n=data.n), pairs)
+    return _decoded(res, BM.bitmap_support(write_table(BM.item_bitmaps(res.occ1), "bitmaps"),
+                                           triples)).select("itemset", "freq")
 
 
 def q_prefix_groups(spark, d):
@@ -403,20 +406,20 @@ def q_basket_count(spark, d):
 
 
 def q_son_candidates(spark, d):
-    data, ch, local, cand, sizes = _udc_containment(spark, d)
+    data, ch, local, cand, n = _udc_containment(spark, d)
     return _decoded(local, cand.select("items", F.lit(0).cast("bigint").alias("freq"))
                     ).select("itemset", "size")
 
 
 def q_partial_candidate_counts(spark, d):
-    data, ch, local, cand, sizes = _udc_containment(spark, d)
-    counts = son.count_candidates(ch.occ, local, cand, sizes, part_cols=["chunk_id"])
+    data, ch, local, cand, n = _udc_containment(spark, d)
+    counts = son.count_candidates(ch.occ, local, cand, n, part_cols=["chunk_id"])
     return _decoded(local, counts, ["chunk_id"]).select("chunk_id", "itemset", "freq")
 
 
 def q_candidate_support(spark, d):
-    data, ch, local, cand, sizes = _udc_containment(spark, d)
-    counts = son.count_candidates(data.occ, local, cand, sizes)
+    data, ch, local, cand, n = _udc_containment(spark, d)
+    counts = son.count_candidates(data.occ, local, cand, n)
     return _decoded(local, counts).select("itemset", "size", "freq")
 
 

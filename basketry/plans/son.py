@@ -3,8 +3,8 @@
 Pass 1 mines every chunk at its own threshold ``s * n_c`` (minus a tiny
 slack, Q6) -- all chunks in the same Spark jobs, the chunk id being one more
 key column.  The distinct union of the local results is the candidate set
-(A-7).  Pass 2 counts every candidate in every basket (JN-5: levelwise
-containment restricted to the candidates) and keeps those reaching
+(A-7).  Pass 2 counts every candidate in every basket (JN-5: one walk of
+the candidates' prefix tree per distinct basket) and keeps those reaching
 ``s * N``.  Chunking cannot change the result: every globally frequent
 itemset is locally frequent in at least one chunk.  Its items are globally
 frequent too, so the full query mines occurrences of those items only, which
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.dictionary import decode_itemsets
-from basketry.operators.levels import extend, first_level, only
-from basketry.operators.positions import assign_chunks, hash_chunks
+from basketry.operators.levels import basket_rows, only
+from basketry.operators.positions import chunk_starts, hash_chunks, in_chunks, with_positions
 from basketry.operators.support import item_support, support_filter
-from basketry.plans.apriori import Levels, encode, mine_levels
-from basketry.session import write_table
+from basketry.operators.tree import contained_sets, contained_support
+from basketry.plans.apriori import Levels, mine_levels
+from basketry.session import write_counted, write_table
 from basketry.sources.baskets import BasketData
 
 
@@ -36,20 +37,30 @@ class Chunked:
 
 def chunk_baskets(data: BasketData, chunks: int, chunking: str = "hash",
                   order_cols=None, occ: DataFrame | None = None) -> Chunked:
-    """WIN-1 (contiguous, in ``order_cols`` order) or hash chunks, of all
-    occurrences or of ``occ``, a part of them."""
+    """WIN-1 (contiguous, in ascending ``order_cols`` order) or hash chunks,
+    of all occurrences or of ``occ``, a part of them.
+
+    Contiguous: the baskets are sorted once to find the first key of every
+    chunk; an occurrence finds its chunk by binary search of those keys, so it
+    is not joined with its basket.  ``order_cols`` are columns or fields of
+    ``basket``; baskets equal in all of them go by ``basket`` itself.
+    """
     occ = data.occ if occ is None else occ
     if chunking == "hash":
         keys = hash_chunks(data.keys, "basket", chunks).select("basket", "chunk_id")
         occ = hash_chunks(occ, "basket", chunks)
     elif chunking == "contiguous":
-        keys = write_table(assign_chunks(data.keys, order_cols or ["basket"], chunks,
-                                         n=data.n).select("basket", "chunk_id"), "chunks")
-        occ = occ.join(keys, "basket")  # AQE splits a hot basket
+        order = F.struct(*[F.col(c).alias(f"k{i}") for i, c in
+                           enumerate([*(order_cols or []), "basket"])])
+        first = write_table(chunk_starts(data.keys.select(order.alias("key")), "key", chunks,
+                                         data.n), "starts")
+        keys = in_chunks(data.keys, order, first, chunks)
+        occ = in_chunks(occ, order, first, chunks)
     else:
         raise ValueError(f"unknown chunking {chunking!r}")
     sizes = write_table(keys.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    return Chunked(occ=occ.select("chunk_id", "basket", "item"), keys=keys, sizes=sizes)
+    return Chunked(occ=write_table(occ.select("chunk_id", "basket", "item"), "chunked"),
+                   keys=keys, sizes=sizes)
 
 
 def local_levels(ch: Chunked, min_support: float, max_len=None) -> Levels:
@@ -58,12 +69,11 @@ def local_levels(ch: Chunked, min_support: float, max_len=None) -> Levels:
                        max_len=max_len)
 
 
-def candidates(local: Levels) -> tuple[DataFrame, list[int]]:
-    """A-7 / U-2: distinct union of the local itemsets -> ``(items, size)``
-    and the sizes that occur."""
-    cand = write_table(local.coded().select("items").distinct()
-                       .withColumn("size", F.size("items")), "candidates")
-    return cand, sorted(r["size"] for r in cand.select("size").distinct().collect())
+def candidates(local: Levels) -> tuple[DataFrame, int]:
+    """A-7 / U-2: distinct union of the local itemsets -> ``(items, size,
+    id)``, numbered in lexicographic order, and how many there are."""
+    union = local.coded().select("items").distinct().withColumn("size", F.size("items"))
+    return write_counted(with_positions(union, ["items"], "id"), "candidates")
 
 
 def candidate_items(occ: DataFrame, local: Levels, cand: DataFrame) -> DataFrame:
@@ -73,31 +83,25 @@ def candidate_items(occ: DataFrame, local: Levels, cand: DataFrame) -> DataFrame
     return only(occ, items, key="item")
 
 
-def contained_candidates(occ: DataFrame, local: Levels, cand: DataFrame, sizes: list[int],
-                         part_cols=()) -> list[DataFrame]:
-    """JN-5: per size, the candidates contained in each basket,
-    ``(*part, basket, items)``.  The candidate set is downward closed (a
-    union of locally frequent sets), so every candidate's prefix is a
-    candidate and the levelwise extension reaches all of them."""
+def candidate_rows(occ: DataFrame, local: Levels, cand: DataFrame, part_cols=(),
+                   basket: str | None = None) -> DataFrame:
+    """Baskets as rows of their candidate items (see ``basket_rows``)."""
     c1 = cand.where(F.col("size") == 1).select(F.col("items")[0].alias("code"))
     coded = local.dictionary.join(c1, "code", "left_semi")
-    occ1 = write_table(occ.join(coded, "item").select(*part_cols, "basket", "code"), "occ1")
-    out = [first_level(occ1, part_cols)]
-    for k in sizes[1:]:
-        ck = cand.where(F.col("size") == k)
-        left = only(extend(out[-1], occ1, part_cols), ck)
-        out.append(write_table(left, "contained") if k < sizes[-1] else left)
-    return out
+    occ1 = occ.join(coded, "item").select(*part_cols, "basket", "code")
+    return write_table(basket_rows(occ1, part_cols, basket, least=1), "rows")
 
 
-def count_candidates(occ: DataFrame, local: Levels, cand: DataFrame, sizes: list[int],
+def contained_candidates(occ: DataFrame, local: Levels, cand: DataFrame, n: int) -> DataFrame:
+    """JN-5: the candidates contained in each basket, ``(basket, items)``, of
+    all sizes in one pass."""
+    return contained_sets(candidate_rows(occ, local, cand, basket="basket"), cand, n)
+
+
+def count_candidates(occ: DataFrame, local: Levels, cand: DataFrame, n: int,
                      part_cols=()) -> DataFrame:
     """M-2 / JN-5 + A-8: the candidates' counts ``(*part, items, freq)``."""
-    out = None
-    for rows in contained_candidates(occ, local, cand, sizes, part_cols) if sizes else []:
-        counts = rows.groupBy(*part_cols, "items").agg(F.count(F.lit(1)).alias("freq"))
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    return contained_support(candidate_rows(occ, local, cand, part_cols), cand, n, part_cols)
 
 
 def son_levels(data: BasketData, min_support: float, chunks: int, max_len=None,
@@ -105,11 +109,10 @@ def son_levels(data: BasketData, min_support: float, chunks: int, max_len=None,
     """Both passes over ``chunks`` chunks; returns (local Levels, candidate
     table, global counts)."""
     items = write_table(support_filter(item_support(data.occ), min_support, n=data.n), "items")
-    occ = write_table(only(data.occ, items, key="item"), "pruned")
-    ch = chunk_baskets(data, chunks, chunking, order_cols, occ)
+    ch = chunk_baskets(data, chunks, chunking, order_cols, only(data.occ, items, key="item"))
     local = local_levels(ch, min_support, max_len)
-    cand, sizes = candidates(local)
-    return ch, local, cand, count_candidates(occ, local, cand, sizes)
+    cand, n = candidates(local)
+    return ch, local, cand, count_candidates(ch.occ, local, cand, n)
 
 
 def son_itemsets(data: BasketData, min_support: float, chunks: int, max_len=None,
@@ -117,6 +120,4 @@ def son_itemsets(data: BasketData, min_support: float, chunks: int, max_len=None
     """M-3: ``(itemset, size, freq)``, the same result as Apriori."""
     ch, local, cand, totals = son_levels(data, min_support, chunks, max_len,
                                          chunking, order_cols)
-    if totals is None:
-        return local.itemsets().drop("chunk_id").limit(0)
     return decode_itemsets(support_filter(totals, min_support, n=data.n), local.dictionary)
