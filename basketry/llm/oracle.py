@@ -5,13 +5,15 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_url_filter"] = r"""
-WITH p AS (
+WITH u AS (
+  SELECT page_id, regexp_extract(url, '^.*?://(.*)$', 1, 's') AS rest FROM pages),
+p AS (
   SELECT page_id,
-         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0, 's'),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path,
+         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1, 's'), '') AS path,
          row_number() OVER () AS rn
-  FROM pages),
+  FROM u),
 r(verdict, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 m AS (

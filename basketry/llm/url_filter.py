@@ -32,17 +32,22 @@ LABEL, PATH = "\x01", "\x02"  # order below all printable characters
 ALLOW, BLOCK = "allow", "block"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; null without one."""
+    return F.get(F.split(url, "://", 2), 1)
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
     lower-cased; '' without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    host = F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                                   "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ``?``, ``#`` or the end; '' without ``://``."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def _reversed(labels: Column) -> Column:
