@@ -53,18 +53,17 @@ class SecretLimits:
 
 _key_bytes = np.zeros(256, bool)
 _key_bytes[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_encodings: dict[tuple, object] = {}
 
 
 def load_encoding(path: str, pattern: str):
     """The tiktoken encoding of a rank file (kept by the worker)."""
-    if (path, pattern) not in _encodings:
+    def make():
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path, pattern] = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path, pattern]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return tasks.model(("ranks", path, pattern), make)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -100,15 +99,18 @@ def _random(run: str, encoding, limits: SecretLimits) -> bool:
 
 def random_spans(text: str, encoding, limits: SecretLimits, taken) -> list[tuple[int, int, int]]:
     """Spans of kind random outside the sorted spans ``taken``; a run that
-    holds some of them is cut there and its pieces judged as runs."""
-    out = []
+    holds some of them is cut there and its pieces judged as runs.  Runs and
+    spans are walked together, both from left to right."""
+    out, met, k = [], [], 0  # met: spans begun before the end of the run and not past it
     for m in RUN.finditer(text):
-        run = m[0]
-        if len(run) < limits.min_run:
+        if m.end() - m.start() < limits.min_run:
             continue
+        while k < len(taken) and taken[k][0] < m.end():
+            met.append((taken[k][0], taken[k][2]))
+            k += 1
+        met = [(a, b) for a, b in met if m.start() < b]
         at = m.start()
-        inside = [(a, b) for a, _, b in taken if a < m.end() and m.start() < b]
-        for a, b in [*inside, (m.end(), m.end())]:  # what the base spans leave of the run
+        for a, b in [*met, (m.end(), m.end())]:  # what the base spans leave of the run
             if a - at >= limits.min_run and _random(text[at:a], encoding, limits):
                 out.append((at, 3, a))
             at = max(at, b)

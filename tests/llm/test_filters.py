@@ -41,7 +41,8 @@ URLS = [None, "", "nothing", "http://", "http://example.org", "HTTP://A.Example.
         "https://example.org/en/1", "https://x.example.org/en/12#a", "https://example.org/en/2",
         "https://com/fr/", "https://a.b.com/de/x", "https://a.com/fr", "https://org/", "https://borg/",
         "ftp://a.org:80/x", "https://notexample.org/es/", "x://y://example.org/es/", "http://a..org/",
-        "http://e.com?x=/de/", "http://.org/", "http://a.com/de/\nx/", "http://üorg.org/ü"] * 3
+        "http://x.com?u=http://y.org/de/1", "http://example.org#y://b.org/es/q", "a://b?c://org/de/",
+        "://com/de/1", "http://a.com\n://com/de/", "http://e.com?x=/de/", "http://.org/", "http://a.com/de/\nx/", "http://üorg.org/ü"] * 3
 
 
 def test_url_rules(spark, bag):
@@ -125,6 +126,20 @@ def test_secret_redaction(spark):
     assert got[0].text is None and got[3].text == SECRETS[3] and got[3].n_chars == 7
 
 
+def test_secrets_of_a_long_list(spark):
+    """A text of more than one step, with a span in every line: linear work."""
+    import time
+    line = "0123456789abcdef0123456789abcdef0123\n"
+    text = line * 120_000 + "key " + RANDOM
+    assert len(text) > 4 << 20
+    t = time.perf_counter()
+    base = secrets.base_spans(text)
+    added = secrets.random_spans(text, secrets.load_encoding(RANKS, P.PATTERN),
+                                 secrets.SecretLimits(), base)
+    assert time.perf_counter() - t < 30
+    assert len(base) == 120_000 and added == [(len(text) - 20, 3, len(text))]
+
+
 def test_secret_letter_keys(spark):
     """Random letters are found whatever the case and the grouping; words and
     numbers joined the same ways are not."""
