@@ -16,9 +16,10 @@ over an ASCII blank:
 
 Special-token strings hold no blank, so no cut falls inside one.
 
-A piece of ASCII letters and plain marks is two words to both patterns
-(letters; marks), unchanged by normalisation but for the case, so its words
-go straight to the library's BPE model.  All other pieces take the whole
+A piece of Latin letters (U+00FF at most) and plain marks is two words to
+both patterns (letters; marks), unchanged by normalisation but for the case,
+so its words go straight to the library's BPE model, their bytes as the
+characters that byte-level vocabularies use.  All other pieces take the whole
 tokenizer.
 """
 
@@ -32,20 +33,35 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from basketry.llm import tasks
 from basketry.llm.tasks import strings_at
 
 #: Distinct pieces a worker remembers.  More pieces are still encoded, only
 #: not remembered, so results do not depend on it.
 MEMO_PIECES = 300_000
 
-#: Letters, then marks that no contraction or special token begins with.
-PLAIN = {"byte": re.compile(r"( ?[A-Za-z]+)([.,;:!?()-]*)"),
-         "word": re.compile(r"[ \n]?([A-Za-z]+)([.,;:!?()-]*)")}
+#: Latin letters, then marks that no contraction or special token begins with.
+PLAIN = {"byte": re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()-]*)"),
+         "word": re.compile(r"[ \n]?([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()-]*)")}
 #: The pre-tokenizer and normalizer steps for which that holds.
 PLAIN_STEPS = {"byte": (["ByteLevel"], []),
                "word": (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"])}
 
 
+def byte_characters() -> list[str]:
+    """Byte-level vocabularies write a byte as its own Latin-1 character where
+    that is a visible one, else as the next of those from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, next_ = [""] * 256, 256
+    for b in range(256):
+        out[b] = chr(b if b in seen else next_)
+        next_ += b not in seen
+    return out
+
+
+_BYTE_CHARACTERS = byte_characters()
+
+
 def load_tokenizer(path: str):
     """The tokenizers library's reading of ``path``, on one thread, with
     truncation and padding off."""
@@ -57,14 +73,9 @@ def load_tokenizer(path: str):
     return tok
 
 
-_coders: dict[tuple, "PieceCoder"] = {}
-
-
 def coder(path: str, cut: str) -> "PieceCoder":
     """This worker's coder for a vocabulary file (kept between tasks)."""
-    if (path, cut) not in _coders:
-        _coders[path, cut] = PieceCoder(path, cut)
-    return _coders[path, cut]
+    return tasks.model(("pieces", path, cut), lambda: PieceCoder(path, cut))
 
 
 class PieceCoder:
@@ -94,7 +105,8 @@ class PieceCoder:
         """Ids of one word that normalisation leaves as it is."""
         got = self.words.get(word)
         if got is None:
-            got = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            spelt = "".join([_BYTE_CHARACTERS[b] for b in word.encode()])
+            got = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(self.words) < MEMO_PIECES:
                 self.words[word] = got
         return got
@@ -103,7 +115,7 @@ class PieceCoder:
         m = self.plain.fullmatch(piece) if self.plain else None
         if m is None:
             return None
-        first = m[1].lower() if self.cut == "word" else m[1].replace(" ", "\u0120")
+        first = m[1].lower() if self.cut == "word" else m[1]
         return self._word(first) + self._word(m[2]) if m[2] else self._word(first)
 
     def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@ byte views of string columns and hashes of byte windows."""
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import SparkSession
 #: longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
+#: The same for steps that hold several words for every byte (hashes).
+HASH_STEP = 1 << 20
+
 #: Odd base of the polynomial byte hashes (fixed value, any large odd number).
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,13 +60,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def sliced_texts(batch, name: str = "text", limit: int = STEP_BYTES):
-    """``(rows i, j, bytes, offsets)`` of a record batch, balanced by bytes."""
+def sliced_texts(batch, name: str = "text", limit: int = STEP_BYTES, row_bytes: int = 0):
+    """``(rows i, j, bytes, offsets)`` of a record batch, balanced by bytes;
+    a row counts ``row_bytes`` beside its text."""
     data, off = text_bytes(batch.column(batch.schema.get_field_index(name)))
-    for i, j in steps(np.diff(off), limit):
+    for i, j in steps(np.diff(off) + row_bytes, limit):
         yield i, j, data[off[i]:off[j]], off[i:j + 1] - off[i]
 
 
+_model: dict[tuple, object] = {}
+
+
+def model(key: tuple, make):
+    """What a worker keeps between its tasks: one model, the one last asked
+    for.  A worker goes from one operator to the next and would else hold the
+    vocabularies and memos of all of them."""
+    if key not in _model:
+        _model.clear()
+        gc.collect()
+        _model[key] = make()
+    return _model[key]
+
+
 def strings_at(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The texts that begin at ``starts`` (ascending, first 0) and run to the
     next start, without copying."""
@@ -71,23 +90,38 @@ def strings_at(data: np.ndarray, starts: np.ndarray) -> pa.Array:
                                             pa.py_buffer(np.ascontiguousarray(data)))
 
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers of the hash base kept by a worker; greater ones are products of two.
+POWERS = 1 << 16
+
+
+def _first_powers(base: int) -> np.ndarray:
+    out = np.full(POWERS, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP = _first_powers(int(HASH_BASE))
+_DOWN = _first_powers(pow(int(HASH_BASE), -1, 1 << 64))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        base = HASH_BASE if kind == "up" else np.uint64(pow(int(HASH_BASE), -1, 1 << 64))
-        full = np.full(max(n, 2 * len(have)), base, np.uint64)
-        full[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(full)
-    return have[:n]
+def _leaps(table: np.ndarray, n: int) -> np.ndarray:
+    """Powers 0, ``POWERS``, 2 ``POWERS``, ... up to ``n``."""
+    out = np.repeat(table[-1:] * table[1:2], n // POWERS + 1)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """``n + 1`` running sums of ``(byte + 1) * base**i`` modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=out[1:])
+    sums = out[1:]
+    leaps = _leaps(_UP, len(data))
+    for k, i in enumerate(range(0, len(data), POWERS)):
+        part = sums[i:i + POWERS]
+        part[:] = data[i:i + POWERS]
+        part += np.uint64(1)
+        part *= _UP[:len(part)] * leaps[k]
+    np.cumsum(sums, out=sums)
     return out
 
 
@@ -101,5 +135,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def window_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of ``data[start:end]`` for arrays of positions; equal bytes give
     equal hashes wherever they stand."""
-    h = (prefix[end] - prefix[start]) * _power("down", len(prefix))[start]
+    h = prefix[end] - prefix[start]
+    h *= _DOWN[start % POWERS]
+    h *= _leaps(_DOWN, len(prefix))[start // POWERS]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

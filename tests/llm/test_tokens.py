@@ -1,6 +1,7 @@
 """Token counts, token files and chunk-reuse BPE against the library itself."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 from basketry import session
 from basketry.llm import bpe_reuse, token_orc
-from basketry.llm.pieces import PieceCoder, coder
+from basketry.llm.pieces import PieceCoder, coder, load_tokenizer
 from basketry.llm.tasks import steps, text_bytes
 from basketry.llm.token_counts import count_tokens
 
@@ -39,6 +40,19 @@ def test_pieces_equal_library(path, cut, texts):
     assert enc.counts(*text_bytes(pa.array(every))).tolist() == [len(w.ids) for w in want]
 
 
+@pytest.mark.parametrize("path,cut", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_latin_words_equal_library(path, cut):
+    """Words of Latin letters, and of characters that stand near them."""
+    rnd = random.Random(1)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100), 0xAA, 0xB5, 0xBA,
+                                0x301, 0x130, 0x131, 0x17F]]
+    texts = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9)))
+                      + rnd.choice(["", ".", "!?", ",", "\n", " x"]) for _ in range(20)) for _ in range(200)]
+    want = load_tokenizer(P.path(path)).encode_batch(texts, add_special_tokens=False)
+    got = coder(P.path(path), cut).encode_texts(texts)
+    assert [g.tolist() for g in got] == [w.ids for w in want]
+
+
 def test_steps_cover_every_row_once():
     sizes = np.array([0, 5, 0, 100, 1, 1, 1, 0])
     got = list(steps(sizes, 6))
