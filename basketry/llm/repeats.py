@@ -50,6 +50,11 @@ SAMPLE = 20_000
 SAMPLE_PER_TASK = 64
 #: Bytes of text and of entries in one vectorised step.
 STEP_BYTES = 1 << 20
+
+#: Text of one part, and the greatest number of parts (Spark's own limit on
+#: the buckets of a table); parts are larger beyond that.
+PART_BYTES = 8 << 20
+MAX_PARTS = 100_000
 GROUP_BYTES = 1 << 20
 MARK = b"\xff"  # stands in no UTF-8 text
 EMPTY = np.empty(0, np.int64)
@@ -407,7 +412,7 @@ def _fingerprints(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return texts.select("part", "text").mapInArrow(run, "part int, bucket int, blob binary")
 
 
-def _met_elsewhere(prints: DataFrame) -> DataFrame:
+def _met_elsewhere(prints: DataFrame, buckets: int) -> DataFrame:
     """``(part, blob)``: the seed hashes of a part that another row sent too."""
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part").to_pylist()
@@ -421,14 +426,14 @@ def _met_elsewhere(prints: DataFrame) -> DataFrame:
                          "blob": pa.array([pack(np.concatenate(x)) for x in out.values()],
                                           pa.binary())})
 
-    return _dealt(prints.where("bucket >= 0"), "bucket").applyInArrow(
+    return _dealt(prints.where("bucket >= 0"), "bucket", buckets).applyInArrow(
         run, "part int, blob binary")
 
 
-def _dealt(rows: DataFrame, key: str):
-    """Grouped by ``key``, a task for each of the shuffle partitions: packed
+def _dealt(rows: DataFrame, key: str, count: int):
+    """Grouped by ``key``, a task for each of its ``count`` values: packed
     rows are few and small, and say little of the work they hold."""
-    return rows.repartition(session.shuffle_partitions(rows.sparkSession), key).groupBy(key)
+    return rows.repartition(count, key).groupBy(key)
 
 
 def _splitters(prints: DataFrame, count: int) -> list[bytes]:
@@ -497,17 +502,18 @@ def _merged(runs: DataFrame, length: int, cuts: list[bytes], buckets: int) -> Da
         return pa.table({k: pa.array([o[i] for o in out], t) for i, (k, t) in enumerate(
             (("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())))})
 
-    return _dealt(runs.where("reducer >= 0"), "reducer").applyInArrow(
+    return _dealt(runs.where("reducer >= 0"), "reducer", len(cuts) + 1).applyInArrow(
         run, "part int, bucket int, blob binary")
 
 
-def _far_marks(merged: DataFrame) -> DataFrame:
+def _far_marks(merged: DataFrame, buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = list(settle_bucket(table.column("blob").to_pylist()).rows())
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()),
                          "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    return _dealt(merged.where("bucket >= 0"), "bucket").applyInArrow(run, "part int, blob binary")
+    return _dealt(merged.where("bucket >= 0"), "bucket", buckets).applyInArrow(
+        run, "part int, blob binary")
 
 
 def removed_bytes(n: int, counts: np.ndarray, where: np.ndarray, marks: list[np.ndarray],
@@ -539,18 +545,21 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         raise ValueError(f"length must be at least {2 * SEED}")
     spark = docs.sparkSession
     tasks.prepare(spark)
-    parts = session.shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = min(MAX_PARTS, -(-size // PART_BYTES) or 1)
+    buckets, reducers = -(-parts // 4), -(-parts // 2)
     kind = docs.schema[id_col].dataType.simpleString()
     rid = F.monotonically_increasing_id()
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         rid.alias("rid")).withColumn(
         "part", F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int"))
     texts = session.write_bucketed(dealt.repartition(parts, "part"), ["part"], parts, "texts")
-    prints = session.write_table(_fingerprints(texts, length, parts), "prints")
-    cuts = _splitters(prints, parts)
-    runs = session.write_table(_runs(texts, _met_elsewhere(prints), length, cuts), "runs")
-    merged = session.write_table(_merged(runs, length, cuts, parts), "merged")
-    marks = merged.where("bucket < 0").select("part", "blob").unionByName(_far_marks(merged))
+    prints = session.write_table(_fingerprints(texts, length, buckets), "prints")
+    cuts = _splitters(prints, reducers)
+    runs = session.write_table(_runs(texts, _met_elsewhere(prints, buckets), length, cuts), "runs")
+    merged = session.write_table(_merged(runs, length, cuts, buckets), "merged")
+    marks = merged.where("bucket < 0").select("part", "blob").unionByName(
+        _far_marks(merged, buckets))
     places = runs.where("reducer < 0").select("part", "blob")
     side = marks.select("part", F.lit(1).alias("mark"), "blob").unionByName(
         places.select("part", F.lit(0).alias("mark"), "blob"))
