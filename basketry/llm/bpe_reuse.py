@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import tasks
-from basketry.llm.pieces import PieceCoder, coder
+from basketry.llm.pieces import PieceCoder
 
 #: Rolling-hash window in bytes, and mean chunk length (a power of two).
 ROLL = 32
@@ -204,14 +204,9 @@ def agrees(window: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
             and np.array_equal(window[n - len(last):], last))
 
 
-_coders: dict[str, ReuseCoder] = {}
-
-
 def reuse_coder(path: str) -> ReuseCoder:
     """This worker's chunk coder for a vocabulary file."""
-    if path not in _coders:
-        _coders[path] = ReuseCoder(coder(path, "word"))
-    return _coders[path]
+    return tasks.model(("reuse", path), lambda: ReuseCoder(PieceCoder(path, "word")))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
@@ -227,7 +222,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches):
         enc = reuse_coder(tokenizer_path)
         for b in batches:
-            for i, j, data, off in tasks.sliced_texts(b):
+            for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP):
                 ids = enc.encode(data, off)
                 n = np.array([len(x) for x in ids], np.int64)
                 at = np.concatenate([[0], np.cumsum(n)])
@@ -268,7 +263,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches):
         enc = reuse_coder(tokenizer_path)
         for b in batches:
-            for i, j, data, off in tasks.sliced_texts(b):
+            for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP):
                 ids = enc.encode(data, off)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i),

@@ -242,7 +242,7 @@ def _steps(batches, block: Block):
     """Per step: batch, rows, words, row offsets, and the block's seeds in it
     with their rows and word places in the row."""
     for b in batches:
-        for i, j, data, off in tasks.sliced_texts(b):
+        for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP):
             words, row = plain_words(data, off)
             gram, owner, place = [], [], []
 

@@ -15,7 +15,8 @@ densification, banded buckets and star-shaped candidate edges.
    components.  Used hubs leave their bucket, and a bucket closes when its
    members are connected.  The first round's single hub connects most groups;
    later rounds take more hubs, so no pair of unconnected members of a bucket
-   is left uncompared.  A large bucket is dealt over tasks, its hubs copied.
+   is left uncompared, and none is compared in two buckets or rounds.  A
+   large bucket is dealt over tasks, its hubs copied.
 
 At the production settings a pair at the least similarity shares no bucket
 with probability (1 - 0.8**3)**24 = 3e-8, and fails the comparison of sketches
@@ -52,7 +53,7 @@ class NearDupParams:
 #: Members of a bucket that one task compares; hubs of the first round, and
 #: how many times more each next round takes.
 DEAL = 2048
-HUBS, MORE = 1, 16
+HUBS, MORE = 1, 64
 
 
 _donors: dict[int, np.ndarray] = {}
@@ -127,7 +128,7 @@ def _signed(rows: DataFrame, p: NearDupParams) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, j, data, off in tasks.sliced_texts(b):
+            for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP, row_bytes=p.bins):
                 sets, at = distinct_sets(data, off, p.shingle)
                 full = sketches(sets, at, p.bins)
                 keys = band_hashes(full, p.bands, p.rows)
@@ -150,7 +151,7 @@ def _full_sets(rows: DataFrame, p: NearDupParams) -> DataFrame:
     hashes in ascending order."""
     def run(batches):
         for b in batches:
-            for i, j, data, off in tasks.sliced_texts(b):
+            for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP):
                 sets, at = distinct_sets(data, off, p.shingle)
                 raw = sets.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -187,8 +188,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``(bucket, n, node, weight)`` of distinct buckets with ``n`` >= 2
-    members; weight counts the members a node meets in its buckets."""
+    """``(bucket, n, node, rank)`` of distinct buckets with ``n`` >= 2 members;
+    first rank those that meet most members in all their buckets."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     sign = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -196,8 +197,9 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     one = sign.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = session.write_table(rows.join(one, "bucket"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    return session.write_table(members.join(weight, "node").select("bucket", "n", "node", "weight"),
-                               "buckets")
+    by = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+    return session.write_table(members.join(weight, "node").select(
+        "bucket", "n", "node", F.row_number().over(by).alias("rank")), "buckets")
 
 
 def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame | None:
@@ -211,23 +213,22 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
                       F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("tkey") == F.col("_t")))
     sets = session.write_table(_full_sets(texts.select("node", "text"), p)
                                .dropDuplicates(["node"]), "sets")
-    light = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
+    places = members.groupBy("node").agg(  # at most one per band
+        F.sort_array(F.collect_list(F.struct("bucket", "rank"))).alias("_p")).select(
+        "node", F.col("_p.bucket").alias("buckets"), F.col("_p.rank").alias("ranks"))
+    light = session.write_table(places.join(nodes, "node").select(
+        "node", F.col("n_shingles").alias("size"), "sketch", "buckets", "ranks"), "light")
     open_rows = members.withColumn("label", F.col("node"))
     links, labels, hubs = None, None, HUBS
     while True:
-        by = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-        top = session.write_table(
-            open_rows.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= hubs)
-            .drop("_k"), "hubs")
-        new, found = session.write_counted(_confirmed(
-            _agreeing(open_rows, top, light, p), sets, p.percent), "links")
+        pairs = session.write_table(_agreeing(open_rows, hubs, light, p), "pairs")
+        new, found = session.write_counted(_confirmed(pairs, sets, p.percent), "links")
         links = new if links is None else links.unionByName(new)
         if found or labels is None:
             labels = components(links)
-        left = (open_rows.drop("label").join(top.select("bucket", "node"), ["bucket", "node"],
-                                             "left_anti").join(labels, "node", "left")
-                .select("bucket", "n", "node", "weight",
-                        F.coalesce("label", "node").alias("label")))
+        # used hubs leave their bucket; a bucket closes when one label is left
+        left = (open_rows.where(F.col("rank") > hubs).drop("label").join(labels, "node", "left")
+                .select("bucket", "n", "node", "rank", F.coalesce("label", "node").alias("label")))
         many = left.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(
             "l0 <> l1").select("bucket")
         open_rows, n_open = session.write_counted(left.join(many, "bucket", "left_semi"), "open")
@@ -236,55 +237,74 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
         hubs *= MORE
 
 
-def _agreeing(members: DataFrame, hubs: DataFrame, light: DataFrame, p: NearDupParams) -> DataFrame:
-    """Candidate edges ``(a, b)``: members of a bucket and hubs of it with
-    another label whose sizes and sketches allow the similarity."""
+def _agreeing(members: DataFrame, hubs: int, light: DataFrame, p: NearDupParams) -> DataFrame:
+    """Candidate edges ``(a, b)``: members of a bucket and its hubs (ranks up
+    to ``hubs``) with another label whose sizes and sketches allow the
+    similarity.
+
+    Two nodes that share several buckets are compared in one of them only:
+    where one of them has the least rank of all, so becomes a hub first.
+    """
     deals = F.ceil(F.col("n") / F.lit(DEAL)).cast("int")
     one = members.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int"))
-    all_ = hubs.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    all_ = members.where(F.col("rank") <= hubs).withColumn(
+        "deal", F.explode(F.sequence(F.lit(0), deals - 1)))
     rows = one.withColumn("member", F.lit(1)).unionByName(all_.withColumn("member", F.lit(0)))
     rows = rows.select("bucket", "deal", "member", "node", "label").join(light, "node")
     # a bucket's deal comes as one run of rows, hubs first
     rows = rows.repartition("bucket", "deal").sortWithinPartitions("bucket", "deal", "member").select(
-        "bucket", "deal", "member", "node", "label", "size", "sketch")
+        "bucket", "deal", "member", "node", "label", "size", "sketch", "buckets", "ranks")
     least = int(np.ceil(p.agree * p.bins))
 
     def run(batches):
         key, hub = None, None
         for b in batches:
             where = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            member, node, label, sketch = (b.column(k).to_pylist() for k in (2, 3, 4, 6))
+            member, node, label, sketch, buckets, ranks = (
+                b.column(k).to_pylist() for k in (2, 3, 4, 6, 7, 8))
             size = b.column(5).to_numpy()
             a, c = [], []
             for i, at in enumerate(where):
                 if at != key:
                     key, hub = at, Hubs()
+                rank = dict(zip(buckets[i], ranks[i], strict=True))
                 if not member[i]:
-                    hub.add(node[i], label[i], int(size[i]), sketch[i])
+                    hub.add(node[i], label[i], int(size[i]), sketch[i], rank)
                     continue
-                for other in hub.agreeing(label[i], int(size[i]), sketch[i], p.percent, least):
-                    a.append(min(node[i], other))
-                    c.append(max(node[i], other))
+                for k in hub.agreeing(label[i], int(size[i]), sketch[i], p.percent, least):
+                    if rank[at[0]] <= hubs and node[i] > hub.node[k]:
+                        continue  # two hubs meet twice, as member and as hub
+                    if responsible(rank, hub.rank[k]) == at[0]:
+                        a.append(min(node[i], hub.node[k]))
+                        c.append(max(node[i], hub.node[k]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())],
                                              ["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def responsible(one: dict[int, int], other: dict[int, int]) -> int:
+    """The bucket that compares two nodes, of those that hold both (bucket ->
+    rank): that of the least rank of either, the least bucket of equal ones."""
+    return min((min(r, other[b]), b) for b, r in one.items() if b in other)[1]
+
+
 class Hubs:
     """The hubs of a bucket, to compare members with all at once."""
 
     def __init__(self):
-        self.node, self.label, self.size, self.sketch, self.table = [], [], [], [], None
+        self.node, self.label, self.size, self.sketch, self.rank = [], [], [], [], []
+        self.table = None
 
-    def add(self, node: bytes, label: bytes, size: int, sketch: bytes) -> None:
+    def add(self, node: bytes, label: bytes, size: int, sketch: bytes, rank: dict) -> None:
         self.node.append(node)
+        self.rank.append(rank)
         self.label.append(label)
         self.size.append(size)
         self.sketch.append(sketch)
 
     def agreeing(self, label: bytes, size: int, sketch: bytes, percent: int, least: int):
-        """Hubs of another label that may be similar."""
+        """Places of the hubs of another label that may be similar."""
         if self.table is None:
             self.table = (np.frombuffer(b"".join(self.label), np.uint64).reshape(-1, 2),
                           np.array(self.size),
@@ -294,7 +314,7 @@ class Hubs:
         may &= 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
         at = np.flatnonzero(may)
         same = (sketches_[at] == np.frombuffer(sketch, np.uint8)).sum(1)
-        return [self.node[k] for k in at[same >= least]]
+        return at[same >= least].tolist()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
