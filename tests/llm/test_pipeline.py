@@ -1,17 +1,19 @@
 """The registered queries and the pipeline on the test tables."""
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from basketry.llm import oracle, queries
+from basketry.llm import bpe_reuse, oracle, queries
 from conftest_tables import tables
 from test_copies import brute_components, brute_repeats
 from test_filters import base_spans, measures
 from test_models import base_scores
+from test_transforms import plain_base, plain_whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +27,7 @@ def rows(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] == list(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in names and set(oracle.ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
@@ -72,6 +74,56 @@ def test_leak_query_finds_copies(spark, rows):
     assert whole <= found
 
 
+def test_whitening_query(spark):
+    table = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select(
+        "vec_id", "embedding").collect()]
+    kept, fit, values, vectors, trace = plain_whitening(table)
+    got = {(r.vec_id, r.component): r for r in queries.op11_whitening(spark, SF).collect()}
+    assert len(got) == 4 * len(kept)
+    sums = [sum(c) for c in zip(*fit, strict=True)]
+    centre = np.array(sums) / len(fit)
+    want = (np.array([x for _, x in kept]) - centre) @ vectors / np.sqrt(values)
+    have = np.array([[got[i, c].whitened for c in (1, 2, 3, 4)] for i, _ in kept])
+    np.testing.assert_allclose(have, want * np.sign((have * want).sum(0)), atol=1e-9)
+    for i, x in kept:
+        r = got[i, 1]
+        assert (r.n, r.deviation) == (len(fit), sum((len(fit) * v - s) ** 2
+                                                    for v, s in zip(x, sums, strict=True)))
+        assert r.explained == pytest.approx(values[0] / trace) and r.identity_error < 1e-9
+
+
+def test_license_query(spark, rows):
+    got = {r.doc_id: r for r in queries.op12_license_scan(spark, SF).collect()}
+    for d, text in rows:
+        n, at = plain_base(text)
+        starts = [a for a, _ in at]
+        r = got[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (
+            n, len(at), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at}))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
+        assert ("cc" in r.labels) == ("licensed under cc by-nc" in (text or "").lower())
+
+
+def test_stages_of_odd_tables(spark, docs, empty):
+    """No rows, and null ids, empty and repeated texts."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for table in (empty, docs):
+        now = table.select(columns)
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.session.write_table(stage(spark, now, SF), name)
+            if name != "bpe":
+                assert out.columns == columns
+                assert out.join(now, "doc_id", "left_anti").where("doc_id is not null").count() == 0
+                assert table is docs or out.count() == 0
+            else:
+                assert out.count() == now.count()
+            now = out
+    decoded = bpe_reuse.decode(bpe_reuse.encode(empty, P.path("word_bpe_49k.json")),
+                               P.path("word_bpe_49k.json"))
+    assert decoded.collect() == []
+
+
 def test_pipeline_stages(spark, rows):
     """Each stage's output against its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
