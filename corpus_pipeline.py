@@ -3,7 +3,9 @@
 Each stage takes what the one before kept, as Parquet in the shared
 checkpoint folder: quality rules drop documents and boilerplate lines, one
 document of each near-duplicate group stays, documents that leak a benchmark
-item go, secrets are masked, and the rest is encoded.
+item go, secrets are masked, and the rest is encoded.  How a stage takes
+nulls, empty and long texts, repeated rows, empty tables and other columns is
+said by the operator that it calls.
 """
 
 from __future__ import annotations
