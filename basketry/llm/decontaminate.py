@@ -321,7 +321,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
     Null and empty texts and items without a word leak nothing; an item of
     fewer words than an n-gram is its own n-gram; repeated rows each report;
-    null ids are kept; with an empty table on either side the result is empty.
+    null ids are kept; a text of any length is searched whole; with an empty
+    table on either side the result is empty.
     """
     spark = docs.sparkSession
     tasks.prepare(spark)
@@ -360,11 +361,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = Le
                   text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows in which an item leaks.  Rows
-    stay in their partitions."""
-    spark = docs.sparkSession
+    stay in their partitions.
+
+    Null and empty texts stay; null ids and repeated rows are judged each; an
+    empty table on either side leaves ``docs`` as it is; a text of any length
+    is searched whole; columns of any name are carried along.  Seeds are
+    counted over all of ``docs`` for every block, so no count waits for the
+    alignments of the blocks before it; all blocks are tested in one pass.
+    """
+    spark, every = docs.sparkSession, docs
     tasks.prepare(spark)
     for block in blocks(benchmark, params.ngram, item_col, item_text_col):
-        _choose_seeds(docs, block, params, text_col)
+        _choose_seeds(every, block, params, text_col)
         shared = spark.sparkContext.broadcast(block)
         packed = docs.select(F.col(text_col).alias("text"),
                              F.struct(*[F.col(c) for c in docs.columns]).alias("row"))

@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(),
     empty included) has no shingle, is linked with nothing and kept.  A text
     of fewer words than a shingle has its whole sequence as one.  Repeated
     rows are one set.  A null id is kept only where its component has no
-    other.  An empty table gives an empty result.
+    other.  A text of any length is one set, taken whole.  An empty table gives
+    an empty result; other columns are ignored.
     """
     return _labelled(docs, params, id_col, text_col).drop("label")
 
@@ -370,7 +371,10 @@ def _labelled(docs: DataFrame, params: NearDupParams, id_col: str, text_col: str
 def keep_one(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, all columns: that of the
-    least doc_id (of repeated rows, any one).  Rows without words stay."""
+    least doc_id (of repeated rows, any one).  Rows without words (null and
+    empty texts included) all stay.  Null ids and ids of several texts are
+    told apart by their texts; an empty table stays empty; a text of any
+    length is one set; columns of any name are carried along."""
     found = _labelled(docs, params, id_col, text_col).where("kept and node is not null")
     # The kept rows of a component have one id; where it holds several of the
     # component's texts, one text stays.

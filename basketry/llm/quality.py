@@ -156,7 +156,12 @@ def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), id_col: str
 def clean(docs: DataFrame, limits: QualityLimits = QualityLimits(), text_col: str = "text",
           host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The kept documents, all columns, boilerplate lines removed from the
-    text (and ``chars_col`` recomputed where a line went)."""
+    text (and ``chars_col`` recomputed where a line went).
+
+    Null and empty texts have no words and go; a null host is the host '';
+    null ids and repeated rows are judged each; an empty table stays empty; a
+    text of any length is judged whole; columns of any name are carried along.
+    """
     rows = measured(docs, limits, text_col, host_col).where(
         F.col("q.kept") & (F.col("at") >= 0))  # reading the number keeps it in the plan
     gone = F.col("q.removed_words") > 0

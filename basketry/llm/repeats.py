@@ -537,8 +537,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
     Texts are UTF-8 bytes; matches stay within a row.  A null or empty text
     has no bytes; texts shorter than ``length`` lose nothing; of repeated
-    rows every copy loses what the others hold; null ids are kept; an empty
-    table gives an empty result; other columns are ignored.  ``length`` is at
+    rows every copy loses what the others hold; null ids are kept; a text of
+    any length is taken whole, in a part with others; an empty table gives an
+    empty result; other columns are ignored.  ``length`` is at
     least twice the seed of 64 bytes.
     """
     if length < 2 * SEED:

@@ -163,7 +163,8 @@ def scan(docs: DataFrame, rank_path: str, pattern: str, limits: SecretLimits = S
 
     A null or empty text has no span (``spans`` is '' and ``base_sha256`` the
     digest of ''); repeated rows and null ids are kept; an empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored.  A text of any length is
+    scanned whole, in time linear in its runs and spans.
     """
     tasks.prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -190,7 +191,12 @@ def redact(docs: DataFrame, rank_path: str, pattern: str, limits: SecretLimits =
            text_col: str = "text", chars_col: str | None = "n_chars",
            mask: str = "<secret>") -> DataFrame:
     """All documents and columns, every span (overlapping ones as one)
-    replaced by ``mask`` and ``chars_col`` recomputed where one was."""
+    replaced by ``mask`` and ``chars_col`` recomputed where one was.
+
+    Null and empty texts, and texts without a span, stay as they are; null ids
+    and repeated rows are kept; an empty table stays empty; a text of any
+    length is scanned whole; columns of any name are carried along.
+    """
     tasks.prepare(docs.sparkSession)
     cols = docs.columns
 

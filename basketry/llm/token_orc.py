@@ -74,7 +74,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` from the files.  With ``doc_ids``
     the filter reaches the ORC reader, which skips stripes and row groups by
-    their statistics and Bloom filters."""
+    their statistics and Bloom filters; ids that no row has give none, null
+    ids are not looked up.  Null and repeated ids, and rows without tokens,
+    come back as written; an empty dataset gives an empty result."""
     rows = spark.read.orc(path)
     # One row per written partition: bounded by the file count, not the rows.
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -88,7 +90,8 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None) ->
 
 def token_digests(tokens: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of ``read_tokens`` rows; the
-    checksum is over the ids as little-endian unsigned 32-bit integers."""
+    checksum is over the ids as little-endian unsigned 32-bit integers (0 for
+    a row without ids).  One row per input row; an empty table stays empty."""
     tasks.prepare(tokens.sparkSession)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 

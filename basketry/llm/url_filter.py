@@ -180,7 +180,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = ALLOW, id_col:
 
     A null url, or one without ``://``, has empty host and path.  Where no
     rule fits, ``rule`` is null and ``verdict`` is ``default``.  Repeated
-    rows and null ids are kept; other columns are ignored.
+    rows and null ids are kept; urls of any length are taken whole; an empty
+    table of pages gives an empty result, one of rules fits nothing; other
+    columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
                         path_of(F.col(url_col)).alias("path"))
