@@ -15,37 +15,37 @@ from basketry.llm.decontaminate import LeakParams, align
 from basketry.llm.suffix_lm import LmParams
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
-SMALL = LmParams(min_share=1e-3, min_divergence=2.0)
+SMALL = LmParams(least=8, min_divergence=2.0)
 
 
 def words_of(text):
     return [w for w in BLANK.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
 
 
-def held(doc_id):
+def held_out(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
 def base_scores(rows):
     train = Counter()
     for d, t in rows:
-        if not held(d):
+        if not held_out(d):
             train.update(words_of(t))
             train[None] += 1
     n, v = sum(train.values()), len(train)
     out = []
     for d, t in rows:
         tokens = [*words_of(t), None]
-        out.append((d, held(d), len(tokens), sum(train[w] > 0 for w in tokens), n,
+        out.append((d, held_out(d), len(tokens), sum(train[w] > 0 for w in tokens), n,
                     sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens)))
     return out
 
 
-@pytest.mark.parametrize("share", [1e-9, 2e-3, 1.1])
-def test_base_score(docs, empty, share):
-    """Whatever share of the words is broadcast."""
+@pytest.mark.parametrize("held_words", [0, 30, 100_000])
+def test_base_score(docs, empty, held_words):
+    """Whatever number of words the tasks hold."""
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = suffix_lm.score(docs, LmParams(min_share=1e-3, frequent_share=share)).collect()
+    got = suffix_lm.score(docs, LmParams(least=8, held_words=held_words)).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[2])
     for g, w in zip(sorted(got, key=key), sorted(base_scores(rows), key=key), strict=True):
         assert tuple(g)[:5] == w[:5]
@@ -60,94 +60,87 @@ def test_lm_without_rows(empty, docs):
 
 
 def plain_scores(texts, train, p):
-    """The model in dicts: words as symbols, contexts, tests and smoothing."""
-    count = Counter(w for t in train for w in words_of(t))
-    n = sum(count.values()) + len(train)
-    least, top = max(2.0, p.frequent_share * n), p.top_share * n
-    name = lambda w: ("top", w) if count[w] >= max(top, least) else (
-        "other" if count[w] >= least else "rare")
-    stream = lambda t: ["end"] * p.depth + [name(w) for w in words_of(t)] + ["end"]
-    pairs = Counter()
+    """The model in dicts: contexts, tests and smoothing."""
+    grams, total = {}, Counter()
     for t in train:
-        s = stream(t)
-        for i in range(p.depth, len(s)):
-            for d in range(p.depth + 1):
-                pairs[tuple(s[i - d:i]), s[i]] += 1
-    total, nxt = Counter(), {}
-    for (c, x), k in pairs.items():
-        total[c] += k
-        nxt.setdefault(c, {})[x] = k
-    width = 3 + sum(isinstance(name(w), tuple) for w in count)
-    enough = {c for c in total if c == () or (total[c] >= p.min_share * n and "end" not in c[1:])}
+        s = [*words_of(t), None]
+        for i in range(len(s)):
+            for d in range(min(i, p.depth) + 1):
+                grams.setdefault(tuple(s[i - d:i]), Counter())[s[i]] += 1
+    for c, nxt in grams.items():
+        total[c] = sum(nxt.values())
+    n, v = total[()], len(grams.get((), ()))
+    least = max(p.least, p.next_least, p.root_share * n ** 0.5)
     prob, keep = {}, {()}
 
-    def at(c, x):
-        return prob[c](x)
-
     def smooth(c):
-        w = p.smoothing if c else width
-        return lambda x: (nxt[c].get(x, 0) + w * (at(c[1:], x) if c else 1 / width)) / (total[c] + w)
-
-    for c in sorted(enough, key=len):
-        if all(c[i:] in enough for i in range(len(c))):
-            prob[c] = smooth(c)
-            gain = sum(k * math.log(k / total[c] / at(c[1:], x)) for x, k in nxt[c].items()) if c else 0
-            if c and gain >= p.min_divergence + len(nxt[c]):
-                keep |= {c[i:] for i in range(len(c) + 1)}
-    rare = [k for k in count.values() if k < least]
-    other = sum(k for w, k in count.items() if name(w) == "other")
+        if not c:
+            return lambda x: (grams.get((), {}).get(x, 0) + 1) / (n + v + 1)
+        own = {x: k for x, k in grams[c].items() if k >= p.next_least}
+        scale = total[c] + p.smoothing
+        free = (scale - sum(own.values())) / scale
+        return lambda x: own.get(x, 0) / scale + free * prob[c[1:]](x)
+
+    for c in sorted([()] + [c for c in total if c and total[c] >= least], key=len):
+        prob[c] = smooth(c)
+        own = {x: k for x, k in grams[c].items() if k >= p.next_least} if c else {}
+        gain = sum(k * math.log(k / total[c] / prob[c[1:]](x)) for x, k in own.items())
+        if own and gain >= p.min_divergence + len(own):
+            keep |= {c[i:] for i in range(len(c) + 1)}
     out = []
     for t in texts:
-        s, words = stream(t), [*words_of(t), None]
-        got = 0.0
-        for i in range(p.depth, len(s)):
-            c = next(tuple(s[i - d:i]) for d in range(p.depth, -1, -1) if tuple(s[i - d:i]) in keep)
-            got += math.log10(prob[c](s[i]))
-            if s[i] == "other":
-                got += math.log10(count[words[i - p.depth]] / other)
-            if s[i] == "rare":
-                got += math.log10((count[words[i - p.depth]] + 1) / (sum(rare) + len(rare) + 1))
-        out.append(got)
-    return out, len(keep)
-
-
-@pytest.mark.parametrize("depth,share", [(1, 2e-3), (2, 2e-3), (3, 1e-3)])
-def test_scores_equal_plain_model(spark, texts, depth, share):
-    p = LmParams(depth=depth, min_share=share, min_next_share=0.0, top_share=2e-3, frequent_share=1e-3,
-                 min_divergence=1.0)
-    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "a b c a b d") for i in range(30)]
+        s = [*words_of(t), None]
+        states = [next(c for d in range(min(i, p.depth), -1, -1)
+                       if (c := tuple(s[i - d:i])) in keep) for i in range(len(s))]
+        out.append(sum(math.log10(prob[c](x)) for c, x in zip(states, s, strict=True)))
+    return out, keep, prob, {x for c in grams.values() for x in c}
+
+
+def lm_rows(texts):
+    return [(i, t) for i, t in enumerate(texts)] + [(100 + i, "a b c d a b e d x b c") for i in range(60)]
+
+
+@pytest.mark.parametrize("depth,held", [(1, 1000), (3, 1000), (4, 0), (4, 40)])
+def test_scores_equal_plain_model(spark, texts, depth, held):
+    """At every depth, whether weights are held by the tasks or joined."""
+    p = LmParams(depth=depth, least=6, root_share=0.05, next_least=2, min_divergence=1.0,
+                 held_words=held, held_weights=held)
+    rows = lm_rows(texts)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    want, kept = plain_scores([t for _, t in rows], [t for d, t in rows if not held(d)], p)
+    want, keep, _, _ = plain_scores([t for _, t in rows], [t for d, t in rows if not held_out(d)], p)
     got = {r.doc_id: r.score for r in suffix_lm.score(docs, p).collect()}
-    assert kept > 5
+    assert max(map(len, keep)) == depth and len(keep) > 5
     assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-9)
 
 
-def test_distributions_sum_to_one(spark, texts):
-    """Next symbols without an entry share what is left, in every state."""
-    table = spark.createDataFrame([(t,) for t in texts + ["a b c a b d"] * 9], "text string")
-    p = LmParams(min_share=1e-3, min_next_share=3e-3, top_share=2e-3, min_divergence=1.0)
-    tree = suffix_lm.train(table, p)[0].tree
-    width = round(10 ** -tree.even)
-    for state in range(len(tree.parent)):
-        chain, s = [], state
-        while True:
-            chain.append(s)
-            if not s:
-                break
-            s = int(tree.parent[s])
-        total = 0.0
-        for sym in range(width):
-            weight = 0.0
-            for s in chain:
-                at, hit = suffix_lm._find(tree.next_keys, np.array([s << suffix_lm.BITS | sym]))
-                if hit[0]:
-                    total += 10 ** (weight + tree.next[at[0]])
-                    break
-                weight += tree.back[s]
-            else:
-                total += 10 ** (weight + tree.even)
-        assert total == pytest.approx(1.0)
+def test_distributions_sum_to_one(texts):
+    """Next symbols below the least count share what is left, in every state."""
+    train = [t for _, t in lm_rows(texts)]
+    p = LmParams(least=6, root_share=0.05, next_least=3, min_divergence=1.0)
+    _, keep, prob, symbols = plain_scores([], train, p)
+    for c in keep:
+        assert sum(map(prob[c], symbols | {"never seen"})) == pytest.approx(1.0)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """Twice the passages, twice the states and more, whatever their share."""
+    p = LmParams(least=8, root_share=0.0, next_least=4, min_divergence=1.0)
+
+    def states(groups):
+        rows = [(f"w{g}a w{g}b w{g}c w{g}d",) for g in range(groups) for _ in range(12)]
+        table = spark.createDataFrame(rows, "text string")
+        counts, n, v = suffix_lm.words(table)
+        return suffix_lm.weights(table, counts, n, v, p).count()
+
+    small = states(40)
+    assert small >= 40 * 9 and states(80) >= 2 * small
+
+
+def test_bitmap_has_every_key(spark):
+    keys = [0, 1, -1, 2 ** 63 - 1, -2 ** 63, 32767, 32768, 1 << 26]
+    bits = suffix_lm.bitmap(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    assert suffix_lm.maybe_in(bits, np.array(keys, np.int64).view(np.uint64)).all()
+    assert not suffix_lm.maybe_in(bits, np.array([5, 70000], np.uint64)).any()
 
 
 def test_held_out_text_is_scored_better_than_by_words(spark):
