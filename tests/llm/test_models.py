@@ -113,6 +113,43 @@ def test_scores_equal_plain_model(spark, texts, depth, held):
     assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("contexts,words", [(0, 1000), (40, 12), (1000, 1000)])
+def test_counting_does_not_depend_on_what_is_held(spark, texts, contexts, words):
+    """Pairs that travel as hashes, as both and as places."""
+    p = LmParams(depth=3, least=6, root_share=0.05, next_least=2, min_divergence=1.0,
+                 held_words=words, held_contexts=contexts, held_weights=0)
+    rows = lm_rows(texts)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, *_ = plain_scores([t for _, t in rows], [t for d, t in rows if not held_out(d)], p)
+    got = {r.doc_id: r.score for r in suffix_lm.score(docs, p).collect()}
+    assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
+def test_tally_handed_on_early(monkeypatch):
+    monkeypatch.setattr(suffix_lm, "HELD_KEYS", 50)
+    rng = np.random.default_rng(3)
+    steps = [rng.integers(0, 120, 40).astype(np.uint64) for _ in range(30)]
+    tally, got, parts = suffix_lm.Tally(), Counter(), 0
+    for b in [*(b for s in steps for b in tally.add(s)), *tally.rest()]:
+        parts += 1
+        assert b.column(0).to_pylist() == sorted(b.column(0).to_pylist())
+        for value, _, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[value] += n
+    assert parts > 1 and got == Counter(int(x) for s in steps for x in s)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_held_keys_are_found(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.append(rng.integers(0, 1 << 63, n).astype(np.uint64),
+                               np.arange(min(n, 4), dtype=np.uint64)))  # some share their range
+    held = suffix_lm.Held(keys, np.arange(len(keys), dtype=float))
+    wanted = np.concatenate([keys, rng.integers(0, 1 << 63, 500).astype(np.uint64),
+                             np.array([0, 9, 2 ** 64 - 1], np.uint64)])
+    place = {int(k): i for i, k in enumerate(keys)}
+    assert held.index(wanted).tolist() == [place.get(int(w), -1) for w in wanted]
+
+
 def test_distributions_sum_to_one(texts):
     """Next symbols below the least count share what is left, in every state."""
     train = [t for _, t in lm_rows(texts)]
