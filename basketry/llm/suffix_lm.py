@@ -58,17 +58,18 @@ _GRAM = "key bigint, ctx bigint, sym bigint, n bigint"
 @dataclass(frozen=True)
 class LmParams:
     """Fold rule: ids with ``crc32(id as text) mod folds = held_fold`` are
-    held out.  A context is a candidate from ``max(least, root_share *
-    sqrt(training tokens))`` occurrences, so candidates grow at least with the
-    root of the corpus.  ``min_divergence`` is in nats over all occurrences of
-    a context, beyond one nat per next symbol; ``smoothing`` is the weight of
-    the suffix's distribution.  ``held_words``, ``held_contexts`` and
-    ``held_weights`` bound what a task holds and do not change results."""
+    held out.  A context is a candidate from ``least`` occurrences, whatever
+    the size of the corpus; a caller who wants a smaller tree may ask for
+    ``root_share * sqrt(training tokens)`` as well.  ``min_divergence`` is in
+    nats over all occurrences of a context, beyond one nat per next symbol;
+    ``smoothing`` is the weight of the suffix's distribution.  ``held_words``,
+    ``held_contexts`` and ``held_weights`` bound what a task holds and do not
+    change results."""
     folds: int = 7
     held_fold: int = 2
     depth: int = 3
     least: int = 64
-    root_share: float = 1 / 16
+    root_share: float = 0.0
     next_least: int = 4
     min_divergence: float = 10.0
     smoothing: float = 8.0

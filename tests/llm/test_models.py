@@ -173,6 +173,20 @@ def test_tree_grows_with_the_corpus(spark):
     assert small >= 40 * 9 and states(80) >= 2 * small
 
 
+def test_contexts_do_not_depend_on_the_size_of_the_corpus(spark):
+    """A context that occurs often enough stays one, however many texts of
+    other words come beside it (3 million tokens here)."""
+    passage = spark.range(80).selectExpr("'a b c d e f' as text")
+    filler = spark.range(1_500_000).selectExpr("concat('x', id % 100) as text")
+
+    def keys(table):
+        counts, n, v = suffix_lm.words(table)
+        return {r.key for r in suffix_lm.weights(table, counts, n, v, LmParams()).collect()}
+
+    small = keys(passage)
+    assert len(small) >= 12 and small <= keys(passage.union(filler))
+
+
 def test_bitmap_has_every_key(spark):
     keys = [0, 1, -1, 2 ** 63 - 1, -2 ** 63, 32767, 32768, 1 << 26]
     bits = suffix_lm.bitmap(spark.createDataFrame([(k,) for k in keys], "key bigint"))
