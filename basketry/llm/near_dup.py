@@ -13,10 +13,13 @@ densification, banded buckets and star-shaped candidate edges.
    connected to it: a star.  Only pairs whose sketches agree in enough bins
    are candidate edges; they are confirmed on full sets and links joined into
    components.  Used hubs leave their bucket, and a bucket closes when its
-   members are connected.  The first round's single hub connects most groups;
-   later rounds take more hubs, so no pair of unconnected members of a bucket
-   is left uncompared, and none is compared in two buckets or rounds.  A
-   large bucket is dealt over tasks, its hubs copied.
+   members are connected.  The first round's single hub connects most groups
+   and makes at most one candidate a member.  Later rounds take more hubs, so
+   no pair of unconnected members of a bucket is left uncompared, and none is
+   compared in two buckets or rounds.  There a candidate is never a row: the
+   sketches only say which members have one, those meet again with their full
+   sets, and what comes out are links between members that the task has not
+   connected yet.  A large bucket is dealt over tasks by members and by hubs.
 
 At the production settings a pair at the least similarity shares no bucket
 with probability (1 - 0.8**3)**24 = 3e-8, and fails the comparison of sketches
@@ -50,9 +53,9 @@ class NearDupParams:
     agree: float = 0.7
 
 
-#: Members of a bucket that one task compares; hubs of the first round, and
-#: how many times more each next round takes.
-DEAL = 2048
+#: Members of a bucket, and hubs, that are compared at once; hubs of the first
+#: round, and how many times more each next round takes.
+DEAL = 1024
 HUBS, MORE = 1, 64
 
 
@@ -127,6 +130,7 @@ def _signed(rows: DataFrame, p: NearDupParams) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        tasks.release()
         for b in batches:
             for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP, row_bytes=p.bins):
                 sets, at = distinct_sets(data, off, p.shingle)
@@ -150,6 +154,7 @@ def _full_sets(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """``(node, shingles)`` of ``rows(node, text)``; a set is packed 64-bit
     hashes in ascending order."""
     def run(batches):
+        tasks.release()
         for b in batches:
             for i, j, data, off in tasks.sliced_texts(b, limit=tasks.HASH_STEP):
                 sets, at = distinct_sets(data, off, p.shingle)
@@ -178,6 +183,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "x", "y"))
 
     def run(batches):
+        tasks.release()
         for batch in batches:
             ok = [similar(x.as_py(), y.as_py(), percent)
                   for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -221,8 +227,14 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
     open_rows = members.withColumn("label", F.col("node"))
     links, labels, hubs = None, None, HUBS
     while True:
-        pairs = session.write_table(_agreeing(open_rows, hubs, light, p), "pairs")
-        new, found = session.write_counted(_confirmed(pairs, sets, p.percent), "links")
+        if hubs == HUBS:  # at most one pair a row
+            pairs = session.write_table(_agreeing(open_rows, hubs, light, p), "pairs")
+            new = _confirmed(pairs, sets, p.percent)
+        else:
+            may = session.write_table(_having_candidates(open_rows, hubs, light, p), "candidates")
+            new = _linked(_counted(open_rows.join(may, ["bucket", "node"], "left_semi")),
+                          hubs, light.join(sets, "node"), p)
+        new, found = session.write_counted(new, "links")
         links = new if links is None else links.unionByName(new)
         if found or labels is None:
             labels = components(links)
@@ -231,56 +243,140 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
                 .select("bucket", "n", "node", "rank", F.coalesce("label", "node").alias("label")))
         many = left.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(
             "l0 <> l1").select("bucket")
-        open_rows, n_open = session.write_counted(left.join(many, "bucket", "left_semi"), "open")
+        open_rows, n_open = session.write_counted(
+            _counted(left.join(many, "bucket", "left_semi")), "open")
         if not n_open:
             return labels
         hubs *= MORE
 
 
-def _agreeing(members: DataFrame, hubs: int, light: DataFrame, p: NearDupParams) -> DataFrame:
-    """Candidate edges ``(a, b)``: members of a bucket and its hubs (ranks up
-    to ``hubs``) with another label whose sizes and sketches allow the
-    similarity.
+def _counted(members: DataFrame) -> DataFrame:
+    """``members`` with ``n``, the rows that each bucket has there."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return members.drop("n").join(sizes, "bucket")
+
+
+def _dealt(members: DataFrame, hubs: int, light: DataFrame) -> DataFrame:
+    """The rows to compare: every part of a bucket's members with every part
+    of its hubs (ranks up to ``hubs``), as one run of rows, hubs first."""
+    deals = F.ceil(F.col("n") / F.lit(DEAL)).cast("int")
+    blocks = F.ceil(F.least("n", F.lit(hubs)) / F.lit(DEAL)).cast("int")
+    one = members.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("member", F.lit(1))
+    all_ = members.where(F.col("rank") <= hubs).withColumn(
+        "block", F.pmod("rank", blocks).cast("int")).withColumn(
+        "deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("member", F.lit(0))
+    rows = one.unionByName(all_).select("bucket", "deal", "block", "member", "node", "label")
+    rows = rows.join(light, "node").repartition("bucket", "deal", "block")
+    return rows.sortWithinPartitions("bucket", "deal", "block", "member").select(
+        "bucket", "deal", "block", "member", "node", "label", "size", "sketch", "buckets", "ranks",
+        *[c for c in light.columns if c == "shingles"])
+
+
+def _meet(batches, hubs: int, p: NearDupParams):
+    """For every record batch of ``_dealt`` rows the meetings ``(group, row,
+    places)`` of a member and the hubs of another label whose sizes and
+    sketches allow the similarity, and None at its end.
 
     Two nodes that share several buckets are compared in one of them only:
     where one of them has the least rank of all, so becomes a hub first.
     """
-    deals = F.ceil(F.col("n") / F.lit(DEAL)).cast("int")
-    one = members.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int"))
-    all_ = members.where(F.col("rank") <= hubs).withColumn(
-        "deal", F.explode(F.sequence(F.lit(0), deals - 1)))
-    rows = one.withColumn("member", F.lit(1)).unionByName(all_.withColumn("member", F.lit(0)))
-    rows = rows.select("bucket", "deal", "member", "node", "label").join(light, "node")
-    # a bucket's deal comes as one run of rows, hubs first
-    rows = rows.repartition("bucket", "deal").sortWithinPartitions("bucket", "deal", "member").select(
-        "bucket", "deal", "member", "node", "label", "size", "sketch", "buckets", "ranks")
+    tasks.release()
     least = int(np.ceil(p.agree * p.bins))
+    key, group = None, None
+    for whole in batches:
+        for i in range(0, whole.num_rows, DEAL):
+            for bucket, deal, block, member, *row in zip(
+                    *(c.to_pylist() for c in whole.slice(i, DEAL).columns), strict=True):
+                if (bucket, deal, block) != key:
+                    key, group = (bucket, deal, block), Hubs(bucket)
+                row = Row(*row)
+                if not member:
+                    group.add(row)
+                    continue
+                twice = row.rank[bucket] <= hubs  # two hubs meet twice, as member and as hub
+                places = (k for k in group.agreeing(row, p.percent, least)
+                          if not (twice and row.node > group.rows[k].node))
+                yield group, row, places
+        yield None
+
+
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], ["a", "b"])
+
 
+def _agreeing(members: DataFrame, hubs: int, light: DataFrame, p: NearDupParams) -> DataFrame:
+    """Candidate edges ``(a, b)`` between members of a bucket and its hubs."""
     def run(batches):
-        key, hub = None, None
-        for b in batches:
-            where = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            member, node, label, sketch, buckets, ranks = (
-                b.column(k).to_pylist() for k in (2, 3, 4, 6, 7, 8))
-            size = b.column(5).to_numpy()
-            a, c = [], []
-            for i, at in enumerate(where):
-                if at != key:
-                    key, hub = at, Hubs()
-                rank = dict(zip(buckets[i], ranks[i], strict=True))
-                if not member[i]:
-                    hub.add(node[i], label[i], int(size[i]), sketch[i], rank)
+        a, b = [], []
+        for met in _meet(batches, hubs, p):
+            if met is None:
+                yield _pairs(a, b)
+                a, b = [], []
+                continue
+            group, row, places = met
+            for k in places:
+                if responsible(row.rank, group.rows[k].rank) == group.bucket:
+                    a.append(min(row.node, group.rows[k].node))
+                    b.append(max(row.node, group.rows[k].node))
+
+    return _dealt(members, hubs, light).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _having_candidates(members: DataFrame, hubs: int, light: DataFrame,
+                       p: NearDupParams) -> DataFrame:
+    """``(bucket, node)`` of the members and hubs that have a candidate edge,
+    each once however many it has."""
+    def run(batches):
+        buckets, nodes = [], []
+
+        def tell(bucket, row):
+            buckets.append(bucket)
+            nodes.append(row.node)
+
+        for met in _meet(batches, hubs, p):
+            if met is None:
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()),
+                                                  pa.array(nodes, pa.binary())], ["bucket", "node"])
+                buckets.clear()
+                nodes.clear()
+                continue
+            group, row, places = met
+            told = False
+            for k in places:
+                hub = group.rows[k]
+                if told and hub.told or responsible(row.rank, hub.rank) != group.bucket:
+                    continue
+                for one, known in ((row, told), (hub, hub.told)):
+                    if not known:
+                        tell(group.bucket, one)
+                told = hub.told = True
+
+    return _dealt(members, hubs, light).mapInArrow(run, "bucket bigint, node binary").distinct()
+
+
+def _linked(members: DataFrame, hubs: int, full: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links ``(a, b)`` that connect the members of a bucket and its hubs whose
+    full sets are similar: of each group of rows that meet, a forest."""
+    def run(batches):
+        a, b = [], []
+        for met in _meet(batches, hubs, p):
+            if met is None:
+                yield _pairs(a, b)
+                a, b = [], []
+                continue
+            group, row, places = met
+            for k in places:
+                hub = group.rows[k]
+                if group.root(row.label) == group.root(hub.label):
                     continue
-                for k in hub.agreeing(label[i], int(size[i]), sketch[i], p.percent, least):
-                    if rank[at[0]] <= hubs and node[i] > hub.node[k]:
-                        continue  # two hubs meet twice, as member and as hub
-                    if responsible(rank, hub.rank[k]) == at[0]:
-                        a.append(min(node[i], hub.node[k]))
-                        c.append(max(node[i], hub.node[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())],
-                                             ["a", "b"])
+                if responsible(row.rank, hub.rank) == group.bucket and similar(
+                        row.shingles, hub.shingles, p.percent):
+                    group.above[group.root(row.label)] = group.root(hub.label)
+                    a.append(min(row.node, hub.node))
+                    b.append(max(row.node, hub.node))
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return _dealt(members, hubs, full).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def responsible(one: dict[int, int], other: dict[int, int]) -> int:
@@ -289,31 +385,49 @@ def responsible(one: dict[int, int], other: dict[int, int]) -> int:
     return min((min(r, other[b]), b) for b, r in one.items() if b in other)[1]
 
 
+class Row:
+    """A member or hub as it comes to a task, with its buckets' ranks."""
+    __slots__ = ("node", "label", "size", "sketch", "rank", "shingles", "told")
+
+    def __init__(self, node, label, size, sketch, buckets, ranks, shingles=None):
+        self.node, self.label, self.size, self.sketch = node, label, size, sketch
+        self.rank = dict(zip(buckets, ranks, strict=True))
+        self.shingles, self.told = shingles, False
+
+
 class Hubs:
-    """The hubs of a bucket, to compare members with all at once."""
+    """The hubs of a bucket, to compare members with all at once, and which
+    labels have been connected there."""
+
+    def __init__(self, bucket: int):
+        self.bucket, self.rows, self.table = bucket, [], None
+        self.above: dict[bytes, bytes] = {}
 
-    def __init__(self):
-        self.node, self.label, self.size, self.sketch, self.rank = [], [], [], [], []
-        self.table = None
+    def add(self, row: Row) -> None:
+        self.rows.append(row)
 
-    def add(self, node: bytes, label: bytes, size: int, sketch: bytes, rank: dict) -> None:
-        self.node.append(node)
-        self.rank.append(rank)
-        self.label.append(label)
-        self.size.append(size)
-        self.sketch.append(sketch)
+    def root(self, label: bytes) -> bytes:
+        top = label
+        while top in self.above:
+            top = self.above[top]
+        while label != top:
+            self.above[label], label = top, self.above[label]
+        return top
 
-    def agreeing(self, label: bytes, size: int, sketch: bytes, percent: int, least: int):
+    def agreeing(self, row: Row, percent: int, least: int):
         """Places of the hubs of another label that may be similar."""
+        if not self.rows:
+            return []
         if self.table is None:
-            self.table = (np.frombuffer(b"".join(self.label), np.uint64).reshape(-1, 2),
-                          np.array(self.size),
-                          np.frombuffer(b"".join(self.sketch), np.uint8).reshape(len(self.node), -1))
+            self.table = (np.frombuffer(b"".join(r.label for r in self.rows), np.uint64).reshape(-1, 2),
+                          np.array([r.size for r in self.rows]),
+                          np.frombuffer(b"".join(r.sketch for r in self.rows), np.uint8).reshape(
+                              len(self.rows), -1))
         labels, sizes, sketches_ = self.table
-        may = (labels != np.frombuffer(label, np.uint64)).any(1)
-        may &= 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
+        may = (labels != np.frombuffer(row.label, np.uint64)).any(1)
+        may &= 100 * np.minimum(sizes, row.size) >= percent * np.maximum(sizes, row.size)
         at = np.flatnonzero(may)
-        same = (sketches_[at] == np.frombuffer(sketch, np.uint8)).sum(1)
+        same = (sketches_[at] == np.frombuffer(row.sketch, np.uint8)).sum(1)
         return at[same >= least].tolist()
 
 

@@ -112,6 +112,50 @@ def test_near_duplicates_edges(spark, docs, empty, bag):
     assert near_dup.keep_one(empty).count() == 0
 
 
+def similar_group(name, n, changes):
+    """Texts of 400 words of a base with ``changes`` words of their own."""
+    rnd = random.Random(name)
+    out = []
+    for i in range(n):
+        text = [f"{name}{k}" for k in range(400)]
+        for at in rnd.sample(range(2, 400, 5), changes):
+            text[at] = f"{name}own{i}at{at}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("deal", [16, 1024])
+def test_group_below_the_similarity_makes_no_pair_rows(spark, bag, monkeypatch, deal):
+    """Texts that are just not similar to each other: all pairs have agreeing
+    sketches and none is a link, but no table has a row for each of them."""
+    tables = []
+    write = near_dup.session.write_table
+
+    def counted(df, tag="table"):
+        out = write(df, tag)
+        tables.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dup.session, "write_table", counted)
+    monkeypatch.setattr(near_dup, "DEAL", deal)
+    rows = list(enumerate(similar_group("a", 120, 7) + similar_group("b", 30, 3)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_dup.near_duplicates(docs, FOUR)
+    want = brute_components(rows, 4)
+    assert bag(got.drop("tkey", "node").collect()) == bag(want)
+    assert 20 < sum(kept for *_, kept in want) < 150
+    made = [n for tag, n in tables if tag in ("pairs", "candidates", "links")]
+    members = dict(tables)["members"]
+    assert len(made) > 3 and max(made) <= members < 120 * 119 // 2
+
+
+def test_release_frees_the_last_model():
+    from basketry.llm import tasks
+    tasks.model(("x",), lambda: [1])
+    tasks.release()
+    assert not tasks._model
+
+
 def test_keep_one(docs, bag):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     want = {(r, t) for (r, t), (_, n, c, k) in zip(rows, brute_components(rows, 5), strict=True) if k}
