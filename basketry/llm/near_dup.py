@@ -19,7 +19,9 @@ densification, banded buckets and star-shaped candidate edges.
    compared in two buckets or rounds.  There a candidate is never a row: the
    sketches only say which members have one, those meet again with their full
    sets, and what comes out are links between members that the task has not
-   connected yet.  A large bucket is dealt over tasks by members and by hubs.
+   connected yet.  A large bucket's members are dealt over tasks, and its hubs
+   stream past each deal.  Deals and their sizes both grow with the square root
+   of the bucket, so n members are sent as at most about n**1.5 / 32 rows.
 
 At the production settings a pair at the least similarity shares no bucket
 with probability (1 - 0.8**3)**24 = 3e-8, and fails the comparison of sketches
@@ -53,9 +55,10 @@ class NearDupParams:
     agree: float = 0.7
 
 
-#: Members of a bucket, and hubs, that are compared at once; hubs of the first
-#: round, and how many times more each next round takes.
-DEAL = 1024
+#: A bucket of ``n`` members is dealt over ``sqrt(n / DEAL)`` tasks, or as many
+#: as hold its full sets in ``DEAL_BYTES`` each; hubs of the first round, and how
+#: many times more each next round takes.
+DEAL, DEAL_BYTES = 1024, 64 << 20
 HUBS, MORE = 1, 64
 
 
@@ -232,7 +235,7 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
             new = _confirmed(pairs, sets, p.percent)
         else:
             may = session.write_table(_having_candidates(open_rows, hubs, light, p), "candidates")
-            new = _linked(_counted(open_rows.join(may, ["bucket", "node"], "left_semi")),
+            new = _linked(_counted(open_rows.join(may, ["bucket", "node"])),
                           hubs, light.join(sets, "node"), p)
         new, found = session.write_counted(new, "links")
         links = new if links is None else links.unionByName(new)
@@ -251,53 +254,55 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
 
 
 def _counted(members: DataFrame) -> DataFrame:
-    """``members`` with ``n``, the rows that each bucket has there."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return members.drop("n").join(sizes, "bucket")
+    """``members`` with ``n``, the rows that each bucket has there, and where
+    they have a ``size`` the ``bytes`` of the bucket's full sets."""
+    sums = [F.count(F.lit(1)).alias("n")]
+    if "size" in members.columns:
+        sums.append((F.sum("size") * 8).alias("bytes"))
+    return members.drop("n").join(members.groupBy("bucket").agg(*sums), "bucket")
 
 
 def _dealt(members: DataFrame, hubs: int, light: DataFrame) -> DataFrame:
-    """The rows to compare: every part of a bucket's members with every part
-    of its hubs (ranks up to ``hubs``), as one run of rows, hubs first."""
-    deals = F.ceil(F.col("n") / F.lit(DEAL)).cast("int")
-    blocks = F.ceil(F.least("n", F.lit(hubs)) / F.lit(DEAL)).cast("int")
+    """The rows to compare: every deal of a bucket's members, each member in
+    one, and behind it all hubs of the bucket (ranks up to ``hubs``)."""
+    deals = F.ceil(F.sqrt(F.col("n") / F.lit(DEAL)))
+    if "bytes" in members.columns:
+        deals = F.greatest(deals, F.ceil(F.col("bytes") / F.lit(DEAL_BYTES)))
+    deals = deals.cast("int")
     one = members.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("member", F.lit(1))
+        "hub", F.lit(0))
     all_ = members.where(F.col("rank") <= hubs).withColumn(
-        "block", F.pmod("rank", blocks).cast("int")).withColumn(
-        "deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("member", F.lit(0))
-    rows = one.unionByName(all_).select("bucket", "deal", "block", "member", "node", "label")
-    rows = rows.join(light, "node").repartition("bucket", "deal", "block")
-    return rows.sortWithinPartitions("bucket", "deal", "block", "member").select(
-        "bucket", "deal", "block", "member", "node", "label", "size", "sketch", "buckets", "ranks",
+        "deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("hub", F.lit(1))
+    rows = one.unionByName(all_).select("bucket", "deal", "hub", "node", "label")
+    rows = rows.join(light, "node").repartition("bucket", "deal")
+    return rows.sortWithinPartitions("bucket", "deal", "hub").select(
+        "bucket", "deal", "hub", "node", "label", "size", "sketch", "buckets", "ranks",
         *[c for c in light.columns if c == "shingles"])
 
 
-def _meet(batches, hubs: int, p: NearDupParams):
-    """For every record batch of ``_dealt`` rows the meetings ``(group, row,
-    places)`` of a member and the hubs of another label whose sizes and
-    sketches allow the similarity, and None at its end.
+def _meet(batches, p: NearDupParams):
+    """For every record batch of ``_dealt`` rows the meetings ``(group, hub,
+    places)`` of a hub and the members of greater rank and another label whose
+    sizes and sketches allow the similarity, and None at its end.
 
-    Two nodes that share several buckets are compared in one of them only:
-    where one of them has the least rank of all, so becomes a hub first.
+    Of two hubs only the lesser rank meets the other as a member.  Two nodes
+    that share several buckets are compared in one of them only: where one of
+    them has the least rank of all, so becomes a hub first.
     """
     tasks.release()
     least = int(np.ceil(p.agree * p.bins))
     key, group = None, None
     for whole in batches:
         for i in range(0, whole.num_rows, DEAL):
-            for bucket, deal, block, member, *row in zip(
+            for bucket, deal, hub, *row in zip(
                     *(c.to_pylist() for c in whole.slice(i, DEAL).columns), strict=True):
-                if (bucket, deal, block) != key:
-                    key, group = (bucket, deal, block), Hubs(bucket)
+                if (bucket, deal) != key:
+                    key, group = (bucket, deal), Members(bucket)
                 row = Row(*row)
-                if not member:
+                if hub:
+                    yield group, row, group.agreeing(row, p.percent, least)
+                else:
                     group.add(row)
-                    continue
-                twice = row.rank[bucket] <= hubs  # two hubs meet twice, as member and as hub
-                places = (k for k in group.agreeing(row, p.percent, least)
-                          if not (twice and row.node > group.rows[k].node))
-                yield group, row, places
         yield None
 
 
@@ -309,50 +314,53 @@ def _agreeing(members: DataFrame, hubs: int, light: DataFrame, p: NearDupParams)
     """Candidate edges ``(a, b)`` between members of a bucket and its hubs."""
     def run(batches):
         a, b = [], []
-        for met in _meet(batches, hubs, p):
+        for met in _meet(batches, p):
             if met is None:
                 yield _pairs(a, b)
                 a, b = [], []
                 continue
-            group, row, places = met
+            group, hub, places = met
             for k in places:
-                if responsible(row.rank, group.rows[k].rank) == group.bucket:
-                    a.append(min(row.node, group.rows[k].node))
-                    b.append(max(row.node, group.rows[k].node))
+                if responsible(hub.rank, group.rows[k].rank) == group.bucket:
+                    a.append(min(hub.node, group.rows[k].node))
+                    b.append(max(hub.node, group.rows[k].node))
 
     return _dealt(members, hubs, light).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _having_candidates(members: DataFrame, hubs: int, light: DataFrame,
                        p: NearDupParams) -> DataFrame:
-    """``(bucket, node)`` of the members and hubs that have a candidate edge,
-    each once however many it has."""
+    """``(bucket, node, size)`` of the members and hubs that have a candidate
+    edge, each once however many it has."""
     def run(batches):
-        buckets, nodes = [], []
+        buckets, nodes, sizes = [], [], []
 
         def tell(bucket, row):
             buckets.append(bucket)
             nodes.append(row.node)
+            sizes.append(row.size)
 
-        for met in _meet(batches, hubs, p):
+        for met in _meet(batches, p):
             if met is None:
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()),
-                                                  pa.array(nodes, pa.binary())], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets, pa.int64()), pa.array(nodes, pa.binary()),
+                     pa.array(sizes, pa.int64())], ["bucket", "node", "size"])
                 buckets.clear()
                 nodes.clear()
+                sizes.clear()
                 continue
-            group, row, places = met
-            told = False
+            group, hub, places = met
             for k in places:
-                hub = group.rows[k]
-                if told and hub.told or responsible(row.rank, hub.rank) != group.bucket:
+                row = group.rows[k]
+                if hub.told and row.told or responsible(hub.rank, row.rank) != group.bucket:
                     continue
-                for one, known in ((row, told), (hub, hub.told)):
-                    if not known:
+                for one in (hub, row):
+                    if not one.told:
                         tell(group.bucket, one)
-                told = hub.told = True
+                        one.told = True
 
-    return _dealt(members, hubs, light).mapInArrow(run, "bucket bigint, node binary").distinct()
+    return _dealt(members, hubs, light).mapInArrow(
+        run, "bucket bigint, node binary, size bigint").distinct()
 
 
 def _linked(members: DataFrame, hubs: int, full: DataFrame, p: NearDupParams) -> DataFrame:
@@ -360,17 +368,17 @@ def _linked(members: DataFrame, hubs: int, full: DataFrame, p: NearDupParams) ->
     full sets are similar: of each group of rows that meet, a forest."""
     def run(batches):
         a, b = [], []
-        for met in _meet(batches, hubs, p):
+        for met in _meet(batches, p):
             if met is None:
                 yield _pairs(a, b)
                 a, b = [], []
                 continue
-            group, row, places = met
+            group, hub, places = met
             for k in places:
-                hub = group.rows[k]
+                row = group.rows[k]
                 if group.root(row.label) == group.root(hub.label):
                     continue
-                if responsible(row.rank, hub.rank) == group.bucket and similar(
+                if responsible(hub.rank, row.rank) == group.bucket and similar(
                         row.shingles, hub.shingles, p.percent):
                     group.above[group.root(row.label)] = group.root(hub.label)
                     a.append(min(row.node, hub.node))
@@ -395,9 +403,9 @@ class Row:
         self.shingles, self.told = shingles, False
 
 
-class Hubs:
-    """The hubs of a bucket, to compare members with all at once, and which
-    labels have been connected there."""
+class Members:
+    """A deal of a bucket's members, to compare hubs with all at once, and
+    which labels have been connected there."""
 
     def __init__(self, bucket: int):
         self.bucket, self.rows, self.table = bucket, [], None
@@ -415,16 +423,19 @@ class Hubs:
         return top
 
     def agreeing(self, row: Row, percent: int, least: int):
-        """Places of the hubs of another label that may be similar."""
+        """Places of the members of greater rank than ``row`` and another
+        label that may be similar."""
         if not self.rows:
             return []
         if self.table is None:
             self.table = (np.frombuffer(b"".join(r.label for r in self.rows), np.uint64).reshape(-1, 2),
                           np.array([r.size for r in self.rows]),
+                          np.array([r.rank[self.bucket] for r in self.rows]),
                           np.frombuffer(b"".join(r.sketch for r in self.rows), np.uint8).reshape(
                               len(self.rows), -1))
-        labels, sizes, sketches_ = self.table
+        labels, sizes, ranks, sketches_ = self.table
         may = (labels != np.frombuffer(row.label, np.uint64)).any(1)
+        may &= ranks > row.rank[self.bucket]
         may &= 100 * np.minimum(sizes, row.size) >= percent * np.maximum(sizes, row.size)
         at = np.flatnonzero(may)
         same = (sketches_[at] == np.frombuffer(row.sketch, np.uint8)).sum(1)

@@ -149,6 +149,47 @@ def test_group_below_the_similarity_makes_no_pair_rows(spark, bag, monkeypatch,
     assert len(made) > 3 and max(made) <= members < 120 * 119 // 2
 
 
+def test_large_bucket_is_sent_by_the_square_root_of_its_size(spark, monkeypatch):
+    """Every member is sent once and every hub to each deal, so four times the
+    members are eight times the rows, not sixteen times."""
+    monkeypatch.setattr(near_dup, "DEAL", 16)
+    made = []
+    for n in (256, 1024):
+        nodes = [(i, bytes([i // 256, i % 256])) for i in range(n)]
+        members = near_dup._counted(spark.createDataFrame(
+            [(1, node, i + 1, node) for i, node in nodes],
+            "bucket bigint, node binary, rank int, label binary").withColumn("n", near_dup.F.lit(0)))
+        light = spark.createDataFrame(
+            [(node, 5, b"", [1], [i + 1]) for i, node in nodes],
+            "node binary, size bigint, sketch binary, buckets array<bigint>, ranks array<int>")
+        rows = near_dup._dealt(members, n, light).select("deal", "hub", "node").collect()
+        assert sorted(r.node for r in rows if not r.hub) == sorted(node for _, node in nodes)
+        deals = {r.deal for r in rows}
+        assert Counter((r.deal, r.node) for r in rows if r.hub) == Counter(
+            (d, node) for d in deals for _, node in nodes)
+        made.append(len(rows))
+    assert made == [256 + 256 * 4, 1024 + 1024 * 8]
+
+
+def test_large_sets_are_dealt_over_more_tasks(spark, bag, monkeypatch):
+    sent = []
+    dealt = near_dup._dealt
+
+    def counted(members, hubs, light):
+        out = dealt(members, hubs, light)
+        if "shingles" in light.columns:
+            sent.append(out.agg(near_dup.F.max("deal")).first()[0])
+        return out
+
+    monkeypatch.setattr(near_dup, "_dealt", counted)
+    monkeypatch.setattr(near_dup, "DEAL_BYTES", 20_000)
+    rows = list(enumerate(similar_group("a", 40, 7) + similar_group("b", 20, 3)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_dup.near_duplicates(docs, FOUR)
+    assert bag(got.drop("tkey", "node").collect()) == bag(brute_components(rows, 4))
+    assert max(x for x in sent if x is not None) > 1
+
+
 def test_release_frees_the_last_model():
     from basketry.llm import tasks
     tasks.model(("x",), lambda: [1])
