@@ -16,11 +16,12 @@ over an ASCII blank:
 
 Special-token strings hold no blank, so no cut falls inside one.
 
-A piece of Latin letters (U+00FF at most) and plain marks is two words to
-both patterns (letters; marks), unchanged by normalisation but for the case,
-so its words go straight to the library's BPE model, their bytes as the
-characters that byte-level vocabularies use.  All other pieces take the whole
-tokenizer.
+A piece of Latin letters (U+00FF at most) and plain marks behind them is two
+words to both patterns (letters; marks), unchanged by normalisation but for
+the case.  It is cut between them, and lower-cased where the vocabulary is, so
+fewer pieces are distinct; each goes straight to the library's BPE model, its
+bytes as the characters that byte-level vocabularies use.  All other pieces
+take the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ from basketry.llm.tasks import strings_at
 
 #: Distinct pieces a worker remembers.  More pieces are still encoded, only
 #: not remembered, so results do not depend on it.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 500_000
 
-#: Latin letters, then marks that no contraction or special token begins with.
-PLAIN = {"byte": re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()-]*)"),
-         "word": re.compile(r"[ \n]?([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()-]*)")}
+#: Marks that no contraction or special token begins with, and a word of Latin
+#: letters or of marks; a blank before it belongs to it or is dropped.
+MARKS = ".,;:!?()-\"#$%&*+/=@[]\\^_`{}~"
+_WORD = rf"[A-Za-zÀ-ÖØ-öø-ÿ]+|[{re.escape(MARKS)}]+"
+PLAIN = {"byte": re.compile(rf"( ?(?:{_WORD}))"), "word": re.compile(rf"[ \n]?({_WORD})")}
 #: The pre-tokenizer and normalizer steps for which that holds.
 PLAIN_STEPS = {"byte": (["ByteLevel"], []),
                "word": (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"])}
@@ -61,6 +64,18 @@ def byte_characters() -> list[str]:
 
 _BYTE_CHARACTERS = byte_characters()
 
+#: Kinds of bytes.  U+00C0 to U+00FF are a lead 0xC3 and a byte from 0x80 on;
+#: pieces with any other lead are not plain.
+_LETTER, _MARK, _BLANK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_KIND[list(MARKS.encode())] = _MARK
+_KIND[32] = _BLANK
+#: Lower case of the bytes of a plain piece.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[0x80:0x9F] += 32
+
 
 def load_tokenizer(path: str):
     """The tokenizers library's reading of ``path``, on one thread, with
@@ -84,7 +99,7 @@ class PieceCoder:
     def __init__(self, path: str, cut: str):
         if cut not in ("byte", "word"):
             raise ValueError(f"unknown cut {cut!r}")
-        self.tok, self.cut, self.memo, self.words = load_tokenizer(path), cut, {}, {}
+        self.tok, self.cut, self.memo = load_tokenizer(path), cut, {}
         self.model = self.tok.model
         self.plain = PLAIN[cut] if self._has_plain_steps() else None
 
@@ -101,22 +116,31 @@ class PieceCoder:
     def plain_text(self, text: str) -> bool:
         return PLAIN[self.cut].fullmatch(text) is not None
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word that normalisation leaves as it is."""
-        got = self.words.get(word)
-        if got is None:
-            spelt = "".join([_BYTE_CHARACTERS[b] for b in word.encode()])
-            got = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            if len(self.words) < MEMO_PIECES:
-                self.words[word] = got
-        return got
-
     def _plain_ids(self, piece: str) -> bytes | None:
+        """Ids of one word that normalisation leaves as it is."""
         m = self.plain.fullmatch(piece) if self.plain else None
         if m is None:
             return None
-        first = m[1].lower() if self.cut == "word" else m[1]
-        return self._word(first) + self._word(m[2]) if m[2] else self._word(first)
+        spelt = "".join([_BYTE_CHARACTERS[b] for b in m[1].encode()])
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with plain pieces as normalisation leaves them, and the
+        starts of all pieces with plain ones cut into letters and marks."""
+        kind = _KIND[data]
+        if self.cut == "word":
+            kind[data == 10] = _BLANK
+        kind[1:][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = 0  # times, divided by
+        mark = np.zeros(len(data), bool)
+        mark[starts] = True
+        before = np.append(np.uint8(0), kind[:-1])
+        before[starts] = 0
+        other = (kind == 0) | (kind == _BLANK) & ~mark | (kind == _LETTER) & (before == _MARK)
+        plain = np.repeat(~np.logical_or.reduceat(other, starts), np.diff(starts, append=len(data)))
+        if self.cut == "word":
+            data = np.where(plain, _LOWER[data], data)
+        mark |= plain & (kind == _MARK) & (before == _LETTER)
+        return data, np.flatnonzero(mark)
 
     def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Starts of all pieces: row starts (non-empty rows) and safe cuts."""
@@ -154,6 +178,8 @@ class PieceCoder:
 
     def _coded(self, data, off):
         starts = self.starts(data, off)
+        if self.plain:
+            data, starts = self._words(data, starts)
         coded = strings_at(data, starts).dictionary_encode()
         codes = coded.indices.to_numpy()
         ids = self.lookup(coded.dictionary.to_pylist())

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from basketry import session
 from basketry.llm import bpe_reuse, token_orc
-from basketry.llm.pieces import PieceCoder, coder, load_tokenizer
+from basketry.llm.pieces import MARKS, PieceCoder, coder, load_tokenizer
 from basketry.llm.tasks import steps, text_bytes
 from basketry.llm.token_counts import count_tokens
 
@@ -53,6 +53,30 @@ def test_latin_words_equal_library(path, cut):
     assert [g.tolist() for g in got] == [w.ids for w in want]
 
 
+@pytest.mark.parametrize("path,cut", [(WORD, "word"), (BYTE, "byte")])
+def test_marked_words_need_no_tokenizer(path, cut):
+    """Letters with marks behind them are cut into both and go to the model,
+    in any case; other orders of them are left to the library."""
+    import pyarrow as pa
+    rnd = random.Random(4)
+    word = lambda: rnd.choice("abT") + "".join(
+        rnd.choice("abTÀéÿß") for _ in range(rnd.randint(0, 3)))
+    marks = lambda: "".join(rnd.choice(MARKS) for _ in range(rnd.randint(0, 3)))
+    plain = [" ".join(word() + marks() for _ in range(30)) for _ in range(100)]
+    mixed = [" ".join(rnd.choice([word, marks])() + rnd.choice([word, marks, lambda: "×÷Āא<|"])()
+                      + marks() for _ in range(30)) for _ in range(100)]
+    enc, tok = PieceCoder(path, cut), load_tokenizer(path)
+    for texts in (plain, mixed):
+        enc.tok = None if texts is plain else tok
+        ids, off = enc.encode(*text_bytes(pa.array(texts)))
+        for i, w in enumerate(tok.encode_batch(texts, add_special_tokens=False)):
+            assert ids[off[i]:off[i + 1]].tolist() == w.ids, texts[i]
+        if texts is plain:
+            assert not any(p[0] in MARKS and p.strip(MARKS) or p[-1] in MARKS and p[0] not in MARKS
+                           for p in enc.memo)
+            assert cut == "byte" or not any(p != p.lower() for p in enc.memo)
+
+
 def test_steps_cover_every_row_once():
     sizes = np.array([0, 5, 0, 100, 1, 1, 1, 0])
     got = list(steps(sizes, 6))
