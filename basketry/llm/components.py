@@ -38,22 +38,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return links.unionByName(near.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
+def _labels(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """``(node, label)`` of distinct edges that lead to a lesser node, and
+    whether they are stars: no node has two labels, no label one of its own."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(None).alias("label")))
+    found = ends.groupBy("node").agg(
+        F.min("label").alias("label"), F.max("label").alias("last"),
+        F.count("label").alias("up"), F.count(F.lit(1)).alias("n"))
+    obs = Observation()
+    out = session.write_table(found.observe(obs, F.count(F.when(
+        (F.col("label") != F.col("last")) | (F.col("up") > 0) & (F.col("up") < F.col("n")),
+        1)).alias("open")).select("node", F.coalesce("label", "node").alias("label")), "labels")
+    return out, not obs.get["open"]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, label)``, label the least node of its
-    component; nodes without an edge are absent.  Rounds grow with the
-    logarithm of the longest path."""
-    step = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
+    component; nodes without an edge are absent.  Edges may repeat and lead
+    either way.  Rounds grow with the logarithm of the longest path; the labels
+    tell whether another is due."""
+    now = edges.where("a <> b")
     while True:
-        obs = Observation()
-        now = session.write_table(step.observe(
-            obs, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-            F.bit_xor(F.xxhash64("b", "a")).alias("y")), "edges")
-        sign = tuple(obs.get[k] for k in ("n", "x", "y"))
-        if sign == last:
-            break
-        last, step = sign, _small_star(_large_star(now)).distinct()
-    labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return session.write_table(labels.unionByName(roots), "labels")
+        now = session.write_table(_small_star(_large_star(now)).distinct(), "edges")
+        labels, stars = _labels(now)
+        if stars:
+            return labels

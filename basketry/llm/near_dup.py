@@ -228,26 +228,27 @@ def _labels(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame |
     light = session.write_table(places.join(nodes, "node").select(
         "node", F.col("n_shingles").alias("size"), "sketch", "buckets", "ranks"), "light")
     open_rows = members.withColumn("label", F.col("node"))
-    links, labels, hubs = None, None, HUBS
+    labels, hubs = None, HUBS
     while True:
         if hubs == HUBS:  # at most one pair a row
-            pairs = session.write_table(_agreeing(open_rows, hubs, light, p), "pairs")
-            new = _confirmed(pairs, sets, p.percent)
+            new = _confirmed(_agreeing(open_rows, hubs, light, p), sets, p.percent)
         else:
             may = session.write_table(_having_candidates(open_rows, hubs, light, p), "candidates")
             new = _linked(_counted(open_rows.join(may, ["bucket", "node"])),
                           hubs, light.join(sets, "node"), p)
         new, found = session.write_counted(new, "links")
-        links = new if links is None else links.unionByName(new)
-        if found or labels is None:
-            labels = components(links)
+        if labels is None:
+            labels = components(new)
+        elif found:
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+                                .unionByName(new))
         # used hubs leave their bucket; a bucket closes when one label is left
-        left = (open_rows.where(F.col("rank") > hubs).drop("label").join(labels, "node", "left")
-                .select("bucket", "n", "node", "rank", F.coalesce("label", "node").alias("label")))
-        many = left.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(
-            "l0 <> l1").select("bucket")
-        open_rows, n_open = session.write_counted(
-            _counted(left.join(many, "bucket", "left_semi")), "open")
+        left = (open_rows.where(F.col("rank") > hubs).drop("label", "n").join(labels, "node", "left")
+                .select("bucket", "node", "rank", F.coalesce("label", "node").alias("label")))
+        many = left.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(
+            "l0 <> l1").select("bucket", "n")
+        open_rows, n_open = session.write_counted(left.join(many, "bucket"), "open")
         if not n_open:
             return labels
         hubs *= MORE
@@ -325,7 +326,7 @@ def _agreeing(members: DataFrame, hubs: int, light: DataFrame, p: NearDupParams)
                     a.append(min(hub.node, group.rows[k].node))
                     b.append(max(hub.node, group.rows[k].node))
 
-    return _dealt(members, hubs, light).mapInArrow(run, "a binary, b binary").distinct()
+    return _dealt(members, hubs, light).mapInArrow(run, "a binary, b binary")
 
 
 def _having_candidates(members: DataFrame, hubs: int, light: DataFrame,
@@ -384,7 +385,7 @@ def _linked(members: DataFrame, hubs: int, full: DataFrame, p: NearDupParams) ->
                     a.append(min(row.node, hub.node))
                     b.append(max(row.node, hub.node))
 
-    return _dealt(members, hubs, full).mapInArrow(run, "a binary, b binary").distinct()
+    return _dealt(members, hubs, full).mapInArrow(run, "a binary, b binary")
 
 
 def responsible(one: dict[int, int], other: dict[int, int]) -> int:

@@ -244,6 +244,40 @@ def test_components(spark):
     assert {r.node: r.label for r in got} == want and len(got) == len(want)
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """Tags of the scratch tables that the operators of this module write."""
+    tags = []
+    write = near_dup.session.write_table
+
+    def noted(df, tag="table"):
+        tags.append(tag)
+        return write(df, tag)
+
+    monkeypatch.setattr(near_dup.session, "write_table", noted)
+    return tags
+
+
+@pytest.mark.parametrize("edges, rounds", [
+    ([], 1), ([(1, 1)], 1), ([(1, 2), (2, 1), (1, 3), (1, 3)], 1), ([(9, 1), (9, 2), (9, 3)], 1),
+    ([(1, 9), (2, 9), (2, 8), (3, 8), (20, 21)], 2)])
+def test_components_end_with_the_round_that_makes_stars(spark, written, edges, rounds):
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: 20 if x > 19 else 1 for e in edges for x in e if e[0] != e[1]}
+    assert Counter(written) == {"edges": rounds, "labels": rounds}
+
+
+def test_linked_texts_take_few_tables(spark, bag, written):
+    """The first hubs' candidates are confirmed as they come, and labels that
+    are stars end the search for components."""
+    rows = list(enumerate(similar_group("a", 20, 1) + similar_group("b", 5, 1)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_dup.near_duplicates(docs, FOUR)
+    assert bag(got.drop("tkey", "node").collect()) == bag(brute_components(rows, 4))
+    assert written == ["signed", "nodes", "members", "buckets", "sets", "light", "links",
+                       *["edges", "labels"] * written.count("labels"), "open"]
+
+
 def brute_repeats(texts, length):
     seen = Counter()
     raw = [(t or "").encode() for t in texts]
