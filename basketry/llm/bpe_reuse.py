@@ -34,8 +34,11 @@ from basketry.llm.pieces import PieceCoder
 #: Rolling-hash window in bytes, and mean chunk length (a power of two).
 ROLL = 32
 MEAN_CHUNK = 1024
-#: Text of remembered chunks, in characters, per worker.
-MEMO_CHARS = 12 << 20
+#: Text of remembered chunks, in characters, per worker; their ids take about
+#: as much again and their parts a little less.
+MEMO_CHARS = 8 << 20
+#: Pieces of new chunks and of joins that a worker remembers beside them.
+MEMO_PIECES = 200_000
 
 
 def chunk_starts(data: np.ndarray, off: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
@@ -45,9 +48,12 @@ def chunk_starts(data: np.ndarray, off: np.ndarray, mean: int = MEAN_CHUNK) -> n
     if len(data) <= ROLL:
         return rows
     prefix = tasks.prefix_hash(data)
-    at = np.arange(ROLL, len(data))
-    h = tasks.window_hash(prefix, at - ROLL, at)
-    at = at[((h & np.uint64(mean - 1)) == 0) & ((data[ROLL:] & 0xC0) != 0x80)]
+    found = []
+    for a in range(ROLL, len(data), tasks.POWERS):
+        at = np.arange(a, min(a + tasks.POWERS, len(data)))
+        h = tasks.window_hash(prefix, at - ROLL, at)
+        found.append(at[((h & np.uint64(mean - 1)) == 0) & ((data[at] & 0xC0) != 0x80)])
+    at = np.concatenate(found)
     row = np.searchsorted(off, at, side="right") - 1
     return np.union1d(at[at - off[row] >= ROLL], rows)
 
@@ -107,7 +113,9 @@ class ReuseCoder:
         ids = self.enc.encode_texts([t for i in whole for t in (
             out[i].inner, out[i].first, out[i].last)])
         for k, i in enumerate(whole):
-            out[i].body, out[i].first_ids, out[i].last_ids = ids[3 * k:3 * k + 3]
+            # copies: a view would keep the ids of the whole step
+            out[i].body, out[i].first_ids, out[i].last_ids = (
+                x.copy() for x in ids[3 * k:3 * k + 3])
             out[i].inner = ""  # encoded; the text is kept for wider windows
         for i in new:
             self.memo[texts[i]] = out[i]
@@ -206,7 +214,7 @@ def agrees(window: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
 
 def reuse_coder(path: str) -> ReuseCoder:
     """This worker's chunk coder for a vocabulary file."""
-    return tasks.model(("reuse", path), lambda: ReuseCoder(PieceCoder(path, "word")))
+    return tasks.model(("reuse", path), lambda: ReuseCoder(PieceCoder(path, "word", MEMO_PIECES)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",

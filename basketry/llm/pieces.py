@@ -96,10 +96,11 @@ def coder(path: str, cut: str) -> "PieceCoder":
 class PieceCoder:
     """Encodes whole texts exactly, piece by piece."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, memo_pieces: int = MEMO_PIECES):
         if cut not in ("byte", "word"):
             raise ValueError(f"unknown cut {cut!r}")
         self.tok, self.cut, self.memo = load_tokenizer(path), cut, {}
+        self.memo_pieces = memo_pieces
         self.model = self.tok.model
         self.plain = PLAIN[cut] if self._has_plain_steps() else None
 
@@ -165,14 +166,14 @@ class PieceCoder:
                 found[i] = got = self._plain_ids(pieces[i])
                 if got is None:
                     new.append(i)
-                elif len(memo) < MEMO_PIECES:
+                elif len(memo) < self.memo_pieces:
                     memo[pieces[i]] = got
         for a in range(0, len(new), 4096):
             part = new[a:a + 4096]
             got = self.tok.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)
             for i, e in zip(part, got, strict=True):
                 found[i] = np.array(e.ids, np.uint32).tobytes()
-                if len(memo) < MEMO_PIECES:
+                if len(memo) < self.memo_pieces:
                     memo[pieces[i]] = found[i]
         return found
 

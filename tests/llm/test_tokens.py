@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from basketry import session
-from basketry.llm import bpe_reuse, token_orc
+from basketry.llm import bpe_reuse, tasks, token_orc
 from basketry.llm.pieces import MARKS, PieceCoder, coder, load_tokenizer
 from basketry.llm.tasks import steps, text_bytes
 from basketry.llm.token_counts import count_tokens
@@ -148,6 +149,67 @@ def test_reuse_equals_library(texts, mean, monkeypatch):
             assert enc.decode(ids) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_chunk_starts_of_long_rows():
+    """Cuts are found in blocks of positions, as if by one pass."""
+    rnd = random.Random(8)
+    data = np.frombuffer("".join(rnd.choices("abc é\n", k=170_000)).encode(), np.uint8)
+    off = np.array([0, 70_000, 70_000, 70_020, len(data)])
+    prefix = tasks.prefix_hash(data)
+    at = np.arange(bpe_reuse.ROLL, len(data))
+    h = tasks.window_hash(prefix, at - bpe_reuse.ROLL, at)
+    cut = at[(h % np.uint64(64) == 0) & (data[at] & 0xC0 != 0x80)]
+    row = np.searchsorted(off, cut, side="right") - 1
+    want = sorted({0, 70_000, 70_020, *cut[cut - off[row] >= bpe_reuse.ROLL].tolist()})
+    assert bpe_reuse.chunk_starts(data, off, 64).tolist() == want
+
+
+def test_remembered_chunks_hold_their_own_ids(texts):
+    """No chunk keeps the ids of the step that it was encoded in."""
+    enc = bpe_reuse.ReuseCoder(PieceCoder(WORD, "word"))
+    enc.encode(*text_bytes(pa.array([t or "" for t in texts])))
+    held = [a for c in enc.memo.values() if c.body is not None
+            for a in (c.body, c.first_ids, c.last_ids)]
+    assert held and all(a.base is None for a in held)
+
+
+def test_coder_remembers_so_many_pieces(texts, monkeypatch):
+    monkeypatch.setattr(bpe_reuse, "MEMO_PIECES", 30)
+    tasks.release()
+    enc = bpe_reuse.reuse_coder(WORD)
+    got = enc.encode(*text_bytes(pa.array([t or "" for t in texts])))
+    tasks.release()
+    assert len(enc.enc.memo) == 30
+    assert [x.tolist() for x in got] == [library(WORD, t) for t in texts]
+
+
+def test_batches_hold_about_a_step(spark):
+    """Long texts come in batches of bounded bytes, one longer than that
+    alone; a limit that the session names stays."""
+    sizes = [3_000_000] * 6 + [9_000_000, 10, 10]
+    rows = spark.createDataFrame([(k,) for k in sizes], "k int").coalesce(1).selectExpr(
+        "repeat('x', k) AS text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.num_rows]), pa.array([len(text_bytes(b.column(0))[0])])], ["n", "size"])
+
+    before = spark.conf.get(tasks.BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(tasks.BATCH_LIMIT)
+        tasks.prepare(spark)
+        got = rows.mapInArrow(run, "n bigint, size bigint").collect()
+        assert sum(r.n for r in got) == len(sizes) and sum(r.size for r in got) == sum(sizes)
+        assert all(r.size < tasks.STEP_BYTES + 9_000_000 for r in got) and len(got) >= 4
+        spark.conf.set(tasks.BATCH_LIMIT, "12345")
+        tasks.prepare(spark)
+        assert spark.conf.get(tasks.BATCH_LIMIT) == "12345"
+    finally:
+        spark.conf.unset(tasks.BATCH_LIMIT)
+        if before is not None:
+            spark.conf.set(tasks.BATCH_LIMIT, before)
+
+
 def test_disagreeing_join_is_widened(texts):
     enc = bpe_reuse.ReuseCoder(coder(WORD, "word"))
     chunks = enc.chunks([texts[12][:905], texts[12][905:]])
