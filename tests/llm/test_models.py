@@ -1,6 +1,7 @@
 """Language model and decontamination against plain Python."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -125,6 +126,116 @@ def test_counting_does_not_depend_on_what_is_held(spark, texts, contexts, words)
     assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("held", [0, 40])
+def test_scores_do_not_depend_on_the_ranges(spark, texts, monkeypatch, held):
+    """Counts, words and weights dealt over many tasks, few keys each."""
+    monkeypatch.setattr(suffix_lm, "RANGE_TOKENS", 100)
+    monkeypatch.setattr(suffix_lm, "RANGE_KEYS", 30)
+    p = LmParams(depth=3, least=6, root_share=0.05, next_least=2, min_divergence=1.0,
+                 held_words=held, held_contexts=held, held_weights=held)
+    rows = lm_rows(texts)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, *_ = plain_scores([t for _, t in rows], [t for d, t in rows if not held_out(d)], p)
+    got = {r.doc_id: r for r in suffix_lm.score(docs, p).collect()}
+    assert [got[d].score for d, _ in rows] == pytest.approx(want, rel=1e-9)
+    assert [got[d].n_known for d, _ in rows] == [x[3] for x in base_scores(rows)]
+
+
+def test_tables_on_disk_while_scoring(spark, texts, monkeypatch, tmp_path):
+    """When the scores are written, only words and weights are left: no table
+    of a level, and none with a key for every document that asks for it."""
+    left = []
+    write = suffix_lm.session._write
+    monkeypatch.setattr(suffix_lm.session, "_root", lambda _: f"file://{tmp_path}/scratch")
+
+    def watched(df, path):
+        if "lm-scores" in path:
+            left.extend(x.name.rpartition("-")[0] for x in tmp_path.glob("scratch/*/lm-*"))
+            left.extend(x.name for x in tmp_path.glob("scratch/*/*/lm-*"))
+        return write(df, path)
+
+    monkeypatch.setattr(suffix_lm.session, "_write", watched)
+    p = LmParams(depth=3, least=6, next_least=2, min_divergence=1.0, held_words=0, held_weights=0)
+    docs = spark.createDataFrame(lm_rows(texts), "doc_id bigint, text string")
+    assert suffix_lm.score(docs, p).count() == len(lm_rows(texts))
+    assert sorted(left) == ["lm-weights", "lm-words"]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def files():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        found = env.blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    key, old = suffix_lm.session.FREE_SHUFFLES, files()
+    before = spark.conf.get(key, None)
+    with suffix_lm.session.shuffles_freed(spark):
+        assert spark.range(2000).repartition(3, "id").count() == 2000
+        assert files() <= old
+    assert spark.conf.get(key, None) == before
+
+
+@pytest.mark.parametrize("docs", [7, 70_000])
+def test_block_asks_once_for_a_key(docs):
+    """Each key of a block is sent once, however many documents ask for it,
+    and the sums that come back are those of every document's own keys."""
+    rng = np.random.default_rng(docs)
+    keys = np.unique(rng.integers(0, 2 ** 63, 90).astype(np.uint64) * np.uint64(2))
+    ask, owner = rng.choice(keys, 400_000, p=(w := np.arange(1., len(keys) + 1) ** 3) / w.sum()), np.sort(
+        rng.integers(0, docs, 400_000))
+    block = suffix_lm.Block(5, 4, suffix_lm._schema(suffix_lm._ROUTE, pa.int64()))
+    half = owner < docs // 2
+    assert block.add(docs // 2, owner[half], ask[half]).tolist() == list(range(docs // 2))
+    block.add(docs - docs // 2, owner[~half] - docs // 2, ask[~half])
+    known, weight = keys[::2], rng.random(len(keys[::2]))
+    word = rng.integers(0, 2, len(known)).astype(np.uint8)
+    sums, sent, table = np.zeros((3, docs)), [], suffix_lm.ranges(known, 4)
+    for b in block.asks():
+        part, first, asked, times, more = (b.column(b.schema.get_field_index(x))[0] for x in (
+            "part", "first", "keys", "times", "more"))
+        n = suffix_lm.size_of(times.as_buffer())
+        sent += np.unique(suffix_lm.values_of(first.as_py(), asked.as_buffer(), n)).tolist()
+        lookup, mine = suffix_lm.Lookup(), table == part.as_py()
+        if mine.any():
+            lookup.add(pa.scalar(suffix_lm._first(known[mine])), pa.scalar(suffix_lm.differences(known[mine])),
+                       pa.scalar(suffix_lm.squeezed(word[mine])), pa.scalar(suffix_lm.squeezed(weight[mine])))
+        if got := lookup.sums(first, asked, times, more):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(got["has"], np.uint8)))
+            for k, (name, kind) in enumerate([("base_sums", "f8"), ("sums", "f8"), ("found", "i8")]):
+                sums[k, at] += suffix_lm.whole(got[name], len(at), kind)
+    assert sorted(sent) == np.unique(ask).tolist()
+    place = {int(k): i for i, k in enumerate(known)}
+    at = np.array([place.get(int(k), -1) for k in ask])
+    hit = at >= 0
+    for got, each in zip(sums, (weight * word, weight, word), strict=True):
+        assert got == pytest.approx(np.bincount(owner[hit], each[at[hit]], docs))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2000])
+def test_sorted_values_travel(n):
+    rng = np.random.default_rng(n)
+    values = np.unique(np.append(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1),
+                                 np.array([0, 2 ** 64 - 1][:n], np.uint64)))
+    first = suffix_lm._first(values) if len(values) else 0
+    assert (suffix_lm.values_of(first, suffix_lm.differences(values), len(values)) == values).all()
+    part = suffix_lm.ranges(values, 7)
+    assert (np.diff(part) >= 0).all() and set(part) <= set(range(7))
+    times = rng.integers(1, 1000, len(values))
+    at, each = suffix_lm.in_bytes(times)
+    assert each.dtype == np.uint8 and (np.bincount(at, each, len(values)) == times).all()
+    assert (suffix_lm.whole(suffix_lm.squeezed(times), len(times), times.dtype) == times).all()
+
+
+def test_what_tasks_hold_travels():
+    keys = np.array([1, 5, 2 ** 64 - 1], np.uint64)
+    held = suffix_lm.Held(keys, np.array([0.5, 0.1, 3.0]))
+    empty = suffix_lm.Held(np.empty(0, np.uint64), np.empty(0))
+    bits = np.arange(256, dtype=np.uint8)
+    got = pickle.loads(pickle.dumps(suffix_lm.Wanted(held, None, empty, bits, bits[::-1])))
+    assert got.contexts.find(keys)[0].tolist() == [0.5, 0.1, 3.0] and got.words.index(keys).tolist() == [-1] * 3
+    assert got.more_contexts is None and (got.more_words == bits).all() and (got.before == bits[::-1]).all()
+
+
 def test_tally_handed_on_early(monkeypatch):
     monkeypatch.setattr(suffix_lm, "HELD_KEYS", 50)
     rng = np.random.default_rng(3)
