@@ -401,8 +401,8 @@ def packed(n_ranges: int, hashed: bool, bits: int = 64):
 
 
 def _counts(piece):
-    """Of rows of ``_COUNTS``: whether hashed, values, counts, and the bytes
-    of contexts and suffix rows."""
+    """Of rows of ``_COUNTS``: values and counts, and of hashed ones contexts
+    and suffix rows."""
     for hashed, first, keys, times, ctx, parent in zip(*(piece.column(i) for i in range(1, 7)), strict=True):
         times = times.as_buffer()
         n = whole(times, size_of(times), np.uint8).astype(np.int64)
